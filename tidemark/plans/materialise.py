@@ -1,0 +1,13 @@
+"""Cut a plan where several later steps read the same expensive rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tidemark.session import checkpoint_dir
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so that losing an executor does not repeat the work before it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
