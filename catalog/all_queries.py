@@ -1,4 +1,4 @@
 """Importing this module registers everything."""
 
-from catalog import asof_queries, history_queries, quality_queries, wallet_queries  # noqa: F401
+from catalog import asof_queries, history_queries, portfolio_queries, quality_queries, wallet_queries  # noqa: F401
 from catalog.registry import ORACLES, QUERIES  # noqa: F401
