@@ -6,6 +6,7 @@ from catalog import bindings as b
 from catalog.registry import query
 from tidemark.operators import asof, quality
 from tidemark.plans.backtest import mark_returns
+from tidemark.sources.scratch import materialise
 
 _ENTRY_COLUMNS = """token_address, requested_delay_slots, target_entry_slot, covered, entry_block_slot, entry_block_time,
     entry_tx_index, entry_part_key, entry_supp_key, entry_side, round(entry_price_usd, 6) AS entry_price_usd,
@@ -19,8 +20,9 @@ def first_entries(spark, sf_dir):
 
 
 def marked_rows(spark, sf_dir):
+    # The entries are read twice: for the exit join and for the output rows.
     return mark_returns(
-        first_entries(spark, sf_dir), b.trades(spark, sf_dir), hold_seconds=b.HOLD_SECONDS, outcome_cutoff=b.CUTOFF,
+        materialise(first_entries(spark, sf_dir)), b.trades(spark, sf_dir), hold_seconds=b.HOLD_SECONDS, outcome_cutoff=b.CUTOFF,
         order=b.ORDER, payload=("price_usd",),
     )
 
@@ -106,7 +108,7 @@ def asof_last_within_hold(spark, sf_dir):
     FROM entries GROUP BY requested_delay_slots""",
 )
 def asof_coverage(spark, sf_dir):
-    return quality.coverage(first_entries(spark, sf_dir)).withColumns(
+    return quality.coverage(materialise(first_entries(spark, sf_dir))).withColumns(
         {
             "coverage_rate": F.round("coverage_rate", 9),
             "p95_wait_slots_beyond_target": F.round("p95_wait_slots_beyond_target", 6),

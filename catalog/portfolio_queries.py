@@ -19,7 +19,7 @@ from catalog.wallet_queries import (
 )
 from tidemark.operators import compare, portfolio
 from tidemark.plans import backtest
-from tidemark.plans.materialise import materialise
+from tidemark.sources.scratch import materialise
 from tidemark.plans.wallet_report import head_to_head, wallet_portfolio
 
 MARKED_SQL = f"{b.DEPLOYMENTS_SQL}, {b.TRADES_SQL}, {b.first_entries_sql()}, {b.marks_sql()}"
@@ -95,7 +95,7 @@ def rounded_grid(df):
     f"WITH {MARKED_SQL}, {POLICY_SQL}, {peaks_sql('policy_rows', ', '.join(KEYS))} SELECT * FROM peaks",
 )
 def peak_concurrency(spark, sf_dir):
-    rows = portfolio.by_policy(marked_rows(spark, sf_dir))
+    rows = portfolio.by_policy(materialise(marked_rows(spark, sf_dir)))
     return portfolio.peak_level(
         rows, start="entry_block_time", end="exit_target_time", level="population_weight",
         name="max_concurrent_weighted_positions", keys=KEYS,
@@ -118,7 +118,7 @@ curve AS (SELECT *, greatest(capital, max(equity) OVER (PARTITION BY requested_d
 
 
 def _equity(spark, sf_dir):
-    rows = marked_rows(spark, sf_dir).withColumn(
+    rows = materialise(marked_rows(spark, sf_dir)).withColumn(
         "pnl", F.col("population_weight") * F.col("gross_return") * F.lit(b.NOTIONAL)
     )
     peak = portfolio.peak_level(
@@ -247,7 +247,7 @@ def replica_decision(spark, sf_dir):
     FROM marked""",
 )
 def mark_staleness(spark, sf_dir):
-    return rounded(backtest.staleness(marked_rows(spark, sf_dir)), ["median", "p90"], 3)
+    return rounded(backtest.staleness(materialise(marked_rows(spark, sf_dir))), ["median", "p90"], 3)
 
 
 _POSITION_SQL = f"""{b.DEPLOYMENTS_SQL}, {b.TRADES_SQL}, {SLOT_ENTRIES_SQL}, {b.marks_sql('slot_entries')},

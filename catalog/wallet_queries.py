@@ -8,6 +8,7 @@ from tidemark.functions.derived import fee_rate_bps
 from tidemark.operators import cashflow
 from tidemark.operators.quantiles import finite_summary
 from tidemark.plans.latency import entry_latency, latency_summary
+from tidemark.sources.scratch import materialise
 
 W = b.WALLET_SQL
 TRADES_ONLY = "event_type IN ('buy', 'sell')"
@@ -198,7 +199,7 @@ def rounded_portfolio(df):
 
 @query("closed_portfolio", f"WITH {W}, {CASHFLOW_SQL}, {PORTFOLIO_SQL} SELECT {_PORTFOLIO_SELECT} FROM closed")
 def closed_portfolio(spark, sf_dir):
-    closed = cashflow.closed_positions(cashflow.token_cashflow(b.wallet(spark, sf_dir)))
+    closed = materialise(cashflow.closed_positions(cashflow.token_cashflow(b.wallet(spark, sf_dir))))
     return rounded_portfolio(cashflow.closed_portfolio(closed))
 
 
@@ -338,7 +339,7 @@ def first_buy_latency(spark, sf_dir):
     FROM s""",
 )
 def latency_summary_query(spark, sf_dir):
-    summary = rounded(latency_summary(latency(spark, sf_dir)), ["mean", "median", "p90"])
+    summary = rounded(latency_summary(materialise(latency(spark, sf_dir))), ["mean", "median", "p90"])
     return rounded(summary, ["zero_slot_share"], 9)
 
 

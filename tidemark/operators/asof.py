@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import ROWS_PER_TASK, join_unique
+from tidemark.operators.skew import join_unique
 
 
 def strictly_after(slot: str, tx: str, decision_slot: str, decision_tx: str) -> Column:
@@ -24,7 +24,7 @@ def strictly_after(slot: str, tx: str, decision_slot: str, decision_tx: str) ->
 
 
 def facts_after_decision(
-    decisions: DataFrame, facts: DataFrame, *, key: str = "token_address", rows_per_task: int = ROWS_PER_TASK
+    decisions: DataFrame, facts: DataFrame, *, key: str = "token_address", rows_per_task: int | None = None
 ) -> DataFrame:
     """Facts of known decisions that come strictly after the decision position."""
     narrow = decisions.select(
@@ -43,7 +43,7 @@ def first_at_or_after(
     payload: Sequence[str],
     delays: Sequence[int] = (0, 1, 2),
     key: str = "token_address",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """For each decision and delay, the first fact at or after ``deploy_block_slot + delay``.
 
@@ -78,7 +78,7 @@ def first_in_slot_from(
     payload: Sequence[str],
     outcome_cutoff: int | Column | None = None,
     key: str = "token_address",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """First fact in the decision slot whose transaction is at least ``position_lag`` after the decision's."""
     lag = F.lit(position_lag) if isinstance(position_lag, int) else position_lag
@@ -116,7 +116,7 @@ def last_within_hold(
     delays: Sequence[int] = (0, 1, 2),
     outcome_cutoff: int | Column | None = None,
     key: str = "token_address",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Last fact from the entry position on and no later than ``entry_block_time + hold_seconds``.
 

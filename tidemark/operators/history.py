@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import with_buckets
-from tidemark.operators.skew import ROWS_PER_TASK, hot_keys, join_unique
+from tidemark.operators.sizing import fits_one_task
+from tidemark.operators.skew import hot_keys, join_unique
+from tidemark.session import bucket_count
+from tidemark.sources.scratch import materialise
 
 HISTORY_COLUMNS = [
     "creator_prior_deploy_count",
@@ -19,7 +22,7 @@ HISTORY_COLUMNS = [
 
 
 def prior_history(
-    indexes: list[DataFrame], *, rows_per_task: int = ROWS_PER_TASK, buckets: int | None = None
+    indexes: list[DataFrame], *, rows_per_task: int | None = None, buckets: int | None = None
 ) -> DataFrame:
     """One row per (``tx_signer``, ``block_slot``) with what that signer did in strictly smaller slots.
 
@@ -33,12 +36,19 @@ def prior_history(
     slots = universe.groupBy("tx_signer", "block_slot").agg(
         F.min("block_time").alias("block_time"), F.count(F.lit(1)).alias("_n")
     )
-    hot = F.broadcast(hot_keys(slots, ["tx_signer"], rows_per_task=rows_per_task))
-    rows = (
-        with_buckets(slots.join(hot, "tx_signer", "left"), ["block_slot"], buckets=buckets)
-        .withColumn("_part", F.when(F.col("_splits").isNull(), F.lit(-1)).otherwise(F.col("_bucket")))
-        .drop("_splits", "_bucket")
-    )
+    if rows_per_task is not None or not fits_one_task(slots):
+        slots = materialise(slots)  # counted below, then scanned
+    hot = hot_keys(slots, ["tx_signer"], rows_per_task=rows_per_task)
+    if hot is None:
+        rows = slots.withColumn("_part", F.lit(-1))
+    else:
+        # Bounded number of hot signers; every other signer stays in one piece.
+        marked = slots.join(F.broadcast(hot), "tx_signer", "left")
+        rows = (
+            with_buckets(marked, ["block_slot"], buckets=buckets or bucket_count(slots.sparkSession))
+            .withColumn("_part", F.when(F.col("_splits").isNull(), F.lit(-1)).otherwise(F.col("_bucket")))
+            .drop("_splits", "_bucket")
+        )
     part = Window.partitionBy("tx_signer", "_part").orderBy("block_slot")
     earlier = part.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
@@ -53,6 +63,19 @@ def prior_history(
         F.lag("block_time").over(part).alias("_last_time"),
         F.lag("block_slot").over(part).alias("_last_slot"),
     )
+    zero = F.lit(0).cast("long")
+    if hot is None:
+        return local.select(
+            "tx_signer",
+            "block_slot",
+            "block_time",
+            F.coalesce("_deploys", zero).alias("creator_prior_deploy_count"),
+            F.coalesce("_slots", zero).alias("creator_prior_active_slot_count"),
+            F.col("_first_time").alias("creator_first_prior_deploy_time"),
+            F.col("_first_slot").alias("creator_first_prior_deploy_slot"),
+            F.col("_last_time").alias("creator_previous_deploy_time"),
+            F.col("_last_slot").alias("creator_previous_deploy_slot"),
+        )
     across = Window.partitionBy("tx_signer").orderBy("_part")
     pieces_before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -75,7 +98,6 @@ def prior_history(
             F.lag("last").over(across).alias("_c_last"),
         )
     )
-    zero = F.lit(0).cast("long")
     return local.join(carried, ["tx_signer", "_part"], "left").select(
         "tx_signer",
         "block_slot",
@@ -98,7 +120,7 @@ def history_violations(history: DataFrame) -> DataFrame:
 
 
 def attach_history(
-    deployments: DataFrame, history: DataFrame, *, epoch: str = "decision_epoch", rows_per_task: int = ROWS_PER_TASK
+    deployments: DataFrame, history: DataFrame, *, epoch: str = "decision_epoch", rows_per_task: int | None = None
 ) -> DataFrame:
     """Add prior counts, observed age and recency to deployments; rows are neither lost nor repeated."""
     facts = history.select(

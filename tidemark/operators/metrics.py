@@ -23,6 +23,7 @@ def pr_curve(
     score: str = "probability",
     weight: str = "population_weight",
     keys: Sequence[str] = (),
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct score used as threshold: weighted true and false positives, precision, recall, F1."""
     keys = list(keys)
@@ -34,7 +35,7 @@ def pr_curve(
     )
     totals = per_score.groupBy(*keys).agg(F.sum("_p").alias("_positives"))
     ranked = running_totals(
-        per_score.withColumn("_down", -F.col("threshold")), order=["_down"], sums={"_tp": "_p", "_fp": "_q"}, keys=keys
+        per_score.withColumn("_down", -F.col("threshold")), order=["_down"], sums={"_tp": "_p", "_fp": "_q"}, keys=keys, buckets=buckets
     )
     # One row per variant.
     ranked = ranked.join(F.broadcast(totals), keys) if keys else ranked.crossJoin(F.broadcast(totals))

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
-from tidemark.operators.scan import running_totals, with_buckets
+from tidemark.operators.scan import choose_buckets, running_totals, with_buckets
 
 MONEY = "decimal(28,10)"
 
 
 def peak_level(
-    rows: DataFrame, *, start: str, end: str, level: str, name: str, keys: Sequence[str] = ()
+    rows: DataFrame, *, start: str, end: str, level: str, name: str, keys: Sequence[str] = (),
+    buckets: int | None = None,
 ) -> DataFrame:
     """Largest sum of ``level`` over positions open at once; at one instant exits come before entries."""
     keys = list(keys)
@@ -34,7 +35,7 @@ def peak_level(
     ).select(*keys, "e.*")
     # Within one instant and kind the level only moves one way, so the peak is at the end of the group.
     steps = changes.groupBy(*keys, "time", "kind").agg(F.sum("change").alias("change"))
-    levels = running_totals(steps, order=["time", "kind"], sums={"level": "change"}, keys=keys)
+    levels = running_totals(steps, order=["time", "kind"], sums={"level": "change"}, keys=keys, buckets=buckets)
     return levels.groupBy(*keys).agg(F.greatest(F.max("level"), F.lit(0)).cast("double").alias(name))
 
 
@@ -46,6 +47,7 @@ def equity_curve(
     initial: DataFrame,
     initial_column: str,
     keys: Sequence[str] = (),
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per key and time: equity, the running peak including the starting capital, and the drawdown.
 
@@ -53,23 +55,26 @@ def equity_curve(
     """
     keys = list(keys)
     per_time = rows.groupBy(*keys, F.col(time).alias("time")).agg(F.sum(F.col(pnl).cast(MONEY)).alias("pnl"))
-    return _curve(per_time, initial.withColumnRenamed(initial_column, "_initial").select(*keys, "_initial"), keys)
+    return _curve(per_time, initial.withColumnRenamed(initial_column, "_initial").select(*keys, "_initial"), keys, buckets)
 
 
-def _curve(per_time: DataFrame, initial: DataFrame, keys: list[str]) -> DataFrame:
-    bucketed = with_buckets(per_time, ["time"])
+def _curve(per_time: DataFrame, initial: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    buckets = choose_buckets(per_time, buckets)
+    bucketed = with_buckets(per_time, ["time"], buckets=buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.withColumn("_sum", F.sum("pnl").over(inside)).withColumn("_top", F.max("_sum").over(inside))
-    pieces = local.groupBy(*keys, "_bucket").agg(F.sum("pnl").alias("_s"), F.max("_sum").alias("_m"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        pieces.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-        .withColumn("_reached", F.max(F.col("_offset") + F.col("_m")).over(before))
-        .select(*keys, "_bucket", "_offset", "_reached")
-    )
-    joined = local.join(carried, [*keys, "_bucket"])
-    # One row per scenario of a fixed grid.
-    start = F.broadcast(initial)
+    if buckets == 1:
+        joined = local.withColumns({"_offset": F.lit(0), "_reached": F.lit(None).cast(MONEY)})
+    else:
+        pieces = local.groupBy(*keys, "_bucket").agg(F.sum("pnl").alias("_s"), F.max("_sum").alias("_m"))
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            pieces.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+            .withColumn("_reached", F.max(F.col("_offset") + F.col("_m")).over(before))
+            .select(*keys, "_bucket", "_offset", "_reached")
+        )
+        joined = local.join(carried, [*keys, "_bucket"])
+    start = F.broadcast(initial)  # one row per scenario of a fixed grid
     with_start = joined.join(start, keys) if keys else joined.crossJoin(start)
     begin = F.col("_initial").cast(MONEY)
     return with_start.select(
@@ -106,7 +111,7 @@ def worst_drawdown(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def portfolio_grid(
-    rows: DataFrame, fees: DataFrame, *, notional: float | str, keys: Sequence[str] = ()
+    rows: DataFrame, fees: DataFrame, *, notional: float | str, keys: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Weighted fixed-notional results for each scenario key and fee scenario.
 
@@ -135,11 +140,11 @@ def portfolio_grid(
     )
     shares = unpivot_measures(rows, keys, ["gross_return"])
     quantiles = exact_quantiles(
-        shares, value="value", probs={"_q50": 0.5, "_q90": 0.9, "_q99": 0.99}, keys=keys
+        shares, value="value", probs={"_q50": 0.5, "_q90": 0.9, "_q99": 0.99}, keys=keys, buckets=buckets
     ).drop("value_rows")
     peaks = peak_level(
         rows, start="entry_block_time", end="exit_target_time", level="population_weight",
-        name="max_concurrent_weighted_positions", keys=keys,
+        name="max_concurrent_weighted_positions", keys=keys, buckets=buckets,
     )
     per_exit = rows.groupBy(*keys, F.col("exit_target_time").alias("time")).agg(
         F.sum((w * gross * stake).cast(MONEY)).alias("_g"), F.sum((w * stake).cast(MONEY)).alias("_n")
@@ -156,7 +161,7 @@ def portfolio_grid(
     initial = keyed_peaks.join(stakes, grid).select(
         *grid, (F.col("_stake") * F.col("max_concurrent_weighted_positions")).alias("_initial")
     )
-    drawdown = worst_drawdown(_curve(timeline, initial, grid), grid)
+    drawdown = worst_drawdown(_curve(timeline, initial, grid, buckets), grid)
     joined = basic.join(quantiles, keys) if keys else basic.crossJoin(quantiles)
     joined = joined.join(peaks, keys) if keys else joined.crossJoin(peaks)
     weight = F.col("_w").cast("double")

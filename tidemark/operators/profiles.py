@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.quality import count_where
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
 from tidemark.operators.scan import running_totals
-from tidemark.operators.skew import ROWS_PER_TASK, join_unique
+from tidemark.operators.skew import join_unique
 
 PROFILE_PROBS = {"p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}
 
@@ -61,7 +61,9 @@ def clock_mismatch(
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, *, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spearman(
+    df: DataFrame, x: str, y: str, *, rows_per_task: int | None = None, buckets: int | None = None
+) -> DataFrame:
     """Rank correlation with average ranks for ties, on rows where both values are present.
 
     Pairs are collapsed to counts, ranks come from running totals over distinct values, and a value shared by many
@@ -73,8 +75,8 @@ def spearman(df: DataFrame, x: str, y: str, *, rows_per_task: int = ROWS_PER_TAS
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     spread = F.xxhash64("_x", "_y")
-    ranked = join_unique(pairs, _average_ranks(pairs, "_x", "_rx"), ["_x"], spread=spread, rows_per_task=rows_per_task)
-    ranked = join_unique(ranked, _average_ranks(pairs, "_y", "_ry"), ["_y"], spread=spread, rows_per_task=rows_per_task)
+    ranked = join_unique(pairs, _average_ranks(pairs, "_x", "_rx", buckets), ["_x"], spread=spread, rows_per_task=rows_per_task)
+    ranked = join_unique(ranked, _average_ranks(pairs, "_y", "_ry", buckets), ["_y"], spread=spread, rows_per_task=rows_per_task)
     n, rx, ry = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
     sums = ranked.agg(
         F.sum("_n").alias("rows"),
@@ -92,7 +94,7 @@ def spearman(df: DataFrame, x: str, y: str, *, rows_per_task: int = ROWS_PER_TAS
     return sums.select("rows", F.try_divide(cov, spread_xy).alias("spearman"))
 
 
-def _average_ranks(pairs: DataFrame, value: str, rank: str) -> DataFrame:
+def _average_ranks(pairs: DataFrame, value: str, rank: str, buckets: int | None) -> DataFrame:
     per_value = pairs.groupBy(value).agg(F.sum("_n").alias("_count"))
-    ranked = running_totals(per_value, order=[value], sums={"_end": "_count"})
+    ranked = running_totals(per_value, order=[value], sums={"_end": "_count"}, buckets=buckets)
     return ranked.select(value, (F.col("_end") - (F.col("_count") - 1) / F.lit(2.0)).alias(rank))

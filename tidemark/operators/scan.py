@@ -2,7 +2,7 @@
 
 An un-partitioned window pulls the whole table into one task. The operators here first cut the order into
 buckets whose bounds come from a small hash sample of the keys. The sample only decides where the cuts lie; any
-cut gives the same answer. Work then happens per bucket, and one row per bucket carries the totals across.
+cut gives the same answer. Work then happens per bucket, and one row per bucket carries the totals across. Input that provably fits one task takes the plain window instead.
 """
 
 from __future__ import annotations
@@ -12,27 +12,36 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizing import fits_one_task
 from tidemark.session import bucket_count
 
 _SAMPLE_PER_BUCKET = 8
 
 
+def choose_buckets(df: DataFrame, buckets: int | None = None) -> int:
+    """One bucket for input that fits one task, otherwise as many as the shuffle is wide."""
+    if buckets is None:
+        return 1 if fits_one_task(df) else bucket_count(df.sparkSession)
+    if buckets & (buckets - 1):
+        raise ValueError("bucket count must be a power of two")
+    return buckets
+
+
 def _order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def with_buckets(df: DataFrame, order: Sequence[str], *, buckets: int | None = None) -> DataFrame:
+def with_buckets(df: DataFrame, order: Sequence[str], *, buckets: int) -> DataFrame:
     """Add ``_bucket``: equal order values share a bucket and buckets follow the order.
 
     Rows should already be distinct by order value within a key, so that no repeated value can fill a bucket.
     """
-    buckets = buckets or bucket_count(df.sparkSession)
-    if buckets & (buckets - 1):
-        raise ValueError("bucket count must be a power of two")
+    if buckets == 1:
+        return df.withColumn("_bucket", F.lit(0))
     value = _order_value(order)
     sample = (
-        df.select(value.alias("_v"))
-        .orderBy(F.xxhash64("_v"))
+        df.select(value.alias("_v"), F.xxhash64(*df.columns).alias("_h"))
+        .orderBy("_h")
         .limit(buckets * _SAMPLE_PER_BUCKET)
         .agg(F.sort_array(F.collect_list("_v")).alias("_s"))
     )
@@ -73,14 +82,17 @@ def running_totals(
     Rows must be unique by keys and order; ``keys`` must be a bounded grid, such as scenarios.
     """
     keys = list(keys)
+    buckets = choose_buckets(df, buckets)
     rows = with_buckets(df, order, buckets=buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
+    if buckets == 1:
+        return local.drop("_bucket")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     offsets = totals.select(
         *keys, "_bucket", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums]
     )
-    local = rows.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
     joined = _join_on_grid(local, offsets, [*keys, "_bucket"])
     for name in sums:
         joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0))).drop(f"_o_{name}")
@@ -103,11 +115,31 @@ def select_ranks(
     carries ``_total``. Ranks outside the range give null. ``keys`` must be a bounded grid.
     """
     keys = list(keys)
+    buckets = choose_buckets(df, buckets)
     rows = with_buckets(
         df.withColumn("_w", F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")),
         value,
         buckets=buckets,
     )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*value).rowsBetween(Window.unboundedPreceding, 0)
+    if buckets == 1:
+        whole = Window.partitionBy(*keys, "_bucket")
+        ranked = rows.withColumns({"_total": F.sum("_w").over(whole), "_end": F.sum("_w").over(inside)})
+    else:
+        ranked = _around_wanted_ranks(rows, keys, targets).withColumn(
+            "_end", F.col("_before") + F.sum("_w").over(inside)
+        )
+    picked = [
+        F.min(F.when(F.col("_end") > rank(F.col("_total")), _order_value(value))).alias(name)
+        for name, rank in targets.items()
+    ]
+    return ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picked)
+
+
+def _around_wanted_ranks(
+    rows: DataFrame, keys: list[str], targets: Mapping[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Rows of the buckets that contain a wanted rank, with the rows before the bucket and the total of the key."""
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         rows.groupBy(*keys, "_bucket")
@@ -119,17 +151,9 @@ def select_ranks(
     for rank in targets.values():
         at = rank(F.col("_total"))
         wanted = wanted | ((at >= F.col("_before")) & (at < F.col("_before") + F.col("_size")))
-    # At most two ranks per target and key survive, so this side is tiny whatever the data size.
+    # At most one bucket per target and key survives, so this side is tiny whatever the data size.
     chosen = F.broadcast(sizes.where(wanted).drop("_size"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _join_on_grid(rows, chosen, [*keys, "_bucket"], how="inner").withColumn(
-        "_end", F.col("_before") + F.sum("_w").over(inside)
-    )
-    picked = [
-        F.min(F.when(F.col("_end") > rank(F.col("_total")), _order_value(value))).alias(name)
-        for name, rank in targets.items()
-    ]
-    return ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picked)
+    return _join_on_grid(rows, chosen, [*keys, "_bucket"], how="inner")
 
 
 def _join_on_grid(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:

@@ -7,28 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizing import fits_one_task
+
 # A key is hot when it holds more rows than one task should take. The threshold never falls below
-# total / MAX_HOT_KEYS, so the list of hot keys has at most MAX_HOT_KEYS rows whatever the data looks like.
+# total / MAX_HOT_KEYS, so there are at most MAX_HOT_KEYS hot keys whatever the data looks like.
 MAX_HOT_KEYS = 10_000
 ROWS_PER_TASK = 2_000_000
 
 
 def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    *,
-    max_hot_keys: int = MAX_HOT_KEYS,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Keys too large for one task, with the number of ``_splits`` each should be cut into."""
-    counts = df.where(_all_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    df: DataFrame, keys: Sequence[str], *, rows_per_task: int | None = None, max_hot_keys: int = MAX_HOT_KEYS
+) -> DataFrame | None:
+    """Keys too large for one task, with the number of ``_splits`` each should be cut into; None when there are none.
+
+    Input that fits one task has no hot key and is not looked at, unless ``rows_per_task`` is given. Otherwise one
+    job counts rows per key (partial counts first, key columns only) and returns at most ``max_hot_keys`` rows.
+    """
+    if rows_per_task is None and fits_one_task(df):
+        return None
+    present = F.lit(True)
+    for key in keys:
+        present = present & F.col(key).isNotNull()
+    counts = df.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    limit = F.greatest(F.lit(rows_per_task), F.ceil(F.col("_total") / F.lit(max_hot_keys)))
-    return (
+    limit = F.greatest(F.lit(rows_per_task or ROWS_PER_TASK), F.ceil(F.col("_total") / F.lit(max_hot_keys)))
+    hot = (
         counts.crossJoin(F.broadcast(total))
         .where(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_splits"))
     )
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def join_unique(
@@ -38,7 +47,7 @@ def join_unique(
     how: str = "inner",
     *,
     spread: Column | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``big`` with a table that has at most one row per key, cutting hot keys of ``big`` into pieces.
 
@@ -48,24 +57,20 @@ def join_unique(
     """
     if how not in ("inner", "left"):
         raise ValueError("join_unique supports inner and left joins")
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task=rows_per_task))
-    piece = F.monotonically_increasing_id() if spread is None else spread
+    hot = hot_keys(big, keys, rows_per_task=rows_per_task)
+    if hot is None:
+        return big.join(small, list(keys), how)
+    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
+    pieces = F.coalesce(F.col("_splits"), F.lit(1))
     left = (
-        big.withColumn("_piece", piece)
+        big.withColumn("_piece", F.monotonically_increasing_id() if spread is None else spread)
         .join(hot, list(keys), "left")
-        .withColumn("_piece", F.pmod(F.col("_piece"), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"))
+        .withColumn("_piece", F.pmod(F.col("_piece"), pieces).cast("int"))
         .drop("_splits")
     )
     right = (
         small.join(hot, list(keys), "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_splits")
     )
     return left.join(right, [*keys, "_piece"], how).drop("_piece")
-
-
-def _all_present(keys: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    return present

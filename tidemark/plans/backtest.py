@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import first_at_or_after, first_in_slot_from, last_within_hold
 from tidemark.operators.portfolio import by_policy, portfolio_grid
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
-from tidemark.plans.materialise import materialise
+from tidemark.sources.scratch import materialise
 
 
 def select_above(

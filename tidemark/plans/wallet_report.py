@@ -12,7 +12,7 @@ from tidemark.operators.cashflow import (
     token_cashflow,
 )
 from tidemark.operators.compare import profitability_gate
-from tidemark.plans.materialise import materialise
+from tidemark.sources.scratch import materialise
 
 
 def wallet_portfolio(
@@ -32,6 +32,7 @@ def wallet_portfolio(
         F.count_if("outcome_crosses_boundary").alias("development_censored_tokens"),
     ).crossJoin(flows.agg(F.count_if(F.col("decision_time").isNull()).alias("unmatched_wallet_tokens")))
     safe = closed_positions(flagged.where(~F.col("outcome_crosses_boundary")))
+    # ``flows`` is written once; every part of the summary reads only the columns it needs.
     return counts, profitability_gate(closed_portfolio(safe))
 
 
