@@ -1,4 +1,12 @@
 """Importing this module registers everything."""
 
-from catalog import asof_queries, history_queries, portfolio_queries, quality_queries, wallet_queries  # noqa: F401
+from catalog import (  # noqa: F401
+    asof_queries,
+    evaluation_queries,
+    feature_queries,
+    history_queries,
+    portfolio_queries,
+    quality_queries,
+    wallet_queries,
+)
 from catalog.registry import ORACLES, QUERIES  # noqa: F401

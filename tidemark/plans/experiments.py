@@ -17,7 +17,7 @@ from tidemark.functions.guards import require_feature_groups
 from tidemark.operators.compare import fold_summary
 from tidemark.operators.metrics import average_precision, evaluate, pr_curve
 from tidemark.operators.scan import running_totals
-from tidemark.operators.splits import expanding_folds, require_both_classes, three_way_split
+from tidemark.operators.splits import fold_boundaries, require_both_classes, three_way_boundaries
 from tidemark.plans.models import FittedModel, ModelSpec, fit
 
 STANDARD_FOLD = 0
@@ -32,21 +32,30 @@ def score_variants(
 
     Folds are built on training and validation rows only, so the final test part stays sealed.
     """
-    split = three_way_split(dataset, time)
-    require_both_classes(split, "split", label)
-    pretest = split.where(F.col("split") != "test").drop("split")
-    folds = expanding_folds(pretest, time)
-    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    # Cut points are a handful of values; every part is then a pair of predicates on the same table.
+    outer = three_way_boundaries(dataset, time).first()
+    at, validation_start, test_start = F.col(time), outer["validation_start"], outer["test_start"]
+    pretest = dataset.where(at < F.lit(test_start))
+    require_both_classes(
+        dataset.withColumn(
+            "split",
+            F.when(at < F.lit(validation_start), "train")
+            .when(at < F.lit(test_start), "validation")
+            .otherwise("test"),
+        ),
+        "split",
+        label,
+    )
     parts = {
-        STANDARD_FOLD: (split.where(F.col("split") == "train"), split.where(F.col("split") == "validation")),
-        **{
-            n: (
-                folds.where((F.col("fold") == n) & (F.col("part") == "train")),
-                folds.where((F.col("fold") == n) & (F.col("part") == "validation")),
-            )
-            for n in numbers
-        },
+        STANDARD_FOLD: (
+            pretest.where(at < F.lit(validation_start)), pretest.where(at >= F.lit(validation_start))
+        )
     }
+    for cut in fold_boundaries(pretest, time).collect():
+        later = pretest.where(at >= F.lit(cut["train_end"]))
+        if cut["validation_end"] is not None:
+            later = later.where(at < F.lit(cut["validation_end"]))
+        parts[cut["fold"]] = (pretest.where(at < F.lit(cut["train_end"])), later)
     scored = []
     for number, (train, validation) in parts.items():
         for name, features in variants.items():

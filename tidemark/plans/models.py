@@ -65,8 +65,7 @@ def fit(train: DataFrame, features: Sequence[str], spec: ModelSpec, label: str =
     assembler = VectorAssembler(
         inputCols=[f"_i_{c}" for c in usable] + [f"_m_{c}" for c in flags], outputCol="_vector"
     )
-    columns = dict(labelCol="_label", weightCol="_weight", rawPredictionCol="_raw", probabilityCol="_probability",
-                   predictionCol="_prediction")
+    columns = {"labelCol": "_label", "weightCol": "_weight", "predictionCol": "_prediction"}
     if spec.family == "logistic":
         scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True, withStd=True)
         # A unit-strength ridge penalty on weights that sum to the row count equals 1 / rows here.
@@ -82,6 +81,7 @@ def fit(train: DataFrame, features: Sequence[str], spec: ModelSpec, label: str =
         stages = [imputer, assembler, model]
     else:
         raise ValueError(f"unknown model family {spec.family}")
+    model.setRawPredictionCol("_raw").setProbabilityCol("_probability")
     return FittedModel(Pipeline(stages=stages).fit(prepared), tuple(usable), tuple(flags))
 
 
