@@ -133,8 +133,7 @@ def permutation_importance(
         raise ValueError("repeats must be positive")
     if "baseline" in groups:
         raise ValueError("baseline is a reserved group name")
-    features = sorted({c for members in groups.values() for c in members})
-    require_feature_groups(groups, features)
+    require_feature_groups(groups, model.features)
     rows = validation.select(key, label, *model.features)
     shuffled = permute_groups(rows, groups, repeats=repeats, seed=seed, key=key)
     untouched = rows.withColumns({"repeat": F.lit(0), "name": F.lit("baseline")})

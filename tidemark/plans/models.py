@@ -32,13 +32,16 @@ class ModelSpec:
 
 @dataclass(frozen=True)
 class FittedModel:
+    """A fitted pipeline; ``features`` were requested, ``used`` had at least one value in training."""
+
     pipeline: PipelineModel
     features: Sequence[str]
+    used: Sequence[str]
     flags: Sequence[str] = field(default_factory=tuple)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` of the positive class."""
-        prepared = _inputs(df, self.features, self.flags)
+        prepared = _inputs(df, self.used, self.flags)
         scored = self.pipeline.transform(prepared)
         return scored.select(*df.columns, vector_to_array("_probability")[1].alias("probability"))
 
@@ -82,7 +85,7 @@ def fit(train: DataFrame, features: Sequence[str], spec: ModelSpec, label: str =
     else:
         raise ValueError(f"unknown model family {spec.family}")
     model.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    return FittedModel(Pipeline(stages=stages).fit(prepared), tuple(usable), tuple(flags))
+    return FittedModel(Pipeline(stages=stages).fit(prepared), tuple(features), tuple(usable), tuple(flags))
 
 
 def _inputs(df: DataFrame, features: Sequence[str], flags: Sequence[str]) -> DataFrame:
