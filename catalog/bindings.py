@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import time_to_epoch
+from tidemark.sources.tables import spread
 
 # Position of a trade: month slot, day, line, then part and supplier to break the remaining ties.
 ORDER = ("block_slot", "block_time", "tx_index", "part_key", "supp_key")
@@ -17,7 +18,7 @@ CUTOFF = 978_307_200
 WALLET_TRAIN_END = 1_705_363_200
 WALLET_HOLDOUT = 1_706_054_400
 NOTIONAL = 100.0
-FEE_GRID = (("gross", 0.0), ("training_median_fee", 300.0), ("training_p90_fee", 700.0))
+FEE_GRID = {"gross": 0.0, "training_median_fee": 300.0, "training_p90_fee": 700.0}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +62,7 @@ def weighted_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("token_address"),
         month_slot("l_shipdate").alias("block_slot"),
         time_to_epoch("l_shipdate").alias("block_time"),
@@ -148,14 +149,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fee_grid(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{name}', CAST({bps} AS DOUBLE))" for name, bps in FEE_GRID)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(fee_scenario, fee_bps)")
-
-
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested JSON document per text: lines become instructions, words accounts, sentences log messages."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     uri = F.concat(
         F.when(F.col("doc_id") % 2 == 0, F.lit("IPFS://")).otherwise(F.lit("https://")), F.col("source")
     )

@@ -28,7 +28,7 @@ POLICY_SQL = """policy_rows AS (
     SELECT *, 'all_observed_proxy' AS execution_policy FROM marked
     UNION ALL SELECT *, 'exact_target_slot_only' FROM marked WHERE wait_slots_beyond_target = 0)"""
 FEES_SQL = "fees(fee_scenario, fee_bps) AS (VALUES " + ", ".join(
-    f"('{n}', {v}::DOUBLE)" for n, v in b.FEE_GRID
+    f"('{n}', {v}::DOUBLE)" for n, v in b.FEE_GRID.items()
 ) + ")"
 
 
@@ -164,7 +164,7 @@ _GRID_WITH = f"{MARKED_SQL}, {POLICY_SQL}, {FEES_SQL}, {grid_sql('policy_rows',
 @query("portfolio_grid", f"WITH {_GRID_WITH} SELECT {', '.join(KEYS)}, {_GRID_SELECT} FROM grid")
 def portfolio_grid(spark, sf_dir):
     rows = portfolio.by_policy(materialise(marked_rows(spark, sf_dir)))
-    return rounded_grid(portfolio.portfolio_grid(rows, b.fee_grid(spark), notional=b.NOTIONAL, keys=KEYS))
+    return rounded_grid(portfolio.portfolio_grid(rows, b.FEE_GRID, notional=b.NOTIONAL, keys=KEYS))
 
 
 # Backtest of decisions whose score (order value relative to 300000) reaches a threshold.
@@ -198,7 +198,7 @@ _WAITS = [f"{m}_{s}" for m in ("actual_delay_slots", "wait_slots_beyond_target")
 
 def _replica(spark, sf_dir, threshold=0.5):
     return backtest.replica_backtest(
-        _selected(spark, sf_dir, threshold), b.trades(spark, sf_dir), b.fee_grid(spark), notional=b.NOTIONAL,
+        _selected(spark, sf_dir, threshold), b.trades(spark, sf_dir), b.FEE_GRID, notional=b.NOTIONAL,
         hold_seconds=b.HOLD_SECONDS, outcome_cutoff=b.CUTOFF, order=b.ORDER, payload=("price_usd", "price_sol"),
     )
 
@@ -256,7 +256,7 @@ _POSITION_SQL = f"""{b.DEPLOYMENTS_SQL}, {b.TRADES_SQL}, {SLOT_ENTRIES_SQL}, {b.
 
 def _position(spark, sf_dir):
     return backtest.position_backtest(
-        b.weighted_decisions(spark, sf_dir), b.trades(spark, sf_dir), b.fee_grid(spark), position_lag=2,
+        b.weighted_decisions(spark, sf_dir), b.trades(spark, sf_dir), b.FEE_GRID, position_lag=2,
         notional=b.NOTIONAL, hold_seconds=b.HOLD_SECONDS, outcome_cutoff=b.CUTOFF, order=b.ORDER,
         payload=("price_usd", "price_sol"),
     )

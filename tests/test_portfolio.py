@@ -9,13 +9,13 @@ from tidemark.operators import cashflow, portfolio
 ROWS = "population_weight double, gross_return double, entry_block_time long, exit_target_time long"
 
 
-def fees(spark, *pairs):
-    return spark.createDataFrame(list(pairs), "fee_scenario string, fee_bps double")
+def fees(*pairs):
+    return dict(pairs)
 
 
 def test_weighted_portfolio_with_drawdown(spark):
     rows = spark.createDataFrame([(1.0, 0.1, 10, 16), (2.0, -0.2, 12, 18)], ROWS)
-    r = portfolio.portfolio_grid(rows, fees(spark, ("one", 100.0)), notional=100.0).first()
+    r = portfolio.portfolio_grid(rows, fees(("one", 100.0)), notional=100.0).first()
     assert r.executed_population_weight == 3
     assert r.net_mean_return == pytest.approx(-0.11)
     assert r.net_hit_rate == pytest.approx(1 / 3)
@@ -35,7 +35,7 @@ def test_exits_come_before_entries_at_one_instant(spark):
 
 def test_drawdown_may_exceed_the_peak(spark):
     rows = spark.createDataFrame([(1.0, -3.0, 0, 5), (1.0, 1.0, 6, 9)], ROWS)
-    r = portfolio.portfolio_grid(rows, fees(spark, ("gross", 0.0)), notional=10.0).first()
+    r = portfolio.portfolio_grid(rows, fees(("gross", 0.0)), notional=10.0).first()
     assert r.max_drawdown_fraction == pytest.approx(3.0)
     assert r.insolvent_under_capital_model and r.minimum_equity_usd == -20
 
@@ -70,7 +70,7 @@ def test_grid_equals_recomputation(spark, buckets):
             data.append((k, float(rng.choice([1, 25])), rng.uniform(-0.6, 0.7), entry, entry + rng.randint(1, 40)))
     rows = spark.createDataFrame(data, "k string, " + ROWS)
     grid = portfolio.portfolio_grid(
-        rows, fees(spark, ("gross", 0.0), ("p90", 700.0)), notional=50.0, keys=["k"], buckets=buckets
+        rows, fees(("gross", 0.0), ("p90", 700.0)), notional=50.0, keys=["k"], buckets=buckets
     ).collect()
     assert len(grid) == 4
     for r in grid:

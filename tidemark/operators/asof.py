@@ -2,8 +2,8 @@
 
 Each lookup is one equality join on the entity key with the time rule as a residual, followed by a partial and
 final ``min``/``max`` of a struct that starts with the position columns. The struct carries the payload, so no
-second join fetches it. Decisions are unique by key, hence the join never multiplies facts; hot keys are cut
-into pieces by ``join_unique`` and meet again in the final aggregate as one row per task.
+second join fetches it. Decisions are unique by key (entries by key and delay), so the join does not multiply
+facts; hot keys are cut into pieces by ``join_unique`` and meet again in the final aggregate as one row per task.
 """
 
 from __future__ import annotations
@@ -113,56 +113,33 @@ def last_within_hold(
     hold_seconds: int,
     order: Sequence[str],
     payload: Sequence[str],
-    delays: Sequence[int] = (0, 1, 2),
     outcome_cutoff: int | Column | None = None,
     key: str = "token_address",
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Last fact from the entry position on and no later than ``entry_block_time + hold_seconds``.
 
-    ``entries`` is unique by key and delay and carries ``entry_<order column>``. The delays of one key are laid
-    side by side first, so each fact is joined once, not once per delay.
+    ``entries`` is unique by key and delay and carries ``entry_<order column>``. A key has at most one entry per
+    delay, and the position and time rules are part of the join, so only facts inside a hold leave it.
     """
     start = F.struct(*[F.col(f"entry_{c}").alias(f"o{i}") for i, c in enumerate(order)])
-    window = F.struct(start.alias("start"), (F.col("entry_block_time") + F.lit(hold_seconds)).alias("until"))
-    per_key = entries.groupBy(key).agg(
-        *[F.max(F.when(F.col("requested_delay_slots") == d, window)).alias(f"_e_{d}") for d in delays],
-        F.min("entry_block_time").alias("_first_time"),
-        F.max(F.col("entry_block_time") + F.lit(hold_seconds)).alias("_last_time"),
+    windows = entries.select(
+        key,
+        "requested_delay_slots",
+        start.alias("_start"),
+        (F.col("entry_block_time") + F.lit(hold_seconds)).alias("_until"),
     )
     usable = facts if outcome_cutoff is None else facts.where(F.col("block_time") < outcome_cutoff)
     position = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     hit = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *_extra(order, payload))
     lasts = (
-        join_unique(usable, per_key, [key], rows_per_task=rows_per_task)
-        .where(F.col("block_time") <= F.col("_last_time"))
-        .groupBy(key)
-        .agg(
-            *[
-                F.max(
-                    F.when(
-                        (position >= F.col(f"_e_{d}.start")) & (F.col("block_time") <= F.col(f"_e_{d}.until")), hit
-                    )
-                ).alias(f"_x_{d}")
-                for d in delays
-            ]
-        )
-    )
-    marks = lasts.select(
-        key,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(d).alias("requested_delay_slots"), F.col(f"_x_{d}").alias("hit"))
-                    for d in delays
-                ]
-            )
-        ).alias("_row"),
-    ).where(F.col("_row.hit").isNotNull())
-    flat = marks.select(
-        key, F.col("_row.requested_delay_slots"), *_payload_columns("_row.hit", order, payload, "exit")
+        join_unique(usable, windows, [key], rows_per_task=rows_per_task)
+        .where((F.col("block_time") <= F.col("_until")) & (position >= F.col("_start")))
+        .groupBy(key, "requested_delay_slots")
+        .agg(F.max(hit).alias("_hit"))
     )
-    return entries.join(flat, [key, "requested_delay_slots"], "left")
+    marks = lasts.select(key, "requested_delay_slots", *_payload_columns("_hit", order, payload, "exit"))
+    return entries.join(marks, [key, "requested_delay_slots"], "left")
 
 
 def _extra(order: Sequence[str], payload: Sequence[str]) -> list[Column]:

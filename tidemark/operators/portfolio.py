@@ -6,12 +6,12 @@ grows with the number of distinct times, and it is scanned bucket by bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.scan import choose_buckets, running_totals, with_buckets
 
 MONEY = "decimal(28,10)"
@@ -55,10 +55,12 @@ def equity_curve(
     """
     keys = list(keys)
     per_time = rows.groupBy(*keys, F.col(time).alias("time")).agg(F.sum(F.col(pnl).cast(MONEY)).alias("pnl"))
-    return _curve(per_time, initial.withColumnRenamed(initial_column, "_initial").select(*keys, "_initial"), keys, buckets)
+    return _curve(per_time, initial.withColumnRenamed(initial_column, "_initial").select(*keys, "_initial"), keys, keys, buckets)
 
 
-def _curve(per_time: DataFrame, initial: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+def _curve(
+    per_time: DataFrame, initial: DataFrame, keys: list[str], initial_keys: list[str], buckets: int | None = None
+) -> DataFrame:
     buckets = choose_buckets(per_time, buckets)
     bucketed = with_buckets(per_time, ["time"], buckets=buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,7 +77,7 @@ def _curve(per_time: DataFrame, initial: DataFrame, keys: list[str], buckets: in
         )
         joined = local.join(carried, [*keys, "_bucket"])
     start = F.broadcast(initial)  # one row per scenario of a fixed grid
-    with_start = joined.join(start, keys) if keys else joined.crossJoin(start)
+    with_start = joined.join(start, initial_keys) if initial_keys else joined.crossJoin(start)
     begin = F.col("_initial").cast(MONEY)
     return with_start.select(
         *keys,
@@ -111,76 +113,86 @@ def worst_drawdown(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def portfolio_grid(
-    rows: DataFrame, fees: DataFrame, *, notional: float | str, keys: Sequence[str] = (), buckets: int | None = None
+    rows: DataFrame,
+    fees: Mapping[str, float],
+    *,
+    notional: float,
+    keys: Sequence[str] = (),
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Weighted fixed-notional results for each scenario key and fee scenario.
+    """Weighted fixed-notional results for each scenario key and fee scenario (name to basis points).
 
     ``rows``: keys, ``population_weight``, ``gross_return``, ``entry_block_time``, ``exit_target_time``.
-    ``fees``: one row per fee scenario (``fee_scenario``, ``fee_bps``).
-    A fee shifts every return by the same amount, so quantiles and peaks are taken once per scenario key and the
-    fee grid is applied to sums that were already collapsed per exit time.
+    One pass sums weights and weighted returns per key and exit time; a fee shifts every return by the same amount,
+    so the fee grid is laid over those sums and over the quantiles, never over the rows.
     """
     keys = list(keys)
     grid = [*keys, "fee_scenario"]
-    stake = F.lit(float(notional)) if isinstance(notional, (int, float)) else F.col(notional)
-    fees = F.broadcast(fees)  # a handful of scenarios
     w, gross = F.col("population_weight"), F.col("gross_return")
-    net = gross - F.col("fee_bps") / F.lit(10_000.0)
-    basic = (
-        rows.crossJoin(fees)
-        .groupBy(*grid, "fee_bps")
-        .agg(
-            F.count(F.lit(1)).alias("executed_sample_rows"),
-            F.sum(w.cast(MONEY)).alias("_w"),
-            F.sum((w * gross).cast(MONEY)).alias("_wg"),
-            F.sum((w * net).cast(MONEY)).alias("_wn"),
-            F.sum(F.when(net > 0, w).otherwise(F.lit(0.0)).cast(MONEY)).alias("_hit"),
-            F.max(stake).alias("_stake"),
+    shift = {name: float(bps) / 10_000.0 for name, bps in fees.items()}
+    per_exit = rows.groupBy(*keys, F.col("exit_target_time").alias("time")).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(w.cast(MONEY)).alias("_w"),
+        F.sum((w * gross).cast(MONEY)).alias("_wg"),
+        *[
+            F.sum(F.when(gross - F.lit(s) > 0, w).otherwise(F.lit(0.0)).cast(MONEY)).alias(f"_hit_{i}")
+            for i, s in enumerate(shift.values())
+        ],
+    )
+    scenario = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("fee_scenario"),
+                    F.lit(float(fees[name])).alias("fee_bps"),
+                    F.lit(s).alias("shift"),
+                    F.col(f"_hit_{i}").alias("hit"),
+                )
+                for i, (name, s) in enumerate(shift.items())
+            ]
         )
     )
-    shares = unpivot_measures(rows, keys, ["gross_return"])
+    spread = per_exit.withColumn("_f", scenario).select(*keys, "_f.*", "time", "_rows", "_w", "_wg")
+    basic = spread.groupBy(*grid, "fee_bps", "shift").agg(
+        F.sum("_rows").alias("executed_sample_rows"),
+        F.sum("_w").cast("double").alias("_w"),
+        F.sum("_wg").cast("double").alias("_wg"),
+        F.sum("hit").cast("double").alias("_hit"),
+    )
     quantiles = exact_quantiles(
-        shares, value="value", probs={"_q50": 0.5, "_q90": 0.9, "_q99": 0.99}, keys=keys, buckets=buckets
+        rows, value="gross_return", probs={"_q50": 0.5, "_q90": 0.9, "_q99": 0.99}, keys=keys, buckets=buckets
     ).drop("value_rows")
     peaks = peak_level(
         rows, start="entry_block_time", end="exit_target_time", level="population_weight",
         name="max_concurrent_weighted_positions", keys=keys, buckets=buckets,
     )
-    per_exit = rows.groupBy(*keys, F.col("exit_target_time").alias("time")).agg(
-        F.sum((w * gross * stake).cast(MONEY)).alias("_g"), F.sum((w * stake).cast(MONEY)).alias("_n")
-    )
-    timeline = per_exit.crossJoin(fees).select(
-        *grid,
-        "time",
-        (F.col("_g") - (F.col("_n").cast("double") * F.col("fee_bps") / F.lit(10_000.0)).cast(MONEY))
-        .cast(MONEY)
-        .alias("pnl"),
-    )
-    stakes = basic.select(*grid, "_stake")
-    keyed_peaks = basic.select(*grid).join(peaks, keys) if keys else basic.select(*grid).crossJoin(peaks)
-    initial = keyed_peaks.join(stakes, grid).select(
-        *grid, (F.col("_stake") * F.col("max_concurrent_weighted_positions")).alias("_initial")
+    # Decimal products would lose scale; both sums are exact, so this product is the same on every run.
+    pnl = (F.col("_wg").cast("double") - F.col("_w").cast("double") * F.col("shift")) * F.lit(float(notional))
+    timeline = spread.select(*grid, "time", pnl.cast(MONEY).alias("pnl"))
+    # One row per scenario key of a fixed grid.
+    initial = peaks.select(
+        *keys, (F.lit(float(notional)) * F.col("max_concurrent_weighted_positions")).alias("_initial")
     )
-    drawdown = worst_drawdown(_curve(timeline, initial, grid, buckets), grid)
-    joined = basic.join(quantiles, keys) if keys else basic.crossJoin(quantiles)
-    joined = joined.join(peaks, keys) if keys else joined.crossJoin(peaks)
-    weight = F.col("_w").cast("double")
-    return joined.join(drawdown, grid).select(
+    drawdown = worst_drawdown(_curve(timeline, initial, grid, keys, buckets), grid)
+    on_keys = lambda left, right: left.join(right, keys) if keys else left.crossJoin(right)
+    joined = on_keys(on_keys(basic, quantiles), peaks).join(drawdown, grid)
+    weight, mean = F.col("_w"), F.col("_wg") / F.col("_w")
+    return joined.select(
         *grid,
         "fee_bps",
         "executed_sample_rows",
         weight.alias("executed_population_weight"),
-        (F.col("_wg").cast("double") / weight).alias("gross_mean_return"),
+        mean.alias("gross_mean_return"),
         F.col("_q50").alias("gross_median_return_unweighted"),
         F.col("_q90").alias("gross_p90_return_unweighted"),
         F.col("_q99").alias("gross_p99_return_unweighted"),
-        (F.col("_wn").cast("double") / weight).alias("net_mean_return"),
-        (F.col("_q50") - F.col("fee_bps") / F.lit(10_000.0)).alias("net_median_return_unweighted"),
-        (F.col("_hit").cast("double") / weight).alias("net_hit_rate"),
-        (weight * F.col("_stake")).alias("total_weighted_notional_usd"),
-        (F.col("_wn").cast("double") * F.col("_stake")).alias("total_weighted_pnl_usd"),
+        (mean - F.col("shift")).alias("net_mean_return"),
+        (F.col("_q50") - F.col("shift")).alias("net_median_return_unweighted"),
+        (F.col("_hit") / weight).alias("net_hit_rate"),
+        (weight * F.lit(float(notional))).alias("total_weighted_notional_usd"),
+        ((F.col("_wg") - weight * F.col("shift")) * F.lit(float(notional))).alias("total_weighted_pnl_usd"),
         "max_concurrent_weighted_positions",
-        (F.col("_stake") * F.col("max_concurrent_weighted_positions")).alias("initial_capital_usd"),
+        (F.lit(float(notional)) * F.col("max_concurrent_weighted_positions")).alias("initial_capital_usd"),
         "ending_equity_usd",
         "minimum_equity_usd",
         "insolvent_under_capital_model",

@@ -49,7 +49,7 @@ def join_unique(
     spread: Column | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` with a table that has at most one row per key, cutting hot keys of ``big`` into pieces.
+    """Join ``big`` with a table that has one row per key (or a few, fixed in number), cutting hot keys into pieces.
 
     Only the rows of ``small`` for hot keys are repeated (once per piece), so the extra volume is bounded by
     the number of pieces. ``spread`` chooses the piece of a row; the default row counter also spreads exact

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +28,14 @@ def select_above(
 
 def mark_returns(
     entries: DataFrame, facts: DataFrame, *, hold_seconds: int, outcome_cutoff: int | Column, order: Sequence[str],
-    payload: Sequence[str], delays: Sequence[int] = (0, 1, 2),
+    payload: Sequence[str],
 ) -> DataFrame:
     """Keep entries whose hold ends before the cutoff, mark the exit and compute the gross return."""
     eligible = entries.where(
         F.col("covered") & (F.col("entry_block_time") + F.lit(hold_seconds) < outcome_cutoff)
     ).withColumn("exit_target_time", F.col("entry_block_time") + F.lit(hold_seconds))
     marked = last_within_hold(
-        eligible, facts, hold_seconds=hold_seconds, order=order, payload=payload, delays=delays,
-        outcome_cutoff=outcome_cutoff,
+        eligible, facts, hold_seconds=hold_seconds, order=order, payload=payload, outcome_cutoff=outcome_cutoff
     )
     return marked.withColumns(
         {
@@ -47,7 +46,7 @@ def mark_returns(
 
 
 def replica_backtest(
-    selected: DataFrame, facts: DataFrame, fees: DataFrame, *, notional: float, hold_seconds: int,
+    selected: DataFrame, facts: DataFrame, fees: Mapping[str, float], *, notional: float, hold_seconds: int,
     outcome_cutoff: int | Column, order: Sequence[str], payload: Sequence[str], delays: Sequence[int] = (0, 1, 2),
 ) -> tuple[DataFrame, DataFrame]:
     """Marked rows and the delay x policy x fee grid with coverage and delay statistics.
@@ -58,8 +57,7 @@ def replica_backtest(
     entries = materialise(first_at_or_after(selected, facts, order=order, payload=payload, delays=delays))
     marked = materialise(
         mark_returns(
-            entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload,
-            delays=delays,
+            entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload
         )
     )
     keys = ["requested_delay_slots", "execution_policy"]
@@ -96,7 +94,7 @@ def replica_backtest(
 
 
 def position_backtest(
-    selected: DataFrame, facts: DataFrame, fees: DataFrame, *, position_lag: int, notional: float, hold_seconds: int,
+    selected: DataFrame, facts: DataFrame, fees: Mapping[str, float], *, position_lag: int, notional: float, hold_seconds: int,
     outcome_cutoff: int | Column, order: Sequence[str], payload: Sequence[str],
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries with a position floor in the decision slot, marked rows and the fee grid."""
@@ -107,21 +105,20 @@ def position_backtest(
     )
     marked = materialise(
         mark_returns(
-            entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload,
-            delays=(0,),
+            entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload
         )
     )
     return entries, marked, portfolio_grid(marked, fees, notional=notional)
 
 
-def fee_scenarios(behavior: DataFrame) -> DataFrame:
-    """The three fee scenarios derived from one row of behaviour parameters."""
-    scenarios = F.array(
-        F.struct(F.lit("gross").alias("fee_scenario"), F.lit(0.0).alias("fee_bps")),
-        F.struct(F.lit("training_median_fee").alias("fee_scenario"), F.col("roundtrip_median_bps").alias("fee_bps")),
-        F.struct(F.lit("training_p90_fee").alias("fee_scenario"), F.col("roundtrip_p90_bps").alias("fee_bps")),
-    )
-    return behavior.select(F.explode(scenarios).alias("s")).select("s.*")
+def fee_scenarios(behavior: DataFrame) -> dict[str, float]:
+    """The three fee scenarios of one row of behaviour parameters."""
+    row = behavior.select("roundtrip_median_bps", "roundtrip_p90_bps").first()
+    return {
+        "gross": 0.0,
+        "training_median_fee": row["roundtrip_median_bps"],
+        "training_p90_fee": row["roundtrip_p90_bps"],
+    }
 
 
 def staleness(marked: DataFrame) -> DataFrame:

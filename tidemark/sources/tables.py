@@ -41,6 +41,19 @@ def read_lines(spark: SparkSession, path: str, *, partitions: int | None = None)
     return lines.repartition(partitions, "line_number") if partitions else lines
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Give every core work when the files offer fewer splits than there are cores.
+
+    A table in a few large row groups would otherwise be parsed or joined by a few tasks. Input with enough splits,
+    such as any large table, is returned as it is.
+    """
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *columns)
+
+
 def systematic_sample(df: DataFrame, stride: int, ordinal: str = "line_number") -> DataFrame:
     """Keep ordinals divisible by the stride; the same rows every time."""
     if stride < 1:
