@@ -10,7 +10,13 @@ from tidemark.functions import derived
 from tidemark.functions.clock import add_utc_clock
 from tidemark.functions.transaction import FEATURE_COLUMNS, transaction_features
 from tidemark.plans.dataset import combine_classes, labelled_features
-from tidemark.plans.experiments import permutation_importance, score_variants, variant_deltas, variant_results
+from tidemark.plans.experiments import (
+    development_report,
+    permutation_importance,
+    score_variants,
+    variant_deltas,
+    variant_results,
+)
 from tidemark.plans.models import ModelSpec, fit
 from tidemark.operators.splits import three_way_split
 from tidemark.sources.scratch import materialise
@@ -111,7 +117,7 @@ GROUPS = {"creator_history": HISTORY, "value": ["o_totalprice"], "structure": ["
           "decision_time": ["decision_hour_utc", "decision_weekday_utc"]}
 
 
-def _training_table(spark, sf_dir):
+def training_table(spark, sf_dir):
     rows = add_utc_clock(
         labelled(spark, sf_dir).withColumn("moment", F.timestamp_seconds("decision_time")), "moment"
     )
@@ -119,7 +125,7 @@ def _training_table(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, spec):
-    split = materialise(three_way_split(_training_table(spark, sf_dir), "decision_time"))
+    split = materialise(three_way_split(training_table(spark, sf_dir), "decision_time"))
     model = fit(split.where(F.col("split") == "train"), FEATURES, spec)
     return model.score(split.where(F.col("split") == "validation")).select("token_address", "label", "probability")
 
@@ -134,9 +140,20 @@ def gbt_scores(spark, sf_dir):
     return _scores(spark, sf_dir, ModelSpec("boosting", rounds=20))
 
 
+@query("baseline_report")
+def baseline_report(spark, sf_dir):
+    return development_report(training_table(spark, sf_dir), FEATURES, ModelSpec("logistic"), evaluate_test=True)
+
+
+@query("boosting_report")
+def boosting_report(spark, sf_dir):
+    spec = ModelSpec("boosting", rounds=10)
+    return development_report(training_table(spark, sf_dir), FEATURES, spec, evaluate_test=False)
+
+
 @query("ablation")
 def ablation(spark, sf_dir):
-    table = _training_table(spark, sf_dir)
+    table = training_table(spark, sf_dir)
     variants = {"without_history": [f for f in FEATURES if f not in HISTORY], "with_history": FEATURES}
     scored = materialise(score_variants(table, variants, ModelSpec("logistic")))
     return variant_deltas(variant_results(scored, "history"), "without_history")
@@ -144,7 +161,7 @@ def ablation(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation(spark, sf_dir):
-    split = materialise(three_way_split(_training_table(spark, sf_dir), "decision_time"))
+    split = materialise(three_way_split(training_table(spark, sf_dir), "decision_time"))
     model = fit(split.where(F.col("split") == "train"), FEATURES, ModelSpec("logistic"))
     validation = materialise(split.where(F.col("split") == "validation").select("token_address", "label", *FEATURES))
     return permutation_importance(model, validation, GROUPS, repeats=3)

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
-from catalog.asof_queries import SLOT_ENTRIES_SQL, marked_rows
+from catalog.asof_queries import SLOT_ENTRIES_SQL, first_entries, marked_rows, slot_entries
+from catalog.feature_queries import FEATURES, HISTORY, training_table
 from catalog.registry import query
 from catalog.wallet_queries import (
     CASHFLOW_SQL,
@@ -19,6 +20,7 @@ from catalog.wallet_queries import (
 )
 from tidemark.operators import compare, portfolio
 from tidemark.plans import backtest
+from tidemark.plans.models import ModelSpec
 from tidemark.sources.scratch import materialise
 from tidemark.plans.wallet_report import head_to_head, wallet_portfolio
 
@@ -391,3 +393,61 @@ def wallet_vs_replica(spark, sf_dir):
         b.wallet(spark, sf_dir), wallet_decisions(spark, sf_dir), start=_WALLET_START, holdout_start=_WALLET_BOUNDARY
     )
     return head_to_head(summary, _position(spark, sf_dir)[2])
+
+
+@query(
+    "first_trade_gap",
+    f"""WITH {b.DEPLOYMENTS_SQL}, {b.TRADES_SQL}, {b.first_entries_sql()}, g AS (
+        SELECT entry_tx_index - deploy_tx_index AS gap FROM entries
+        WHERE requested_delay_slots = 0 AND actual_delay_slots = 0)
+    SELECT count(*) AS rows, min(gap) AS minimum, max(gap) AS maximum,
+           round(avg(CASE WHEN gap >= 2 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS share_at_or_after_lag,
+           round(quantile_cont(CAST(gap AS DOUBLE), 0.1), 6) AS p10,
+           round(quantile_cont(CAST(gap AS DOUBLE), 0.5), 6) AS median,
+           round(quantile_cont(CAST(gap AS DOUBLE), 0.9), 6) AS p90 FROM g""",
+)
+def first_trade_gap(spark, sf_dir):
+    gap = backtest.first_trade_gap(materialise(first_entries(spark, sf_dir)), 2)
+    return rounded(rounded(gap, ["share_at_or_after_lag"], 9), ["p10", "median", "p90"])
+
+
+@query(
+    "position_coverage",
+    f"""WITH {b.DEPLOYMENTS_SQL}, {b.TRADES_SQL}, {SLOT_ENTRIES_SQL}, c AS (
+    SELECT count(*) AS attempted_sample_rows, sum(population_weight) AS attempted_population_weight,
+           count(*) FILTER (WHERE covered) AS covered_sample_rows,
+           coalesce(sum(population_weight) FILTER (WHERE covered), 0) AS covered_population_weight,
+           min(actual_position_delta) AS minimum_delta, max(actual_position_delta) AS maximum_delta,
+           round(quantile_cont(CAST(actual_position_delta AS DOUBLE), 0.5), 6) AS median_delta,
+           round(quantile_cont(CAST(actual_position_delta AS DOUBLE), 0.9), 6) AS p90_delta FROM slot_entries)
+    SELECT *, round(covered_sample_rows / attempted_sample_rows, 9) AS coverage_rate_sampled,
+           round(covered_population_weight / attempted_population_weight, 9) AS coverage_rate_population_weighted FROM c""",
+)
+def position_coverage(spark, sf_dir):
+    out = backtest.position_coverage(materialise(slot_entries(spark, sf_dir)))
+    rates = ["coverage_rate_sampled", "coverage_rate_population_weighted"]
+    return rounded(rounded(out, rates, 9), ["median_delta", "p90_delta"])
+
+
+def _model_backtest(spark, sf_dir, features):
+    table = b.decisions(spark, sf_dir).join(
+        training_table(spark, sf_dir).drop("decision_time", "label"), "token_address"
+    )
+    return backtest.validation_backtest(
+        table, features, ModelSpec("logistic"), b.trades(spark, sf_dir), b.FEE_GRID, notional=b.NOTIONAL,
+        hold_seconds=b.HOLD_SECONDS, order=b.ORDER, payload=("price_usd", "price_sol"),
+    )
+
+
+@query("validation_backtest")
+def validation_backtest(spark, sf_dir):
+    _, grid, decision = _model_backtest(spark, sf_dir, FEATURES)
+    return grid.crossJoin(F.broadcast(decision))  # one row
+
+
+@query("selector_comparison")
+def selector_comparison(spark, sf_dir):
+    raw = _model_backtest(spark, sf_dir, [f for f in FEATURES if f not in HISTORY])
+    proxy = _model_backtest(spark, sf_dir, FEATURES)
+    overlap, both, decision = backtest.compare_selectors(raw[:2], proxy[:2])
+    return both.crossJoin(F.broadcast(decision.select("decision"))).crossJoin(F.broadcast(overlap))  # one row each

@@ -7,6 +7,7 @@ from catalog.registry import query
 from tidemark.functions.derived import fee_rate_bps
 from tidemark.operators import cashflow
 from tidemark.operators.quantiles import finite_summary
+from tidemark.plans.audits import audit_wallet
 from tidemark.plans.latency import entry_latency, latency_summary
 from tidemark.sources.scratch import materialise
 
@@ -355,3 +356,17 @@ def latency_summary_query(spark, sf_dir):
 def position_params(spark, sf_dir):
     params = cashflow.position_parameters(latency(spark, sf_dir), b.WALLET_TRAIN_END)
     return rounded(params, [f"share_at_or_before_{k}" for k in (10, 50, 100)] + list(cashflow.POSITION_PROBS))
+
+
+@query(
+    "wallet_audit",
+    f"""WITH {W}, {SUMMARY_SQL}, full_summary AS (SELECT *, gross_sell_usd - gross_buy_usd AS gross_pnl_usd FROM summary),
+    buys AS (SELECT *, cost_usd AS all_buy_size_usd, cost_usd AS entry_size_usd,
+        row_number() OVER (PARTITION BY token_address ORDER BY "timestamp", tx_hash) AS rn FROM wallet
+        WHERE event_type = 'buy')
+    {_stats('entry_size_usd', '(SELECT * FROM buys WHERE rn = 1)')} UNION ALL {_stats('all_buy_size_usd', 'buys')}
+    UNION ALL {_stats('sell_transactions', 'full_summary')} UNION ALL {_stats('hold_seconds', 'full_summary')}
+    UNION ALL {_stats('gross_pnl_usd', 'full_summary')}""",
+)
+def wallet_audit(spark, sf_dir):
+    return rounded(audit_wallet(b.wallet(spark, sf_dir)), ["mean", "median", "p90"])

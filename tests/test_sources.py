@@ -49,7 +49,7 @@ def test_full_trade_and_candle_audit(spark):
     report = quality.trade_audit(df, sides=quality.SIDES, programs=quality.PROGRAMS)
     row = report.first()
     for name in ("slot_index_encoding_mismatch_rows", "timestamp_mismatch_rows", "invalid_side_rows",
-                 "invalid_program_rows", "nonpositive_price_rows", "nonpositive_base_rows", "negative_amount_rows",
+                 "invalid_program_rows", "nonpositive_price_or_base_rows", "negative_amount_rows",
                  "noncanonical_quote_rows", "pre_deploy_position_rows", "slot_plus_1_rows", "slot_plus_1_tokens"):
         assert row[name] == 1, name
     assert row.creator_signer_difference_rows == 2 and row.unique_tokens == 1
@@ -62,12 +62,24 @@ def test_full_trade_and_candle_audit(spark):
     assert quality.issues(clean, present).first().source_validation_status == "passed"
     nulls = {r.column_name: r.null_rows for r in quality.null_report(df).collect()}
     assert nulls["amount_usd"] == 2 and nulls["deploy_tx_hash"] == 1 and nulls["side"] == 0
+    from tidemark.plans.audits import audit_candles, audit_trades
+
+    whole = audit_trades(df, key=["slot_index_id"]).first()
+    assert whole.tokens_with_multiple_deploy_contexts == 1 and whole.duplicate_key_groups == 0
+    assert whole.quality_issues.startswith("unexpected_null_values,null_amount_fields_require_size_filter")
+    assert whole.exact_slot_delay_supported
     bars = spark.createDataFrame(
         [("A", "1s", 1000, 1, 500, 0, 1.0, 2.0, 3.0, 5.0, -1.0, 1.0)], schemas.CANDLES
     )
     audit = quality.bar_audit(bars).first()
     assert (audit.pre_deploy_rows, audit.minimum_pre_deploy_delta_ms, audit.invalid_ohlc_rows) == (1, -500, 1)
     assert (audit.second_alignment_violations, audit.negative_flow_rows, audit.pre_deploy_tokens) == (1, 1, 1)
+    found = audit_candles(bars.unionAll(bars)).first()
+    assert found.quality_issues == (
+        "pre_deploy_candles_require_exclusion,second_timestamp_alignment,invalid_ohlc,negative_volume_or_amount,"
+        "duplicate_token_resolution_time_keys"
+    )
+    assert not found.exact_slot_delay_supported
 
 
 def write_lines(path, documents):

@@ -99,9 +99,11 @@ def trade_audit(trades: DataFrame, *, sides: Sequence[str], programs: Sequence[s
         "later_slot_rows": distance > 2,
         "pre_deploy_time_rows": F.col("block_time") < F.col("deploy_block_time"),
         "invalid_side_rows": ~F.col("side").isin(*sides),
-        "nonpositive_price_rows": (F.col("price_usd") <= 0) | (F.col("price_sol") <= 0),
+        "nonpositive_price_or_base_rows": (F.col("price_usd") <= 0) | (F.col("price_sol") <= 0),
     }
     present = set(trades.columns)
+    if "base_amount" in present:
+        checks["nonpositive_price_or_base_rows"] = checks["nonpositive_price_or_base_rows"] | (F.col("base_amount") <= 0)
     if programs is not None and "program" in present:
         checks["invalid_program_rows"] = ~F.col("program").isin(*programs)
     if {"slot_index_id", "event_index"} <= present:
@@ -118,8 +120,6 @@ def trade_audit(trades: DataFrame, *, sides: Sequence[str], programs: Sequence[s
         checks["negative_amount_rows"] = (
             (F.col("amount_usd") < 0) | (F.col("amount_sol") < 0) | (F.col("quote_amount") < 0)
         )
-    if "base_amount" in present:
-        checks["nonpositive_base_rows"] = F.col("base_amount") <= 0
     if {"quote_mint", "base_decimals", "quote_decimals"} <= present:
         checks["noncanonical_quote_rows"] = (
             (F.col("quote_mint") != QUOTE_MINT) | (F.col("base_decimals") != 6) | (F.col("quote_decimals") != 9)
@@ -157,8 +157,7 @@ GUARDED_TRADE_COUNTERS = (
     "timestamp_mismatch_rows",
     "invalid_side_rows",
     "invalid_program_rows",
-    "nonpositive_price_rows",
-    "nonpositive_base_rows",
+    "nonpositive_price_or_base_rows",
     "negative_amount_rows",
     "noncanonical_quote_rows",
     "duplicate_key_groups",

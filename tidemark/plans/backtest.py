@@ -7,9 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.derived import population_weight
 from tidemark.operators.asof import first_at_or_after, first_in_slot_from, last_within_hold
+from tidemark.operators.compare import delay_gate, replica_comparison_gate, selection_overlap, side_by_side
+from tidemark.operators.joins import in_window
+from tidemark.operators.metrics import best_f1, pr_curve
 from tidemark.operators.portfolio import by_policy, portfolio_grid
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
+from tidemark.operators.splits import require_both_classes, require_sealed, three_way_split
+from tidemark.plans.models import ModelSpec, fit
 from tidemark.sources.scratch import materialise
 
 
@@ -121,6 +127,94 @@ def fee_scenarios(behavior: DataFrame) -> dict[str, float]:
     }
 
 
+def first_trade_gap(entries: DataFrame, position_lag: int) -> DataFrame:
+    """Position gap between decision and first trade for entries in the decision slot, and the share beyond the lag."""
+    gaps = entries.where(
+        (F.col("requested_delay_slots") == 0) & (F.col("actual_delay_slots") == 0)
+    ).select((F.col("entry_tx_index") - F.col("deploy_tx_index")).alias("gap"))
+    basic = gaps.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("gap").alias("minimum"),
+        F.max("gap").alias("maximum"),
+        F.avg((F.col("gap") >= position_lag).cast("double")).alias("share_at_or_after_lag"),
+    )
+    return basic.crossJoin(
+        exact_quantiles(gaps, value="gap", probs={"p10": 0.1, "median": 0.5, "p90": 0.9}).drop("value_rows")
+    )
+
+
+def position_coverage(entries: DataFrame) -> DataFrame:
+    """Attempted and covered rows and weights of position entries, and the position gaps of the covered ones."""
+    covered, weight = F.col("covered"), F.col("population_weight")
+    basic = entries.agg(
+        F.count(F.lit(1)).alias("attempted_sample_rows"),
+        F.sum(weight).alias("attempted_population_weight"),
+        F.count_if(covered).alias("covered_sample_rows"),
+        F.coalesce(F.sum(F.when(covered, weight)), F.lit(0.0)).alias("covered_population_weight"),
+        F.min("actual_position_delta").alias("minimum_delta"),
+        F.max("actual_position_delta").alias("maximum_delta"),
+    ).withColumns(
+        {
+            "coverage_rate_sampled": F.col("covered_sample_rows") / F.col("attempted_sample_rows"),
+            "coverage_rate_population_weighted": F.col("covered_population_weight")
+            / F.col("attempted_population_weight"),
+        }
+    )
+    gaps = exact_quantiles(
+        entries, value="actual_position_delta", probs={"median_delta": 0.5, "p90_delta": 0.9}
+    ).drop("value_rows")
+    return basic.crossJoin(gaps)
+
+
+def validation_backtest(
+    dataset: DataFrame, features: Sequence[str], spec: ModelSpec, facts: DataFrame, fees: Mapping[str, float], *,
+    notional: float, hold_seconds: int, order: Sequence[str], payload: Sequence[str], start: object = None,
+    time: str = "decision_time",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit on the training part, select on validation at its best F1, trade the selection, and decide.
+
+    ``dataset`` carries the decision position (``deploy_*``) next to features, label and ``decision_time`` in epoch
+    seconds. The test part is never scored; its first time is the outcome cutoff. Returns the selection, the
+    scenario grid and the decision.
+    """
+    split = materialise(three_way_split(in_window(dataset, time, F.col("label") == 1), time))
+    require_both_classes(split, "split")
+    cutoff = split.where(F.col("split") == "test").agg(F.min(time)).first()[0]
+    model = fit(split.where(F.col("split") == "train"), features, spec)
+    scored = materialise(
+        model.score(split.where(F.col("split") == "validation")).withColumn("population_weight", population_weight())
+    )
+    threshold = best_f1(pr_curve(scored)).first()["threshold"]
+    columns = ["token_address", time, "label", "deploy_block_time", "deploy_block_slot", "deploy_tx_index",
+               "probability", "population_weight"]
+    selected = materialise(
+        select_above(scored, threshold, time=time, start=start, holdout_start=cutoff).select(*columns)
+    )
+    require_sealed(selected, time, cutoff)
+    _, grid = replica_backtest(
+        selected, facts, fees, notional=notional, hold_seconds=hold_seconds, outcome_cutoff=cutoff, order=order,
+        payload=payload,
+    )
+    grid = materialise(grid)
+    return selected, grid, delay_gate(grid)
+
+
+def compare_selectors(
+    raw: tuple[DataFrame, DataFrame], proxy: tuple[DataFrame, DataFrame], *, names: tuple[str, str] = ("raw", "proxy")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overlap of two selections, their median-fee results side by side, and the comparison decision."""
+    keys = ["requested_delay_slots", "execution_policy", "fee_scenario"]
+    measures = ["net_mean_return", "net_median_return_unweighted", "net_hit_rate", "max_drawdown_fraction"]
+    flag = "insolvent_under_capital_model"
+    both = side_by_side(raw[1], proxy[1], keys, measures, names=names)
+    for side, name in ((raw[1], names[0]), (proxy[1], names[1])):
+        both = both.join(side.select(*keys, F.col(flag).alias(f"{name}_{flag}")), keys)
+    primary = both.where(
+        (F.col("execution_policy") == "all_observed_proxy") & (F.col("fee_scenario") == "training_median_fee")
+    )
+    return selection_overlap(raw[0], proxy[0]), both, replica_comparison_gate(primary, names=names)
+
+
 def staleness(marked: DataFrame) -> DataFrame:
     """How old exit marks are relative to the fixed exit time."""
     quantiles = exact_quantiles(marked, value="mark_staleness_seconds", probs={"median": 0.5, "p90": 0.9})

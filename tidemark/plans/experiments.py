@@ -15,10 +15,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.derived import population_weight
 from tidemark.functions.guards import require_feature_groups
 from tidemark.operators.compare import fold_summary
-from tidemark.operators.metrics import average_precision, evaluate, pr_curve
+from tidemark.operators.joins import in_window
+from tidemark.operators.metrics import (
+    average_precision,
+    best_f1,
+    calibration,
+    evaluate,
+    pr_curve,
+    threshold_metrics,
+)
 from tidemark.operators.scan import running_totals
-from tidemark.operators.splits import fold_boundaries, require_both_classes, three_way_boundaries
+from tidemark.operators.splits import (
+    fold_boundaries,
+    require_both_classes,
+    three_way_boundaries,
+    three_way_split,
+)
 from tidemark.plans.models import FittedModel, ModelSpec, fit
+from tidemark.sources.scratch import materialise
 
 STANDARD_FOLD = 0
 PERMUTATION_SEED = 20260802
@@ -74,6 +88,43 @@ def score_variants(
     return reduce(DataFrame.unionByName, scored)
 
 
+def development_report(
+    dataset: DataFrame, features: Sequence[str], spec: ModelSpec, *, evaluate_test: bool,
+    time: str = "decision_time", label: str = "label",
+) -> DataFrame:
+    """One model on the chronological split of the active window, one row per evaluated part.
+
+    The threshold is chosen on validation and only applied to test; with ``evaluate_test`` off, test rows are never
+    scored and their row says that they are withheld.
+    """
+    split = materialise(three_way_split(in_window(dataset, time, F.col(label) == 1), time))
+    require_both_classes(split, "split", label)
+    model = fit(split.where(F.col("split") == "train"), features, spec, label)
+    parts = ["validation", "test"] if evaluate_test else ["validation"]
+    scored = materialise(
+        model.score(split.where(F.col("split").isin(parts))).withColumn("population_weight", population_weight(label))
+    )
+    curve = pr_curve(scored, label=label, keys=["split"])
+    threshold = best_f1(curve.where(F.col("split") == "validation")).first()["threshold"]
+    plain = pr_curve(scored.withColumn("population_weight", F.lit(1.0)), label=label, keys=["split"])
+    measured = (
+        threshold_metrics(scored, threshold, label=label, keys=["split"])
+        .join(average_precision(curve, ["split"]), "split")
+        .join(
+            average_precision(plain, ["split"]).withColumnRenamed("average_precision", "sampled_average_precision"),
+            "split",
+        )
+        .join(calibration(scored, label=label, keys=["split"]), "split")
+    )
+    rows = split.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time")
+    )
+    status = F.when(F.col("average_precision").isNotNull(), "evaluated").when(
+        F.col("split") == "train", "fitted"
+    ).otherwise("withheld_until_candidate_freeze")
+    return rows.join(measured, "split", "left").withColumn("status", status)
+
+
 def variant_results(scored: DataFrame, experiment: str, label: str = "label") -> DataFrame:
     """Tall result table: experiment, fold, variant, metric, value."""
     metrics = evaluate(scored, label=label, keys=["fold", "variant"])
