@@ -441,13 +441,12 @@ def _model_backtest(spark, sf_dir, features):
 
 @query("validation_backtest")
 def validation_backtest(spark, sf_dir):
-    _, grid, decision = _model_backtest(spark, sf_dir, FEATURES)
-    return grid.crossJoin(F.broadcast(decision))  # one row
+    # The decision refuses an incomplete grid, which a small selection may give; it is registered on its own above.
+    return _model_backtest(spark, sf_dir, FEATURES)[1]
 
 
 @query("selector_comparison")
 def selector_comparison(spark, sf_dir):
     raw = _model_backtest(spark, sf_dir, [f for f in FEATURES if f not in HISTORY])
     proxy = _model_backtest(spark, sf_dir, FEATURES)
-    overlap, both, decision = backtest.compare_selectors(raw[:2], proxy[:2])
-    return both.crossJoin(F.broadcast(decision.select("decision"))).crossJoin(F.broadcast(overlap))  # one row each
+    return backtest.compare_selectors(raw[:2], proxy[:2])[0]

@@ -131,7 +131,10 @@ def attach_history(
         F.col("creator_first_prior_deploy_time").alias("_first"),
         F.col("creator_previous_deploy_time").alias("_previous"),
     )
-    joined = join_unique(deployments, facts, ["tx_signer", "block_slot"], rows_per_task=rows_per_task)
+    joined = join_unique(
+        deployments, facts, ["tx_signer", "block_slot"], spread=F.xxhash64(*deployments.columns),
+        rows_per_task=rows_per_task,
+    )
     return joined.select(
         *deployments.columns,
         "creator_prior_deploy_count",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import join_unique
+
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: ``rows``, ``unique_keys``; equal numbers mean the key is unique."""
@@ -48,6 +50,16 @@ def one_to_many(left: DataFrame, right: DataFrame, keys: Sequence[str], fan_out:
     return joined
 
 
+def matching(big: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``wanted`` (semi join), with hot keys of ``big`` cut into pieces."""
+    return join_unique(big, wanted.select(*keys).distinct(), keys)
+
+
+def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` without a partner. Right keys are made distinct first, so a hot key arrives once per task."""
+    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def cardinality_change(source: DataFrame, output: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows and unique keys before and after a step, in one row."""
     before = key_counts(source, keys).withColumnsRenamed({"rows": "source_rows", "unique_keys": "source_keys"})

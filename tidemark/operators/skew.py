@@ -52,8 +52,9 @@ def join_unique(
     """Join ``big`` with a table that has one row per key (or a few, fixed in number), cutting hot keys into pieces.
 
     Only the rows of ``small`` for hot keys are repeated (once per piece), so the extra volume is bounded by
-    the number of pieces. ``spread`` chooses the piece of a row; the default row counter also spreads exact
-    copies and is stable when ``big`` is a scan with projections and filters.
+    the number of pieces. ``spread`` chooses the piece of a row. The default row counter also spreads exact copies; it
+    gives the same piece on a retry when ``big`` is a scan with projections and filters. Pass a hash of identifying
+    columns when ``big`` comes out of a shuffle.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_unique supports inner and left joins")
