@@ -387,12 +387,23 @@ def wallet_portfolio_query(spark, sf_dir):
     return rounded_portfolio(summary).crossJoin(counts)
 
 
-@query("wallet_vs_replica")
+@query(
+    "wallet_vs_replica",
+    f"""SELECT 'wallet' AS entry_set, token_rows AS rows, round(net_mean_roi, 4) AS net_mean_return,
+        round(net_median_roi, 4) AS net_median_return, round(net_hit_rate, 4) AS hit_rate,
+        round(max_drawdown_fraction, 4) AS max_drawdown_fraction, round(net_pnl_usd, 2) AS net_pnl_usd
+    FROM (WITH {_wallet_sql()} SELECT {_PORTFOLIO_SELECT} FROM closed)
+    UNION ALL SELECT 'replica', executed_sample_rows, round(net_mean_return, 4), round(net_median_return_unweighted, 4),
+        round(net_hit_rate, 4), round(max_drawdown_fraction, 4), round(total_weighted_pnl_usd, 2)
+    FROM (WITH {_POSITION_SQL} SELECT {_GRID_SELECT} FROM grid) WHERE fee_scenario = 'training_median_fee'""",
+)
 def wallet_vs_replica(spark, sf_dir):
     _, summary = wallet_portfolio(
         b.wallet(spark, sf_dir), wallet_decisions(spark, sf_dir), start=_WALLET_START, holdout_start=_WALLET_BOUNDARY
     )
-    return head_to_head(summary, _position(spark, sf_dir)[2])
+    both = head_to_head(summary, _position(spark, sf_dir)[2])
+    ratios = ["net_mean_return", "net_median_return", "hit_rate", "max_drawdown_fraction"]
+    return rounded(rounded(both, ratios, 4), ["net_pnl_usd"], 2)
 
 
 @query(

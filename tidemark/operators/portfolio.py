@@ -203,8 +203,7 @@ def portfolio_grid(
 
 def by_policy(rows: DataFrame) -> DataFrame:
     """Repeat each row for the execution policies it satisfies."""
-    policies = F.array(
-        F.lit("all_observed_proxy"),
-        F.when(F.col("wait_slots_beyond_target") == 0, F.lit("exact_target_slot_only")),
-    )
-    return rows.withColumn("execution_policy", F.explode(F.filter(policies, lambda p: p.isNotNull())))
+    both = F.array(F.lit("all_observed_proxy"), F.lit("exact_target_slot_only"))
+    one = F.array(F.lit("all_observed_proxy"))
+    exact = F.col("wait_slots_beyond_target") == 0
+    return rows.withColumn("execution_policy", F.explode(F.when(exact, both).otherwise(one)))
