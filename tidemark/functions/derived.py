@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.guards import require_columns
 
+# Day length, shortest observation, length of the prefix "ipfs://", and the fee each signature costs.
 SECONDS_PER_DAY = 86_400.0
 MINIMUM_OBSERVED_DAYS = 1.0
-# Length of the prefix "ipfs://".
 IPFS_PREFIX_LENGTH = 7
 BASE_SIGNATURE_FEE = 5000
 

@@ -21,8 +21,8 @@ RAW_TRANSACTION_SCHEMA = """
 """
 _PARSED_SCHEMA = "type STRING, info STRING"
 _INFO_SCHEMA = "uri STRING, name STRING, symbol STRING"
+# The instruction that carries token metadata, and the names and order of the extracted columns.
 METADATA_TYPE = "initializeTokenMetadata"
-
 FEATURE_COLUMNS = [
     "decision_epoch",
     "block_slot",

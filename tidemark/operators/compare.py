@@ -7,7 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of the scenarios a gate looks at.
+ALL_OBSERVED = "all_observed_proxy"
+GROSS_FEE = "gross"
+MEDIAN_FEE = "training_median_fee"
+P90_FEE = "training_p90_fee"
+
+# The largest tolerated loss, and the decisions a gate can report.
 NONINFERIORITY_MARGIN = 0.002
+IMPROVES_ALL = "supported_improves_all_development_checks"
+WITHIN_MARGIN = "retained_semantically_within_noninferiority_margin"
+BEYOND_MARGIN = "rejected_exceeds_noninferiority_margin"
+NOT_CONSISTENT = "rejected_not_consistent_across_development_checks"
+NONINFERIOR = "supported_within_predeclared_noninferiority_margin"
+INFERIOR = "rejected_proxy_exceeds_noninferiority_margin"
+ONLY_DELAY_ZERO = "supported_only_requested_delay_zero_is_viable"
+OTHER_DELAYS = "rejected_viable_delay_set_differs_from_zero_only"
+POSITION_ROBUST = "supported_position_lag_remains_fee_robust_and_solvent"
+POSITION_FAILS = "rejected_position_lag_fails_fee_robust_capital_criterion"
+BACKTEST_SUPPORTED = "supported_on_predeclared_development_backtest_criterion"
+BACKTEST_REJECTED = "rejected_on_predeclared_development_backtest_criterion"
+FEASIBLE = "supported_fee_robust_position_lag_feasibility_on_development"
+INFEASIBLE = "rejected_fee_robust_position_lag_feasibility_on_development"
+CLOCK_FIX = "required_integrity_fix"
+CLOCK_CONSISTENT = "already_consistent"
+PROFITABLE = "supported_on_development_and_full_descriptive"
+UNPROFITABLE = "rejected_recorded_fees_remove_development_profitability"
 
 
 def selection_overlap(
@@ -82,27 +107,27 @@ def improvement_gate(deltas: DataFrame, keys: Sequence[str], value: str = "delta
         F.bool_and(F.col(value) > 0).alias("improves_all"), F.min(value).alias("minimum_delta")
     )
     decision = (
-        F.when(F.col("improves_all"), "supported_improves_all_development_checks")
+        F.when(F.col("improves_all"), IMPROVES_ALL)
         .when(
-            F.col("minimum_delta") >= -NONINFERIORITY_MARGIN, "retained_semantically_within_noninferiority_margin"
+            F.col("minimum_delta") >= -NONINFERIORITY_MARGIN, WITHIN_MARGIN
         )
-        .otherwise("rejected_exceeds_noninferiority_margin")
+        .otherwise(BEYOND_MARGIN)
     )
     return checks.withColumn("decision", decision)
 
 
 def strict_improvement_gate(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     return deltas.groupBy(*keys).agg(
-        F.when(F.bool_and(F.col(value) > 0), "supported_improves_all_development_checks")
-        .otherwise("rejected_not_consistent_across_development_checks")
+        F.when(F.bool_and(F.col(value) > 0), IMPROVES_ALL)
+        .otherwise(NOT_CONSISTENT)
         .alias("decision")
     )
 
 
 def noninferiority_gate(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     return deltas.groupBy(*keys).agg(
-        F.when(F.min(value) >= -NONINFERIORITY_MARGIN, "supported_within_predeclared_noninferiority_margin")
-        .otherwise("rejected_proxy_exceeds_noninferiority_margin")
+        F.when(F.min(value) >= -NONINFERIORITY_MARGIN, NONINFERIOR)
+        .otherwise(INFERIOR)
         .alias("decision")
     )
 
@@ -114,7 +139,7 @@ def _one_row(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column
 def delay_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Viable delays under median fees and all observed entries must be exactly zero."""
     primary = grid.where(
-        (F.col("execution_policy") == "all_observed_proxy") & (F.col("fee_scenario") == "training_median_fee")
+        (F.col("execution_policy") == ALL_OBSERVED) & (F.col("fee_scenario") == MEDIAN_FEE)
     )
     viable = (
         (F.col("net_mean_return") > 0)
@@ -134,8 +159,8 @@ def delay_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     decision = F.when(
         ~complete, F.raise_error(F.lit("results must contain exactly the delays 0, 1 and 2"))
     ).otherwise(
-        F.when(F.col("_viable") == F.array(F.lit(0)), "supported_only_requested_delay_zero_is_viable").otherwise(
-            "rejected_viable_delay_set_differs_from_zero_only"
+        F.when(F.col("_viable") == F.array(F.lit(0)), ONLY_DELAY_ZERO).otherwise(
+            OTHER_DELAYS
         )
     )
     return sets.select(*keys, F.array_join("_viable", ",").alias("viable_delays"), decision.alias("decision"))
@@ -143,7 +168,7 @@ def delay_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def position_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Median-fee mean and median must be positive and the capital path solvent."""
-    rows = grid.where(F.col("fee_scenario") == "training_median_fee")
+    rows = grid.where(F.col("fee_scenario") == MEDIAN_FEE)
     passed = (
         (F.col("net_mean_return") > 0)
         & (F.col("net_median_return_unweighted") > 0)
@@ -153,8 +178,8 @@ def position_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     decision = F.when(
         F.col("_n") != 1, F.raise_error(F.lit("results must contain one median-fee row"))
     ).otherwise(
-        F.when(F.col("all_checks_passed"), "supported_position_lag_remains_fee_robust_and_solvent").otherwise(
-            "rejected_position_lag_fails_fee_robust_capital_criterion"
+        F.when(F.col("all_checks_passed"), POSITION_ROBUST).otherwise(
+            POSITION_FAILS
         )
     )
     return counted.select(*keys, "all_checks_passed", decision.alias("decision"))
@@ -186,8 +211,8 @@ def replica_comparison_gate(comparison: DataFrame, keys: Sequence[str] = (), *,
         F.col("_all") != F.array(F.lit(0), F.lit(1), F.lit(2)),
         F.raise_error(F.lit("comparison must contain exactly the delays 0, 1 and 2")),
     ).otherwise(
-        F.when(passed, "supported_on_predeclared_development_backtest_criterion").otherwise(
-            "rejected_on_predeclared_development_backtest_criterion"
+        F.when(passed, BACKTEST_SUPPORTED).otherwise(
+            BACKTEST_REJECTED
         )
     )
     return checks.withColumn("decision", decision).drop("_all")
@@ -200,7 +225,7 @@ def fee_robust_gate(comparison: DataFrame, keys: Sequence[str] = (), *, names: t
     at = lambda scenario, rule: F.bool_or((fee == scenario) & rule)
     solvent = ~F.col(f"{b}_insolvent_under_capital_model")
     profit = F.col(f"{b}_net_mean_return") > 0
-    median, p90 = "training_median_fee", "training_p90_fee"
+    median, p90 = MEDIAN_FEE, P90_FEE
     checks = _one_row(
         comparison,
         keys,
@@ -221,11 +246,11 @@ def fee_robust_gate(comparison: DataFrame, keys: Sequence[str] = (), *, names: t
         if name not in (*keys, "_all"):
             passed = passed & F.col(name)
     decision = F.when(
-        F.col("_all") != F.array(F.lit("gross"), F.lit(median), F.lit(p90)),
+        F.col("_all") != F.array(F.lit(GROSS_FEE), F.lit(median), F.lit(p90)),
         F.raise_error(F.lit("comparison must contain exactly the three fee scenarios")),
     ).otherwise(
-        F.when(passed, "supported_fee_robust_position_lag_feasibility_on_development").otherwise(
-            "rejected_fee_robust_position_lag_feasibility_on_development"
+        F.when(passed, FEASIBLE).otherwise(
+            INFEASIBLE
         )
     )
     return checks.withColumn("decision", decision).drop("_all")
@@ -259,8 +284,8 @@ def clock_gate(mismatch: DataFrame) -> DataFrame:
     return total.withColumn(
         "decision",
         F.when(
-            (F.col("hour_mismatch_rows") > 0) | (F.col("weekday_mismatch_rows") > 0), "required_integrity_fix"
-        ).otherwise("already_consistent"),
+            (F.col("hour_mismatch_rows") > 0) | (F.col("weekday_mismatch_rows") > 0), CLOCK_FIX
+        ).otherwise(CLOCK_CONSISTENT),
     )
 
 
@@ -268,7 +293,7 @@ def profitability_gate(portfolio: DataFrame) -> DataFrame:
     profitable = (F.col("net_pnl_usd") > 0) & (F.col("net_mean_roi") > 0) & (F.col("net_median_roi") > 0)
     return portfolio.withColumn(
         "decision",
-        F.when(profitable, "supported_on_development_and_full_descriptive").otherwise(
-            "rejected_recorded_fees_remove_development_profitability"
+        F.when(profitable, PROFITABLE).otherwise(
+            UNPROFITABLE
         ),
     )
