@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_transaction_lines
 from tidemark.llm.quality_forest import judge_lines
+from tidemark.llm.recompression import remove_repeated_words
+from tidemark.llm.suffix_array import remove_repeated_bytes
 from tidemark.llm.token_counts import count_tokens
 from tidemark.session import prepare
 
@@ -40,6 +42,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("line_number", "doc_id")
 
 
+@query("op4_suffix_array")
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(document_lines(spark, sf_dir), window=50).select(
+        F.col("line_number").alias("doc_id"),
+        F.col("n_units").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op6_recompression")
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(document_lines(spark, sf_dir), window=13).select(
+        F.col("line_number").alias("doc_id"),
+        F.col("n_units").alias("n_words"),
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
