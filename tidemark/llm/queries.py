@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_transaction_lines
+from tidemark.llm.hyper_minhash import link_lines
 from tidemark.llm.quality_forest import judge_lines
 from tidemark.llm.recompression import remove_repeated_words
 from tidemark.llm.suffix_array import remove_repeated_bytes
 from tidemark.llm.token_counts import count_tokens
-from tidemark.session import prepare
+from tidemark.llm.settings import prepare_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +23,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: run(prepare(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: run(prepare_text(spark), sf_dir)
         if oracle is not None:
             ORACLES[name] = oracle
         return run
@@ -42,6 +43,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("line_number", "doc_id")
 
 
+@query("op3_hyper_minhash")
+def op3_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_lines(document_lines(spark, sf_dir), shingle_words=3, similarity_percent=85)
+    return linked.withColumnRenamed("line_number", "doc_id")
+
+
 @query("op4_suffix_array")
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(document_lines(spark, sf_dir), window=50).select(
