@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.address_rules import judge_addresses
 from tidemark.llm.bpe import encode_transaction_lines
 from tidemark.llm.hyper_minhash import link_lines
 from tidemark.llm.quality_forest import judge_lines
@@ -245,6 +246,26 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Listed rules: verdict, host, path.
+ADDRESS_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query("op8_url_rules")
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    deployments = pages.select(F.col("page_id").alias("tx_hash"), F.col("url").alias("metadata_uri"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("tx_hash"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
+    )
+    return judge_addresses(deployments, ADDRESS_RULES, labels).withColumnRenamed("tx_hash", "page_id")
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
