@@ -133,14 +133,15 @@ def nearest_deployments(
     also are deployments don't find themselves. Returns query_id, rank (from 1), deployment_id and score; equal scores are
     ranked by the smaller deployment_id.
 
-    Rows with a null id, null features or a null component take no part; vectors of another length than the first by id
+    Rows with a null id, null features, or a null or infinite component take no part; vectors of another length than the first by id
     are an error. Repeated rows are one vector if id and features agree, and separate candidates if not. Fewer than k
     candidates give fewer rows; empty tables give none. Extra columns are ignored.
 
     The sample for the centres has at most 8 * `centres` vectors. A cell with more than `cell_rows` vectors is dealt to
     several tasks, so copies of one vector don't meet in one.
     """
-    usable = F.col("deployment_id").isNotNull() & F.col("features").isNotNull() & ~F.exists("features", lambda x: x.isNull())
+    bad = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.col("deployment_id").isNotNull() & F.col("features").isNotNull() & ~bad
 
     def vectors(table: DataFrame) -> DataFrame:
         plain = table.select(F.col("deployment_id").cast("long"), F.col("features").cast("array<double>"))
@@ -197,18 +198,17 @@ def nearest_deployments(
     for i in range(len(groups)):
         first[i, best[i, : int(enough[i].argmax()) + 1 if enough[i].any() else len(cells)]] = True
     spark = deployments.sparkSession
-    names = cells["cell"].to_numpy()
+    names, asking = cells["cell"].tolist(), groups["cell"].tolist()
+    piece_of = spark.createDataFrame(list(zip(names, pieces.tolist())), "data_cell int, pieces long")
 
     def visits(chosen: np.ndarray) -> DataFrame:
-        rows = [
-            (int(groups["cell"].iloc[i]), int(names[j]), p) for i, j in zip(*np.nonzero(chosen)) for p in range(pieces[j])
-        ]
-        return spark.createDataFrame(rows, "cell int, data_cell int, piece int")
+        """Pairs of top nodes to be searched, at most `centres` squared rows, with the pieces of the cells."""
+        pairs = [(asking[i], names[j]) for i, j in zip(*np.nonzero(chosen))]
+        return spark.createDataFrame(pairs, "cell int, data_cell int").join(F.broadcast(piece_of), "data_cell")
 
-    piece_of = spark.createDataFrame([(int(n), int(p)) for n, p in zip(names, pieces)], "data_cell int, pieces int")
     dealt = data.withColumnRenamed("cell", "data_cell").join(F.broadcast(piece_of), "data_cell")  # at most `centres` rows
     dealt = dealt.select(
-        "data_cell", F.pmod(F.xxhash64("deployment_id"), F.col("pieces")).cast("int").alias("piece"), "deployment_id", "features"
+        "data_cell", F.pmod(F.xxhash64("deployment_id"), F.col("pieces")).alias("piece"), "deployment_id", "features"
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -225,9 +225,11 @@ def nearest_deployments(
         )
 
     def searched(queries: DataFrame, chosen: np.ndarray) -> DataFrame:
-        sent = queries.join(F.broadcast(visits(chosen)), "cell")  # at most centres squared, times pieces
+        sent = queries.join(F.broadcast(visits(chosen)), "cell")
+        sent = sent.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
         return (
-            sent.groupBy("data_cell", "piece")
+            sent.select("data_cell", "piece", "deployment_id", "features", "floor")
+            .groupBy("data_cell", "piece")
             .cogroup(dealt.groupBy("data_cell", "piece"))
             .applyInPandas(search, "query_id long, vec_id long, score long")
         )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.address_rules import judge_addresses
 from tidemark.llm.bpe import encode_transaction_lines
+from tidemark.llm.cover_tree import nearest_deployments
 from tidemark.llm.hyper_minhash import link_lines
 from tidemark.llm.quality_forest import judge_lines
 from tidemark.llm.recompression import remove_repeated_words
@@ -246,6 +247,20 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_cover_tree")
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    value = F.transform("embedding", lambda x: x.cast("double"))
+    unusable = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    deployments = embeddings.where(F.col("embedding").isNotNull() & ~unusable).select(
+        F.col("vec_id").alias("deployment_id"),
+        F.transform(value, lambda x: F.floor(F.lit(1024.0) * x).cast("double")).alias("features"),
+    )
+    queries = deployments.where(F.col("deployment_id") % 100 == 0)
+    found = nearest_deployments(deployments, queries, k=10)
+    return found.select("query_id", "rank", F.col("deployment_id").alias("vec_id"), "score")
+
+
 # Listed rules: verdict, host, path.
 ADDRESS_RULES = [
     ("allow", "com", "/"),
