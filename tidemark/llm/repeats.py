@@ -26,8 +26,7 @@ from tidemark.sources.scratch import materialise
 
 _NAME_BYTES = 8 << 20  # text per bucket of names
 _TEXT_BYTES = 4 << 20  # text per bucket of shared runs
-_SPANS = -1  # stands for the bucket of spans that a block has found by itself
-_PIECE = "bucket int, block_id long, payload binary"
+_PIECE = "bucket int, block_id long, spans boolean, payload binary"
 
 
 class Runs:
@@ -78,14 +77,9 @@ def names_of(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int32()),
-            pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.binary()),
-        ],
-        names=["bucket", "block_id", "payload"],
-    )
+    kinds = {"bucket": pa.int32(), "block_id": pa.int64(), "spans": pa.bool_(), "payload": pa.binary()}
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
 
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -122,7 +116,7 @@ def _answer(group: pa.Table, pieces_of: int) -> pa.Table:
 
 
 def _find(row: dict, scheme: Scheme, name_buckets: int, buckets: int) -> list[tuple]:
-    """Spans that a block knows by itself, and the texts of its shared runs by bucket."""
+    """The texts of a block's shared runs by bucket, and the spans that it knows by itself, which any bucket passes on."""
     numbers, sizes, body = _block(row)
     runs, text = scheme.runs(body, sizes)
     names, _ = names_of(runs)
@@ -144,7 +138,8 @@ def _find(row: dict, scheme: Scheme, name_buckets: int, buckets: int) -> list[tu
     out = []
     later = number > least[code]
     if later.any():
-        out.append((_SPANS, row["block_id"], _pack_spans(runs.first[chosen[later]], runs.count[chosen[later]])))
+        spans = _pack_spans(runs.first[chosen[later]], runs.count[chosen[later]])
+        out.append((row["block_id"] % buckets, row["block_id"], True, spans))
     stays = np.nonzero(~later)[0]
     stays = stays[np.argsort(code[stays], kind="stable")]
     head = stays[np.unique(code[stays], return_index=True)[1]]  # the first run of each class
@@ -167,7 +162,7 @@ def _find(row: dict, scheme: Scheme, name_buckets: int, buckets: int) -> list[tu
             runs.first[chosen[stays[ranges(starts[own], uses[own])]]].astype(np.int64),
         ]
         data = b"".join(p.tobytes() for p in payload) + b"".join(texts[c] for c in own)
-        out.append((b, row["block_id"], squeeze(data)))
+        out.append((b, row["block_id"], False, squeeze(data)))
     return out
 
 
@@ -189,14 +184,20 @@ def _unpack_texts(data: bytes) -> tuple:
 
 def _resolve(group: pa.Table, scheme: Scheme) -> pa.Table:
     """Covered spans by block, and first windows of names that other buckets hold too."""
-    blocks = group["block_id"].to_pylist()
     least, names, share, uses, first, texts, block = [], [], [], [], [], [], []
-    for b, payload in zip(blocks, group["payload"].to_pylist()):
+    out_block, out_payload = [], []
+    for b, spans, payload in zip(*(group[c].to_pylist() for c in ("block_id", "spans", "payload"))):
+        if spans:
+            out_block.append(b)
+            out_payload.append(payload)
+            continue
         part = _unpack_texts(expand(payload))
         for kept, column in zip((least, names, share, uses, first), part[:5]):
             kept.append(column)
         texts += part[5]
         block += [b] * len(part[5])
+    if not texts:
+        return _found(out_block, out_payload, [])
     least, names, share, uses, first = (np.concatenate(x) for x in (least, names, share, uses, first))
     block = np.array(block, np.int64)
     starts = np.cumsum(uses.astype(np.int64)) - uses
@@ -252,7 +253,6 @@ def _resolve(group: pa.Table, scheme: Scheme) -> pa.Table:
                 for at in first[starts[r] : starts[r] + uses[r]]:
                     window = scheme.window_bytes(distinct[c], int(place[w]))
                     edge.append((int(block[r]), int(smallest[c]), int(at + place[w]), window))
-    out_block, out_payload = [], []
     if span_block:
         by = np.concatenate(span_block)
         lo, hi = np.concatenate(span_first), np.concatenate(span_last)
@@ -261,11 +261,15 @@ def _resolve(group: pa.Table, scheme: Scheme) -> pa.Table:
         for b, own in zip(used.tolist(), np.split(order, cuts[1:])):
             out_block.append(b)
             out_payload.append(_pack_spans(lo[own], hi[own] - lo[own] + 1))
-    none = [None] * len(out_block)
+    return _found(out_block, out_payload, edge)
+
+
+def _found(blocks: list[int], payloads: list[bytes], edge: list[tuple]) -> pa.Table:
+    none = [None] * len(blocks)
     return pa.table(
         {
-            "block_id": pa.array(out_block + [e[0] for e in edge], pa.int64()),
-            "payload": pa.array(out_payload + [None] * len(edge), pa.binary()),
+            "block_id": pa.array(blocks + [e[0] for e in edge], pa.int64()),
+            "payload": pa.array(payloads + [None] * len(edge), pa.binary()),
             "number": pa.array(none + [e[1] for e in edge], pa.int64()),
             "first": pa.array(none + [e[2] for e in edge], pa.int64()),
             "window": pa.array(none + [e[3] for e in edge], pa.binary()),
@@ -291,7 +295,7 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
                 parts = zip(used.tolist(), np.split(names, cuts[1:]), np.split(twice, cuts[1:]))
                 yield _batch(
                     [
-                        (b, row["block_id"], squeeze(np.int64(len(n)).tobytes() + n.tobytes() + t.astype(np.uint8).tobytes()))
+                        (b, row["block_id"], False, squeeze(np.int64(len(n)).tobytes() + n.tobytes() + t.astype(np.uint8).tobytes()))
                         for b, n, t in parts
                     ]
                 )
@@ -310,11 +314,10 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
             if rows := _find(row, scheme, name_buckets, buckets):
                 yield _batch(rows)
 
-    found = materialise(
-        blocks.join(answers, "block_id").select("block_id", "numbers", "sizes", "body", "answers").mapInArrow(find, _PIECE)
-    )
     resolved = materialise(
-        found.where(F.col("bucket") != _SPANS)
+        blocks.join(answers, "block_id")
+        .select("block_id", "numbers", "sizes", "body", "answers")
+        .mapInArrow(find, _PIECE)
         .groupBy("bucket")
         .applyInArrow(
             lambda group: _resolve(group, scheme),
@@ -331,9 +334,7 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
         .agg(F.collect_list("first").alias("alone"))
     )
     spans = (
-        found.where(F.col("bucket") == _SPANS)
-        .select("block_id", "payload")
-        .unionByName(resolved.where(F.col("payload").isNotNull()).select("block_id", "payload"))
+        resolved.where(F.col("payload").isNotNull())
         .groupBy("block_id")
         .agg(F.collect_list("payload").alias("spans"))
     )
@@ -384,7 +385,8 @@ def multikey_quicksort(key, size: int, depth: int) -> tuple[np.ndarray, np.ndarr
     """
     order = np.arange(size)
     kind = np.full(size, -1, np.int64)
-    start, length, level = np.zeros(1, np.int64), np.full(1, size, np.int64), np.zeros(1, np.int64)
+    one = min(size, 1)
+    start, length, level = np.zeros(one, np.int64), np.full(one, size, np.int64), np.zeros(one, np.int64)
     while len(start):
         done = (level == depth) | (length == 1)
         at = ranges(start[done], length[done])
