@@ -10,9 +10,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.bpe import encode_transaction_lines
 from tidemark.llm.hyper_minhash import link_lines
@@ -70,9 +72,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     )
 
 
-def whole_characters(data):
+@F.pandas_udf(T.StringType())
+def whole_characters(data: pd.Series) -> pd.Series:
     """UTF-8 bytes as text without the parts of characters that were cut."""
-    return F.replace(F.decode(data, "UTF-8"), F.lit("�"), F.lit(""))
+    return data.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
