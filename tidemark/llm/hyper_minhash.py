@@ -25,7 +25,8 @@ REGISTERS = 256
 MANTISSA_BITS = 10
 _REGISTER_BITS = 8
 _STRETCH_BYTES = 2 << 20
-_CHUNK = 256  # classes of a bucket that are compared at once
+_CHUNK = 1024  # classes of a bucket that are compared at once
+_SHORT = 5  # bytes of a shingle hash that travel to the comparison; every link found by them is confirmed on words
 _MISS = 1e-8  # chance that a pair at the threshold shares no band
 _FACTORS = np.random.default_rng(3).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -223,8 +224,10 @@ def link_lines(
         .select(F.col("head").alias("a"), F.col("class_id").alias("b"))
         .distinct()
     )
-    checked = materialise(_estimated(first_pairs, classes, similarity))
-    links = materialise(_confirmed(checked, rows, shingle_words, similarity_percent))
+    asked = buckets.select(F.col("class_id").alias("line_number")).distinct()
+    texts = materialise(rows.join(asked, "line_number", "left_semi"))
+    checked = _estimated(first_pairs, classes, similarity)
+    links = materialise(_confirmed(checked, texts, shingle_words, similarity_percent))
     groups = materialise(components(links))
 
     # Classes of one bucket in different groups: compare those outside the head's group with all the others.
@@ -245,13 +248,19 @@ def link_lines(
         .where((F.col("n") > 2) & (F.col("lowest") != F.col("highest")))
     )
     open_rows = materialise(
-        grouped.join(mixed.select("band", "main"), "band").withColumn("outside", F.col("component") != F.col("main"))
+        grouped.join(mixed.select("band", "main"), "band").select(
+            "band",
+            "class_id",
+            "component",
+            (F.col("component") != F.col("main")).alias("outside"),
+            (F.col("class_id") == F.col("head")).alias("is_head"),
+        )
     )
     sizes = open_rows.groupBy("band").agg(
         F.ceil(F.count_if("outside") / chunk).alias("outer"), F.ceil(F.count_if(~F.col("outside")) / chunk).alias("inner")
     )
     hashed = F.xxhash64("class_id")
-    dealt = open_rows.select("band", "class_id", "component", "outside").join(sizes, "band")
+    dealt = open_rows.select("band", "class_id", "component", "outside", "is_head").join(sizes, "band")
     # An outer class meets every chunk of its bucket, an inner one only the outer chunks.
     own = F.when(F.col("outside"), F.pmod(hashed, "outer")).otherwise(F.col("outer") + F.pmod(hashed, "inner"))
     against = F.when(
@@ -267,21 +276,34 @@ def link_lines(
             "own",
             "class_id",
             "component",
+            "is_head",
         )
     )
-    sketch_of = classes.select(F.col("line_number").alias("class_id"), "n_shingles", "sketch")
 
-    def compared(group: pa.Table) -> pa.Table:
-        return _across_groups(group, similarity)
+    def hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, raw = line_rows(batch)
+            for lo, hi in chunks([len(r) for r in raw], _STRETCH_BYTES):
+                value, counts = shingle_hashes(raw[lo:hi], shingle_words)
+                short = np.ascontiguousarray(value.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :_SHORT].tobytes()
+                ends = _SHORT * np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(numbers[lo:hi]),
+                        pa.array([s.tobytes() for s in registers(value, counts)], pa.binary()),
+                        pa.array([short[e - _SHORT * c : e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
+                    ],
+                    names=["class_id", "sketch", "shingles"],
+                )
 
+    sets = texts.mapInArrow(hashed_sets, "class_id long, sketch binary, shingles binary")
     more = (
-        cells.join(sketch_of, "class_id")
+        cells.join(sets, "class_id")
         .groupBy("band", "left", "right")
-        .applyInArrow(compared, "a long, b long")
+        .applyInArrow(lambda group: _across_groups(group, band, similarity_percent), "a long, b long")
         .distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more_links = materialise(_confirmed(more, rows, shingle_words, similarity_percent))
+    more_links = materialise(_confirmed(more, texts, shingle_words, similarity_percent))
     final = materialise(components(links.unionByName(more_links).unionByName(copies)))
     found = sketches.select("line_number", "n_shingles")
     return (
@@ -314,32 +336,49 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.select(*columns).mapInArrow(near, "a long, b long")
 
 
-def _across_groups(group: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of two chunks of a bucket that are in different groups and close by estimate."""
-    own = group["own"].to_numpy()
-    number, component = group["class_id"].to_numpy(), group["component"].to_numpy()
-    size = group["n_shingles"].to_numpy().astype(float)
+def _across_groups(group: pa.Table, rows: int, similarity_percent: int) -> pa.Table:
+    """Links between two chunks of a bucket that join different groups.
+
+    A pair is looked at in the first band that it shares, and not where one is the head, whose pairs are known. A link
+    joins its groups at once, so that at most one link is given for each two groups.
+    """
+    own, head = group["own"].to_numpy(), group["is_head"].to_numpy(zero_copy_only=False)
+    number, component = group["class_id"].to_numpy(), group["component"].to_numpy().copy()
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    left = np.nonzero(own == group["left"][0].as_py())[0]
-    right = np.nonzero(own == group["right"][0].as_py())[0]
+    shingles = group["shingles"].to_pylist()
+    size = np.array([len(x) // _SHORT for x in shingles], np.int64)
+    keys = band_keys(sketch, rows)
+    place = int((keys[0] == group["band"][0].as_py()).argmax())
+    left, right = (np.nonzero((own == group[side][0].as_py()) & ~head)[0] for side in ("left", "right"))
+    sets: dict[int, frozenset] = {}
+
+    def members(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(shingles[i][at : at + _SHORT] for at in range(0, len(shingles[i]), _SHORT))
+        return sets[i]
+
     out_a, out_b = [], []
     for i in left:
         j = right[component[right] != component[i]]
-        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-6]
-        if len(j):
-            one = np.full(len(j), size[i])
-            value = estimate(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], one, size[j])
-            j = j[value >= _least_estimate(similarity, one, size[j])]
-            out_a.append(np.minimum(number[i], number[j]))
-            out_b.append(np.maximum(number[i], number[j]))
-    empty = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
-
-
-def _confirmed(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity_percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. Only lines that are in a pair meet their texts."""
-    asked = pairs.select(F.col("a").alias("line_number")).unionByName(pairs.select(F.col("b").alias("line_number")))
-    texts = materialise(rows.join(asked.distinct(), "line_number", "left_semi"))
+        j = j[100 * np.minimum(size[j], size[i]) >= similarity_percent * np.maximum(size[j], size[i])]
+        j = j[(keys[j] == keys[i]).argmax(axis=1) == place] if len(j) else j
+        if not len(j):
+            continue
+        own_size, other_size = np.full(len(j), float(size[i])), size[j].astype(float)
+        value = estimate(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], own_size, other_size)
+        for k in j[value >= _least_estimate(similarity_percent / 100, own_size, other_size)]:
+            if component[k] == component[i]:
+                continue
+            shared = len(members(i) & members(k))
+            if 100 * shared >= similarity_percent * (size[i] + size[k] - shared):
+                out_a.append(min(number[i], number[k]))
+                out_b.append(max(number[i], number[k]))
+                component[component == component[k]] = component[i]
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity_percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets of words are similar enough."""
     both = (
         pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     )
