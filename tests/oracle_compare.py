@@ -69,11 +69,11 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     if "--pieces" in wanted:
-        # Take the paths meant for large input: bucketed scans and split hot keys.
+        # Many small buckets and split hot keys, as large input has them.
         from tidemark.operators import sizing, skew
 
         wanted.remove("--pieces")
-        sizing.ONE_TASK_BYTES, skew.ROWS_PER_TASK = 0, 40
+        sizing.ROWS_PER_BUCKET, skew.ROWS_PER_TASK = 40, 40
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")

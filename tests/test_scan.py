@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles, finite_summary
 from tidemark.operators.scan import running_totals, select_ranks, with_buckets
-from tidemark.operators.sizing import fits_one_task
+from tidemark.operators.sizing import buckets_for, placed
 
 
 @pytest.mark.parametrize("buckets", [None, 4, 32])
@@ -71,7 +71,27 @@ def test_finite_summary_of_nothing_is_zero_and_null(spark):
     assert (out["b"]["count"], out["b"]["mean"], out["b"]["median"]) == (2, 2.0, 2.0)
 
 
-def test_size_check_uses_files_not_guesses(spark, sf_dir):
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    assert fits_one_task(lineitem)
-    assert not fits_one_task(lineitem.crossJoin(lineitem.withColumnsRenamed({c: f"r_{c}" for c in lineitem.columns})))
+def test_buckets_follow_measured_rows(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.operators.sizing.ROWS_PER_BUCKET", 10)
+    assert [buckets_for(n) for n in (0, 1, 10, 11, 20, 21, 81)] == [1, 1, 1, 2, 2, 4, 16]
+    df, buckets = placed(spark.range(35))
+    assert (df.count(), buckets) == (35, 4)
+    with pytest.raises(ValueError):
+        placed(spark.range(3), 3)
+
+
+def test_quantiles_of_nothing_have_one_row_without_keys(spark):
+    df = spark.createDataFrame([], "k int, v double")
+    assert [tuple(r) for r in exact_quantiles(df, value="v", probs={"m": 0.5}).collect()] == [(0, None)]
+    assert exact_quantiles(df, value="v", probs={"m": 0.5}, keys=["k"]).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_bucket", [20, 300])
+def test_quantiles_do_not_depend_on_the_buckets(spark, monkeypatch, rows_per_bucket):
+    values = [((i * 7919) % 2001) / 7 for i in range(2001)] + [1.5] * 300
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    expected = exact_quantiles(df, value="v", probs=probs).first()
+    monkeypatch.setattr("tidemark.operators.sizing.ROWS_PER_BUCKET", rows_per_bucket)
+    assert exact_quantiles(df, value="v", probs=probs).first() == expected
+    assert expected.p10 == sorted(values)[1150]

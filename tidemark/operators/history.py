@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import with_buckets
-from tidemark.operators.sizing import fits_one_task
+from tidemark.operators.sizing import buckets_for
 from tidemark.operators.skew import hot_keys, join_unique
-from tidemark.session import bucket_count
 from tidemark.sources.scratch import materialise
 
 HISTORY_COLUMNS = [
@@ -36,8 +35,7 @@ def prior_history(
     slots = universe.groupBy("tx_signer", "block_slot").agg(
         F.min("block_time").alias("block_time"), F.count(F.lit(1)).alias("_n")
     )
-    if rows_per_task is not None or not fits_one_task(slots):
-        slots = materialise(slots)  # counted below, then scanned
+    slots = materialise(slots)  # counted below, then scanned
     hot = hot_keys(slots, ["tx_signer"], rows_per_task=rows_per_task)
     if hot is None:
         rows = slots.withColumn("_part", F.lit(-1))
@@ -45,7 +43,7 @@ def prior_history(
         # Bounded number of hot signers; every other signer stays in one piece.
         marked = slots.join(F.broadcast(hot), "tx_signer", "left")
         rows = (
-            with_buckets(marked, ["block_slot"], buckets=buckets or bucket_count(slots.sparkSession))
+            with_buckets(marked, ["block_slot"], buckets=buckets or buckets_for(slots.count()))
             .withColumn("_part", F.when(F.col("_splits").isNull(), F.lit(-1)).otherwise(F.col("_bucket")))
             .drop("_splits", "_bucket")
         )

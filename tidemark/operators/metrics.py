@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import running_totals
+from tidemark.operators.sizing import placed
 
 WEIGHT = "decimal(28,10)"
 
@@ -33,6 +34,8 @@ def pr_curve(
         F.sum(F.when(F.col(label) == 1, w).otherwise(zero)).alias("_p"),
         F.sum(F.when(F.col(label) == 1, zero).otherwise(w)).alias("_q"),
     )
+    # Scores are collapsed once; bounds, totals and positives all come from the stored rows.
+    per_score, buckets = placed(per_score, buckets)
     totals = per_score.groupBy(*keys).agg(F.sum("_p").alias("_positives"))
     ranked = running_totals(
         per_score.withColumn("_down", -F.col("threshold")), order=["_down"], sums={"_tp": "_p", "_fp": "_q"}, keys=keys, buckets=buckets
@@ -132,7 +135,3 @@ def evaluate(
     ).select(*keys, "average_precision", "_b.*")
     others = calibration(scored, label=label, score=score, weight=weight, keys=keys)
     return summary.join(others, keys) if keys else summary.crossJoin(others)
-
-
-def finite_score(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.operators.scan import choose_buckets, running_totals, with_buckets
+from tidemark.operators.scan import running_totals, with_buckets
+from tidemark.operators.sizing import placed
 
 MONEY = "decimal(28,10)"
 
@@ -61,21 +62,18 @@ def equity_curve(
 def _curve(
     per_time: DataFrame, initial: DataFrame, keys: list[str], initial_keys: list[str], buckets: int | None = None
 ) -> DataFrame:
-    buckets = choose_buckets(per_time, buckets)
+    per_time, buckets = placed(per_time, buckets)
     bucketed = with_buckets(per_time, ["time"], buckets=buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     local = bucketed.withColumn("_sum", F.sum("pnl").over(inside)).withColumn("_top", F.max("_sum").over(inside))
-    if buckets == 1:
-        joined = local.withColumns({"_offset": F.lit(0), "_reached": F.lit(None).cast(MONEY)})
-    else:
-        pieces = local.groupBy(*keys, "_bucket").agg(F.sum("pnl").alias("_s"), F.max("_sum").alias("_m"))
-        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            pieces.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-            .withColumn("_reached", F.max(F.col("_offset") + F.col("_m")).over(before))
-            .select(*keys, "_bucket", "_offset", "_reached")
-        )
-        joined = local.join(carried, [*keys, "_bucket"])
+    pieces = local.groupBy(*keys, "_bucket").agg(F.sum("pnl").alias("_s"), F.max("_sum").alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        pieces.withColumn("_offset", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+        .withColumn("_reached", F.max(F.col("_offset") + F.col("_m")).over(before))
+        .select(*keys, "_bucket", "_offset", "_reached")
+    )
+    joined = local.join(carried, [*keys, "_bucket"])
     start = F.broadcast(initial)  # one row per scenario of a fixed grid
     with_start = joined.join(start, initial_keys) if initial_keys else joined.crossJoin(start)
     begin = F.col("_initial").cast(MONEY)

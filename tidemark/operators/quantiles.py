@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import select_ranks
-from tidemark.operators.sizing import fits_one_task
 
 
 def exact_quantiles(
@@ -21,13 +20,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles of the non-null values of ``value``, one row per key.
 
-    The built-in ``percentile`` keeps a map of all distinct values of a group in one task, so it serves only input
-    that fits one. Beyond that, values are collapsed to counts and only the buckets around the wanted ranks are
-    ordered. Keys without any value have no row.
+    The built-in ``percentile`` keeps a map of all distinct values of a group in one task. Here values are collapsed to
+    counts and only the buckets around the wanted ranks are ordered. Keys without any value have no row; without keys
+    there is always one row, with 0 ``value_rows`` and null quantiles if there is no value.
     """
     keys = list(keys)
-    if buckets is None and fits_one_task(df):
-        return _small_quantiles(df, value, probs, keys)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
@@ -44,16 +41,7 @@ def exact_quantiles(
         share = position - F.floor(position).cast("double")
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outputs.append((low + (high - low) * share).alias(name))
-    return ranks.select(*keys, F.col("_total").alias("value_rows"), *outputs)
-
-
-def _small_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: list[str]) -> DataFrame:
-    number = F.col(value).cast("double")
-    wanted = F.percentile(number, F.array(*[F.lit(float(p)) for p in probs.values()]))
-    found = df.groupBy(*keys).agg(F.count(number).alias("value_rows"), wanted.alias("_q"))
-    return found.where(F.col("value_rows") > 0).select(
-        *keys, "value_rows", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
-    )
+    return ranks.select(*keys, F.coalesce("_total", F.lit(0)).alias("value_rows"), *outputs)
 
 
 def unpivot_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

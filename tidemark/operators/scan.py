@@ -2,7 +2,8 @@
 
 An un-partitioned window pulls the whole table into one task. The operators here first cut the order into
 buckets whose bounds come from a small hash sample of the keys. The sample only decides where the cuts lie; any
-cut gives the same answer. Work then happens per bucket, and one row per bucket carries the totals across. Input that provably fits one task takes the plain window instead.
+cut gives the same answer. Work then happens per bucket, and one row per bucket carries the totals across. The
+number of buckets follows the measured number of rows; there is no other plan for small input.
 """
 
 from __future__ import annotations
@@ -12,19 +13,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sizing import fits_one_task
-from tidemark.session import bucket_count
+from tidemark.operators.sizing import placed
 
-_SAMPLE_PER_BUCKET = 8
-
-
-def choose_buckets(df: DataFrame, buckets: int | None = None) -> int:
-    """One bucket for input that fits one task, otherwise as many as the shuffle is wide."""
-    if buckets is None:
-        return 1 if fits_one_task(df) else bucket_count(df.sparkSession)
-    if buckets & (buckets - 1):
-        raise ValueError("bucket count must be a power of two")
-    return buckets
+_SAMPLE_PER_BUCKET = 64
 
 
 def _order_value(order: Sequence[str]) -> Column:
@@ -40,7 +31,7 @@ def with_buckets(df: DataFrame, order: Sequence[str], *, buckets: int) -> DataFr
         return df.withColumn("_bucket", F.lit(0))
     value = _order_value(order)
     sample = (
-        df.select(value.alias("_v"), F.xxhash64(*df.columns).alias("_h"))
+        df.select(value.alias("_v"), F.xxhash64(*order).alias("_h"))
         .orderBy("_h")
         .limit(buckets * _SAMPLE_PER_BUCKET)
         .agg(F.sort_array(F.collect_list("_v")).alias("_s"))
@@ -82,12 +73,10 @@ def running_totals(
     Rows must be unique by keys and order; ``keys`` must be a bounded grid, such as scenarios.
     """
     keys = list(keys)
-    buckets = choose_buckets(df, buckets)
+    df, buckets = placed(df, buckets)
     rows = with_buckets(df, order, buckets=buckets)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
-    if buckets == 1:
-        return local.drop("_bucket")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     offsets = totals.select(
@@ -115,20 +104,14 @@ def select_ranks(
     carries ``_total``. Ranks outside the range give null. ``keys`` must be a bounded grid.
     """
     keys = list(keys)
-    buckets = choose_buckets(df, buckets)
+    df, buckets = placed(df, buckets)
     rows = with_buckets(
         df.withColumn("_w", F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")),
         value,
         buckets=buckets,
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*value).rowsBetween(Window.unboundedPreceding, 0)
-    if buckets == 1:
-        whole = Window.partitionBy(*keys, "_bucket")
-        ranked = rows.withColumns({"_total": F.sum("_w").over(whole), "_end": F.sum("_w").over(inside)})
-    else:
-        ranked = _around_wanted_ranks(rows, keys, targets).withColumn(
-            "_end", F.col("_before") + F.sum("_w").over(inside)
-        )
+    ranked = _around_wanted_ranks(rows, keys, targets).withColumn("_end", F.col("_before") + F.sum("_w").over(inside))
     picked = [
         F.min(F.when(F.col("_end") > rank(F.col("_total")), _order_value(value))).alias(name)
         for name, rank in targets.items()

@@ -1,25 +1,29 @@
-"""Size checks that decide between a plain plan and one that is cut into pieces."""
+"""How many pieces an ordered table is cut into: always from its measured number of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Of the order of Spark's own broadcast threshold: input this small can be ordered or held by one task.
-ONE_TASK_BYTES = 16 * 1024 * 1024
+from tidemark.sources.scratch import materialise
 
+ROWS_PER_BUCKET = 250_000
 
-def size_estimate(df: DataFrame) -> int | None:
-    """Catalyst's size of the plan in bytes, taken from the files that are read; no job runs.
 
-    Filters do not shrink this number and a join multiplies its sides, so it errs on the large side. With
-    cost-based statistics it would be a guess, not a bound, and is then not used.
-    """
-    spark = df.sparkSession
-    if not hasattr(df, "_jdf") or spark.conf.get("spark.sql.cbo.enabled") == "true":
-        return None
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def buckets_for(rows: int) -> int:
+    """The smallest power of two that leaves each bucket at most ROWS_PER_BUCKET rows on average."""
+    wanted = -(-rows // ROWS_PER_BUCKET)
+    return 1 << max(0, wanted - 1).bit_length()
+
 
+def placed(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Rows that can be read several times, and their number of buckets.
 
-def fits_one_task(df: DataFrame) -> bool:
-    size = size_estimate(df)
-    return size is not None and size <= ONE_TASK_BYTES
+    Without a given number the rows are written once and counted, so the number follows what is there, not a guess from
+    file sizes. The plan and its formulas are the same for any number; one bucket is merely a short list of buckets.
+    """
+    if buckets is not None:
+        if buckets < 1 or buckets & (buckets - 1):
+            raise ValueError("bucket count must be a power of two")
+        return df, buckets
+    stored = materialise(df)
+    return stored, buckets_for(stored.count())

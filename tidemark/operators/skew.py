@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sizing import fits_one_task
+from tidemark.sources.scratch import materialise
 
-# A key is hot when it holds more rows than one task should take. The threshold never falls below
-# total / MAX_HOT_KEYS, so there are at most MAX_HOT_KEYS hot keys whatever the data looks like.
-MAX_HOT_KEYS = 10_000
+# A key is hot when it holds more rows than one task should take. There are at most total / ROWS_PER_TASK hot keys, and
+# the threshold never falls below total / MAX_HOT_KEYS, which holds the list to a size that can be broadcast; below
+# 2e12 rows it plays no part.
+MAX_HOT_KEYS = 1_000_000
 ROWS_PER_TASK = 2_000_000
 
 
@@ -20,10 +21,10 @@ def hot_keys(
 ) -> DataFrame | None:
     """Keys too large for one task, with the number of ``_splits`` each should be cut into; None when there are none.
 
-    Input that fits one task has no hot key and is not looked at, unless ``rows_per_task`` is given. Otherwise one
-    job counts rows per key (partial counts first, key columns only) and returns at most ``max_hot_keys`` rows.
+    A table with no more rows than a task should take has no hot key; this is counted, not guessed. Otherwise one job
+    counts rows per key (partial counts first, key columns only) and writes the list, at most ``max_hot_keys`` rows.
     """
-    if rows_per_task is None and fits_one_task(df):
+    if df.count() <= (rows_per_task or ROWS_PER_TASK):
         return None
     present = F.lit(True)
     for key in keys:
@@ -36,8 +37,8 @@ def hot_keys(
         .where(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_splits"))
     )
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    found = materialise(hot)
+    return None if found.isEmpty() else found
 
 
 def join_unique(

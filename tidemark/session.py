@@ -46,12 +46,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
-
-
-def bucket_count(spark: SparkSession) -> int:
-    """Number of ordered buckets for distributed scans: a power of two that follows the shuffle width."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = 16
-    while size < width and size < 4096:
-        size *= 2
-    return size
