@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.settings import tidy
 from tidemark.sources.scratch import materialise
 
 BLOCK_BYTES = 2 << 20
@@ -77,7 +78,7 @@ def pack(lines: DataFrame) -> DataFrame:
 
     rows = lines.select(F.col("line_number").cast("long"), F.col("line").cast("string"))
     return materialise(
-        rows.mapInArrow(packed, "block_id long, n_bytes long, numbers binary, sizes binary, body binary")
+        rows.mapInArrow(tidy(packed), "block_id long, n_bytes long, numbers binary, sizes binary, body binary")
     )
 
 

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import chunks, line_rows, number_column
+from tidemark.llm.settings import tidy
 
 # Fixed value: the pattern of byte-level BPE that splits a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _STRETCH_BYTES = 4 << 20  # text handled at once
-_CACHE_ENTRIES = 400_000  # distinct pre-tokens a worker remembers; beyond it they are encoded again
+_CACHE_ENTRIES = 400_000  # distinct pre-tokens a task remembers; beyond it they are encoded again
 _NO_MERGE = np.iinfo(np.int64).max
 _ENCODERS: dict[str, "PairRankEncoder"] = {}
 
@@ -233,6 +234,7 @@ def encode_transaction_lines(lines: DataFrame, tokenizer: str) -> DataFrame:
                     ],
                     names=["line_number", "token_ids", "decoded"],
                 )
+        tool.forget()  # a worker outlives its task
 
     rows = lines.select(F.col("line_number").cast("long"), F.col("line").cast("string"))
-    return rows.mapInArrow(encoded, "line_number long, token_ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(encoded), "line_number long, token_ids array<int>, decoded string")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import chunks, line_rows, number_column
+from tidemark.llm.settings import tidy
 from tidemark.sources.scratch import materialise
 
 REGISTERS = 256
@@ -180,7 +181,7 @@ def link_lines(
                 )
 
     sketches = materialise(
-        rows.mapInArrow(sketched, "line_number long, n_shingles long, set_id binary, sketch binary")
+        rows.mapInArrow(tidy(sketched), "line_number long, n_shingles long, set_id binary, sketch binary")
     )
     linkable = sketches.where((F.col("n_shingles") > 0) & F.col("line_number").isNotNull())
     # One class for each distinct set; its smallest line stands for it.
@@ -210,7 +211,7 @@ def link_lines(
                     names=["band", "class_id"],
                 )
 
-    bands = classes.select("line_number", "sketch").mapInArrow(banded, "band long, class_id long")
+    bands = classes.select("line_number", "sketch").mapInArrow(tidy(banded), "band long, class_id long")
     # Buckets of two classes or more; the others can't hold a pair.
     shared = (
         bands.groupBy("band")
@@ -296,7 +297,7 @@ def link_lines(
                     names=["class_id", "sketch", "shingles"],
                 )
 
-    sets = texts.mapInArrow(hashed_sets, "class_id long, sketch binary, shingles binary")
+    sets = texts.mapInArrow(tidy(hashed_sets), "class_id long, sketch binary, shingles binary")
     more = (
         cells.join(sets, "class_id")
         .groupBy("band", "left", "right")
@@ -333,7 +334,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
                 yield part.select([0, 1]).filter(pa.array(close))
 
     columns = ("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
-    return both.select(*columns).mapInArrow(near, "a long, b long")
+    return both.select(*columns).mapInArrow(tidy(near), "a long, b long")
 
 
 def _across_groups(group: pa.Table, rows: int, similarity_percent: int) -> pa.Table:
@@ -396,7 +397,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarit
                 keep.append(100 * shared >= similarity_percent * (len(last[1]) + len(other) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(close, "a long, b long").distinct()
+    return both.mapInArrow(tidy(close), "a long, b long").distinct()
 
 
 def full_set(text: bytes, width: int) -> set[bytes]:

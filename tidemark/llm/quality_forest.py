@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import chunks, line_rows, number_column
+from tidemark.llm.settings import tidy
 from tidemark.sources.scratch import materialise
 
 _SYMBOLS = b"#*$%&|<>"
@@ -56,7 +57,7 @@ def rule_statistics(lines: DataFrame) -> DataFrame:
                 )
 
     rows = lines.select(F.col("line_number").cast("long"), F.col("line").cast("string"))
-    return rows.mapInArrow(measured, _STATISTICS)
+    return rows.mapInArrow(tidy(measured), _STATISTICS)
 
 
 def _measure(raw: list[bytes]) -> list[tuple[int, ...]]:

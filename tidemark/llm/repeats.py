@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import NO_NUMBER, buckets_for, expand, number_column, pack, squeeze
 from tidemark.llm.bpe import ranges
+from tidemark.llm.settings import release, tidy
 from tidemark.sources.scratch import materialise
 
 _NAME_BYTES = 8 << 20  # text per bucket of names
@@ -300,11 +301,23 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
                     ]
                 )
 
+    def answer(group: pa.Table) -> pa.Table:
+        try:
+            return _answer(group, pieces_of)
+        finally:
+            release()
+
+    def resolve(group: pa.Table) -> pa.Table:
+        try:
+            return _resolve(group, scheme)
+        finally:
+            release()
+
     answers = (
         blocks.select("block_id", "numbers", "sizes", "body")
-        .mapInArrow(ask, _PIECE)
+        .mapInArrow(tidy(ask), _PIECE)
         .groupBy("bucket")
-        .applyInArrow(lambda group: _answer(group, pieces_of), "block_id long, bucket int, answer binary")
+        .applyInArrow(answer, "block_id long, bucket int, answer binary")
         .groupBy("block_id")
         .agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     )
@@ -317,10 +330,10 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
     resolved = materialise(
         blocks.join(answers, "block_id")
         .select("block_id", "numbers", "sizes", "body", "answers")
-        .mapInArrow(find, _PIECE)
+        .mapInArrow(tidy(find), _PIECE)
         .groupBy("bucket")
         .applyInArrow(
-            lambda group: _resolve(group, scheme),
+            resolve,
             "block_id long, payload binary, number long, first long, window binary",
         )
     )
@@ -360,7 +373,7 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
         blocks.join(spans, "block_id", "left")
         .join(across, "block_id", "left")
         .select("numbers", "sizes", "body", "spans", "alone")
-        .mapInArrow(finish, "line_number long, n_units long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(tidy(finish), "line_number long, n_units long, n_removed long, n_spans long, kept binary")
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.blocks import expand
 from tidemark.llm.bpe import ranges
 from tidemark.llm.repeats import Runs, cover, multikey_quicksort, stretches, without_repeats
+from tidemark.llm.settings import tidy
 
 TOKEN = 16  # bytes of a leading token; two key parts of the sort
 _LONGEST_RUN = 64
@@ -72,7 +73,7 @@ class ByteScheme:
         sample = (
             blocks.where(F.pmod(F.xxhash64("block_id"), F.lit(stride)) == 0)
             .select("sizes", "body")
-            .mapInArrow(tokens, "token binary")
+            .mapInArrow(tidy(tokens), "token binary")
             .collect()
         )
         ordered = sorted(bytes(r["token"]) for r in sample)

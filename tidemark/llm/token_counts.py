@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import chunks, expand, line_rows, number_column, squeeze
+from tidemark.llm.settings import release, tidy
 from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 4 << 20
@@ -71,10 +72,13 @@ def count_tokens(lines: DataFrame, model: str, *, limit: int = 4096, word_bucket
 
     rows = lines.select(F.col("line_number").cast("long"), F.col("line").cast("string"))
     buckets = word_buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    questions = materialise(rows.mapInArrow(asked, _ASKED))
+    questions = materialise(rows.mapInArrow(tidy(asked), _ASKED))
 
     def answered(group: pa.Table) -> pa.Table:
-        return _answer(group, _pieces(model))
+        try:
+            return _answer(group, _pieces(model))
+        finally:
+            release()
 
     answers = (
         questions.where(F.col("bucket") != _FREQUENCIES)
@@ -93,7 +97,7 @@ def count_tokens(lines: DataFrame, model: str, *, limit: int = 4096, word_bucket
     return (
         frequencies.join(answers, "block_id", "left")
         .select("payload", "answers")
-        .mapInArrow(summed, "line_number long, n_bytes long, n_tokens long, over_limit boolean")
+        .mapInArrow(tidy(summed), "line_number long, n_bytes long, n_tokens long, over_limit boolean")
     )
 
 
