@@ -173,7 +173,7 @@ def test_name_guards_and_feature_lists(spark):
         guards.replace_feature(["a"], "b", "c")
     with pytest.raises(ValueError):
         guards.add_feature(["a"], "a")
-    with pytest.raises(ValueError, match="overlap"):
+    with pytest.raises(ValueError, match="more than one group"):
         guards.require_feature_groups({"g": ["a"], "h": ["a"]}, ["a"])
     with pytest.raises(ValueError, match="fit"):
         guards.require_feature_groups({"g": ["a"]}, ["a", "b"])

@@ -63,7 +63,7 @@ def test_permutation_finds_the_planted_group(spark):
     assert first["history"].baseline_pr_auc == pytest.approx(1.0) and first["history"].repeats == 3
     with pytest.raises(ValueError, match="fit"):
         permutation_importance(SignalModel(), df, {"history": ["count"]}, repeats=3)
-    with pytest.raises(ValueError, match="positive"):
+    with pytest.raises(ValueError, match="at least one repeat"):
         permutation_importance(SignalModel(), df, groups, repeats=0)
 
 

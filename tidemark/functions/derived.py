@@ -65,7 +65,7 @@ def add_fee_intensity(df: DataFrame) -> DataFrame:
         "priority_fee_lamports_per_compute_unit",
         checked(
             F.try_divide(fee.cast("double"), units.cast("double")),
-            (fee.isNotNull() & units.isNotNull(), "priority intensity inputs are missing"),
+            (fee.isNotNull() & units.isNotNull(), "fee or compute units are null"),
             (units > 0, "compute units must be positive"),
             (fee >= 0, "priority fee is negative"),
         ),
@@ -81,7 +81,7 @@ def add_uri_payload_length(df: DataFrame) -> DataFrame:
         "metadata_uri_payload_length",
         checked(
             payload,
-            (length.isNotNull() & flag.isNotNull(), "URI payload inputs are missing"),
+            (length.isNotNull() & flag.isNotNull(), "length or flag of the URI is null"),
             (length >= 0, "URI length is negative"),
             (flag.isin(0, 1), "IPFS flag is not binary"),
             (payload >= 0, "URI payload length is negative"),
@@ -111,10 +111,6 @@ def fee_rate_bps(gas: str = "gas_usd", dex: str = "dex_usd", cost: str = "cost_u
     return F.when((rate >= 0) & (rate < F.lit(float("inf"))), rate)
 
 
-def finite_or_null(value: Column) -> Column:
-    return F.when(~(F.isnan(value) | (F.abs(value) == F.lit(float("inf")))), value)
-
-
 def population_weight(label: str = "label", negative_weight: float = 25.0) -> Column:
     """Negatives stand for the rows their systematic sample left out."""
     return F.when(F.col(label) == 0, F.lit(float(negative_weight))).otherwise(F.lit(1.0))

@@ -100,7 +100,7 @@ def require_feature_groups(groups: Mapping[str, Sequence[str]], features: Sequen
     members = [name for columns in groups.values() for name in columns]
     repeated = sorted({name for name in members if members.count(name) > 1})
     if repeated:
-        raise ValueError(f"feature groups overlap: {repeated}")
+        raise ValueError(f"these features are in more than one group: {repeated}")
     if set(members) != set(features):
         raise ValueError(
             f"feature groups do not fit the features: missing {sorted(set(features) - set(members))}, "

@@ -29,7 +29,7 @@ def facts_after_decision(
     """Facts of known decisions that come strictly after the decision position."""
     narrow = decisions.select(
         key, F.col("deploy_block_slot").alias("_slot"), F.col("deploy_tx_index").alias("_tx")
-    )
+    ).distinct()
     return join_unique(facts, narrow, [key], rows_per_task=rows_per_task).where(
         strictly_after("block_slot", "tx_index", "_slot", "_tx")
     )
@@ -52,11 +52,14 @@ def first_at_or_after(
     """
     hit = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *_extra(order, payload))
     after = facts_after_decision(decisions, facts, key=key, rows_per_task=rows_per_task)
-    firsts = after.groupBy(key).agg(
+    # A decision is its key and its position; a key that decides twice has two sets of entries.
+    firsts = after.groupBy(key, F.col("_slot").alias("deploy_block_slot"), F.col("_tx").alias("deploy_tx_index")).agg(
         *[F.min(F.when(F.col("block_slot") >= F.col("_slot") + d, hit)).alias(f"_hit_{d}") for d in delays]
     )
     per_delay = F.array(*[F.struct(F.lit(d).alias("delay"), F.col(f"_hit_{d}").alias("hit")) for d in delays])
-    wide = decisions.join(firsts, key, "left").withColumn("_row", F.explode(per_delay))
+    wide = decisions.join(firsts, [key, "deploy_block_slot", "deploy_tx_index"], "left").withColumn(
+        "_row", F.explode(per_delay)
+    )
     target = F.col("deploy_block_slot") + F.col("_row.delay")
     return wide.select(
         *decisions.columns,
@@ -87,15 +90,16 @@ def first_in_slot_from(
         key,
         F.col("deploy_block_slot").alias("block_slot"),
         (F.col("deploy_tx_index") + lag).alias("_floor"),
-    )
+    ).distinct()
     hit = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *_extra(order, payload))
     firsts = (
         join_unique(usable, floors, [key, "block_slot"], rows_per_task=rows_per_task)
         .where(F.col("tx_index") >= F.col("_floor"))
-        .groupBy(key)
+        .groupBy(key, F.col("block_slot").alias("deploy_block_slot"), "_floor")
         .agg(F.min(hit).alias("_hit"))
     )
-    wide = decisions.join(firsts, key, "left")
+    placed = decisions.withColumn("_floor", F.col("deploy_tx_index") + lag)
+    wide = placed.join(firsts, [key, "deploy_block_slot", "_floor"], "left")
     return wide.select(
         *decisions.columns,
         F.lit(0).alias("requested_delay_slots"),

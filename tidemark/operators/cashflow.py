@@ -12,7 +12,7 @@ from tidemark.operators.portfolio import equity_curve, peak_level, worst_drawdow
 from tidemark.operators.quality import count_where
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
 
-MONEY = "decimal(28,10)"
+MONEY = "decimal(38,16)"
 CASH_COLUMNS = ("cost_usd", "gas_usd", "dex_usd", "gas_native", "priority_fee", "tip_fee", "token_amount")
 
 
@@ -22,7 +22,9 @@ def money(value: Column) -> Column:
 
 
 def _exact_sum(value: Column) -> Column:
-    return F.sum(money(value)).cast("double")
+    """Sum of the present amounts; an amount that is no finite number stops the plan instead of vanishing."""
+    unreadable = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    return F.sum(money(F.when(unreadable, F.raise_error(F.lit("a cash amount is not finite"))).otherwise(value))).cast("double")
 
 
 def lenient_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -95,7 +97,7 @@ def cashflow_violations(wallet: DataFrame) -> DataFrame:
     events = lenient_numbers(trade_events(wallet), CASH_COLUMNS)
     missing, negative = F.lit(False), F.lit(False)
     for c in ("cost_usd", "gas_usd", "dex_usd"):
-        missing = missing | F.col(c).isNull()
+        missing = missing | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
         negative = negative | (F.col(c) < 0)
     per_hash = events.groupBy("tx_hash").agg(
         F.count(F.lit(1)).alias("_n"), count_where(missing).alias("_m"), count_where(negative).alias("_g")

@@ -56,8 +56,9 @@ def matching(big: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` without a partner. Right keys are made distinct first, so a hot key arrives once per task."""
-    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows of ``left`` without a partner. Right keys are made distinct, and hot keys of ``left`` are cut into pieces."""
+    known = right.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return join_unique(left, known, keys, "left").where(F.col("_known").isNull()).select(*left.columns)
 
 
 def cardinality_change(source: DataFrame, output: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,15 +71,28 @@ def cardinality_change(source: DataFrame, output: DataFrame, keys: Sequence[str]
 def compare_on_key(
     left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """One row: rows compared, rows of ``left`` without a partner, and mismatches for each column (null-safe)."""
-    other = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in columns], F.lit(True).alias("_found"))
-    joined = left.select(*keys, *columns).join(other, list(keys), "left")
-    found = F.col("_found").isNotNull()
+    """One row: keys on both sides, keys on one side only, and mismatches for each column (null-safe).
+
+    Both sides must be unique by the keys: a repeated key stops the plan. Each side is collapsed by key first, so no key
+    can multiply and a hot one arrives once per task.
+    """
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        values = F.min(F.struct(*columns))
+        once = F.when(F.count(F.lit(1)) == 1, values).otherwise(F.raise_error(F.lit(f"a key is repeated: {list(keys)}")))
+        return df.groupBy(*keys).agg(once.alias("_v")).select(
+            *keys, *[F.col("_v")[c].alias(f"{prefix}{c}") for c in columns], F.lit(True).alias(f"{prefix}found")
+        )
+
+    joined = side(left, "_l_").join(side(right, "_r_"), list(keys), "full")
+    on_left, on_right = F.col("_l_found").isNotNull(), F.col("_r_found").isNotNull()
+    found = on_left & on_right
     return joined.agg(
         F.count_if(found).alias("matched_rows"),
-        F.count_if(~found).alias("unmatched_rows"),
+        F.count_if(on_left & ~on_right).alias("unmatched_rows"),
+        F.count_if(on_right & ~on_left).alias("extra_right_rows"),
         *[
-            F.count_if(found & ~F.col(c).eqNullSafe(F.col(f"_r_{c}"))).alias(f"{c}_mismatches")
+            F.count_if(found & ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))).alias(f"{c}_mismatches")
             for c in columns
         ],
     )

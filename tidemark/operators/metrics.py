@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import running_totals
 from tidemark.operators.sizing import placed
 
-WEIGHT = "decimal(28,10)"
+WEIGHT = "decimal(38,16)"
 
 
 def pr_curve(
@@ -60,7 +60,12 @@ def pr_curve(
 
 def average_precision(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Step-wise area: recall gained at a threshold times the precision there, without interpolation."""
-    return curve.groupBy(*keys).agg(F.sum(F.col("recall_gain") * F.col("precision")).alias("average_precision"))
+    return curve.groupBy(*keys).agg(_area().alias("average_precision"))
+
+
+def _area() -> Column:
+    """Sum of the steps as decimals, so that it doesn't depend on the order in which tasks add them."""
+    return F.sum((F.col("recall_gain") * F.col("precision")).cast("decimal(38,30)")).cast("double")
 
 
 def best_f1(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +135,7 @@ def evaluate(
     keys = list(keys)
     curve = pr_curve(scored, label=label, score=score, weight=weight, keys=keys)
     summary = curve.groupBy(*keys).agg(
-        F.sum(F.col("recall_gain") * F.col("precision")).alias("average_precision"),
+        _area().alias("average_precision"),
         F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", -F.col("threshold"))).alias("_b"),
     ).select(*keys, "average_precision", "_b.*")
     others = calibration(scored, label=label, score=score, weight=weight, keys=keys)

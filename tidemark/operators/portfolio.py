@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.scan import running_totals, with_buckets
 from tidemark.operators.sizing import placed
 
-MONEY = "decimal(28,10)"
+MONEY = "decimal(38,16)"
 
 
 def peak_level(
@@ -77,15 +77,22 @@ def _curve(
     start = F.broadcast(initial)  # one row per scenario of a fixed grid
     with_start = joined.join(start, initial_keys) if initial_keys else joined.crossJoin(start)
     begin = F.col("_initial").cast(MONEY)
+    equity = begin + F.col("_offset") + F.col("_sum")
+    peak = F.greatest(begin, begin + F.col("_reached"), begin + F.col("_offset") + F.col("_top"))
     return with_start.select(
         *keys,
         "time",
         "_initial",
-        (begin + F.col("_offset") + F.col("_sum")).cast("double").alias("equity"),
-        F.greatest(
-            begin, begin + F.col("_reached"), begin + F.col("_offset") + F.col("_top")
-        ).cast("double").alias("peak"),
-    ).withColumn("drawdown", F.col("peak") - F.col("equity"))
+        equity.cast("double").alias("equity"),
+        peak.cast("double").alias("peak"),
+        (peak - equity).cast("double").alias("drawdown"),  # exact before it is rounded to a double
+    )
+
+
+def _finite(name: str) -> Column:
+    value = F.col(name).cast("double")
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    return F.when(bad, F.raise_error(F.lit(f"{name} must be finite in every row"))).otherwise(value)
 
 
 def worst_drawdown(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +100,7 @@ def worst_drawdown(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     The fraction uses the peak at the first row that reaches the largest drawdown and may exceed one.
     """
-    worst = F.max_by(F.struct("drawdown", "peak"), F.struct(F.round("drawdown", 9), -F.col("time")))
+    worst = F.max_by(F.struct("drawdown", "peak"), F.struct("drawdown", -F.col("time")))
     summary = curve.groupBy(*keys).agg(
         F.max_by("equity", "time").alias("ending_equity_usd"),
         F.min("equity").alias("minimum_equity_usd"),
@@ -122,10 +129,12 @@ def portfolio_grid(
 
     ``rows``: keys, ``population_weight``, ``gross_return``, ``entry_block_time``, ``exit_target_time``.
     One pass sums weights and weighted returns per key and exit time; a fee shifts every return by the same amount,
-    so the fee grid is laid over those sums and over the quantiles, never over the rows.
+    so the fee grid is laid over those sums and over the quantiles, never over the rows. A row without a finite return or
+    weight stops the plan: it would count in the weight but not in the sum.
     """
     keys = list(keys)
     grid = [*keys, "fee_scenario"]
+    rows = rows.withColumns({c: _finite(c) for c in ("population_weight", "gross_return")})
     w, gross = F.col("population_weight"), F.col("gross_return")
     shift = {name: float(bps) / 10_000.0 for name, bps in fees.items()}
     per_exit = rows.groupBy(*keys, F.col("exit_target_time").alias("time")).agg(

@@ -80,11 +80,10 @@ def spearman(
     n, rx, ry = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
     sums = ranked.agg(
         F.sum("_n").alias("rows"),
-        F.sum(n * rx).alias("sx"),
-        F.sum(n * ry).alias("sy"),
-        F.sum(n * rx * rx).alias("sxx"),
-        F.sum(n * ry * ry).alias("syy"),
-        F.sum(n * rx * ry).alias("sxy"),
+        *[
+            F.sum(term.cast("decimal(38,4)")).cast("double").alias(name)  # ranks are halves, so the sums are exact
+            for name, term in (("sx", n * rx), ("sy", n * ry), ("sxx", n * rx * rx), ("syy", n * ry * ry), ("sxy", n * rx * ry))
+        ],
     )
     rows = F.col("rows").cast("double")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / rows

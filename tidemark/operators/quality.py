@@ -24,12 +24,14 @@ def null_report(df: DataFrame) -> DataFrame:
 
 
 def column_ranges(df: DataFrame) -> DataFrame:
-    """Minimum, maximum and non-null rows of every orderable column as text, from one scan."""
+    """Minimum, maximum and non-null rows of every orderable column as text, from one scan; zero has no sign."""
+    kinds = dict(df.dtypes)
+    text = lambda c, value: (value + F.lit(0.0) if kinds[c] in ("double", "float") else value).cast("string")
     wide = df.agg(
         *[
             F.struct(
-                F.min(c).cast("string").alias("minimum"),
-                F.max(c).cast("string").alias("maximum"),
+                text(c, F.min(c)).alias("minimum"),
+                text(c, F.max(c)).alias("maximum"),
                 F.count(c).alias("non_null_rows"),
             ).alias(c)
             for c in df.columns

@@ -62,7 +62,7 @@ def finite_summary(
     )
     basic = tall.groupBy(*keys, "measure").agg(
         F.count("value").alias("count"),
-        (F.sum(F.col("value").cast("decimal(28,10)")).cast("double") / F.nullif(F.count("value"), F.lit(0))).alias(
+        (F.sum(F.col("value").cast("decimal(38,16)")).cast("double") / F.nullif(F.count("value"), F.lit(0))).alias(
             "mean"
         ),
     )

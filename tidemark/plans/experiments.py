@@ -181,7 +181,7 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of average precision when a feature group is shuffled, per group over seeded repeats."""
     if repeats < 1:
-        raise ValueError("repeats must be positive")
+        raise ValueError("at least one repeat is needed")
     if "baseline" in groups:
         raise ValueError("baseline is a reserved group name")
     require_feature_groups(groups, model.features)
