@@ -23,6 +23,13 @@ def null_report(df: DataFrame) -> DataFrame:
     return wide.unpivot([], df.columns, "column_name", "null_rows")
 
 
+def row_contract(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows of a table next to the number that was announced (one row, ``expected_rows``), and whether they agree."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(expected.select("expected_rows")).withColumn(
+        "rows_as_expected", F.col("rows") == F.col("expected_rows")
+    )
+
+
 def column_ranges(df: DataFrame) -> DataFrame:
     """Minimum, maximum and non-null rows of every orderable column as text, from one scan; zero has no sign."""
     kinds = dict(df.dtypes)

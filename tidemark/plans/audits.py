@@ -12,6 +12,7 @@ from tidemark.operators import quality
 from tidemark.operators.cashflow import first_event, trade_events, wallet_summary
 from tidemark.operators.quantiles import finite_summary
 from tidemark.sources.schemas import SLOT_DELAY_COLUMNS
+from tidemark.sources.scratch import materialise
 
 CONTEXT = ("deploy_block_time", "deploy_block_slot", "deploy_tx_index", "deploy_tx_hash", "deploy_tx_signer")
 # Trade columns that may be null, and need a filter when amounts are summed.
@@ -31,7 +32,11 @@ def audit_trades(
     trades: DataFrame, *, key: Sequence[str], sides: Sequence[str] = quality.SIDES,
     programs: Sequence[str] = quality.PROGRAMS,
 ) -> DataFrame:
-    """One row about a trades table. ``key`` must identify a row; null amounts are legal but reported."""
+    """One row about a trades table. ``key`` must identify a row; null amounts are legal but reported.
+
+    The rows are written once: they usually come out of a join with their decisions, and four aggregates read them.
+    """
+    trades = materialise(trades)
     counters = quality.trade_audit(trades, sides=sides, programs=programs)
     duplicates = quality.duplicate_keys(trades, key)
     contexts = quality.keys_with_several_contexts(
@@ -52,7 +57,8 @@ def audit_trades(
 
 
 def audit_candles(bars: DataFrame) -> DataFrame:
-    """One row about a candle table."""
+    """One row about a candle table, which is written once since three aggregates read it."""
+    bars = materialise(bars)
     report = (
         quality.bar_audit(bars)
         .crossJoin(quality.duplicate_keys(bars, ["token_address", "resolution", "candle_time_ms"]))
