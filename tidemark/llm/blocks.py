@@ -24,8 +24,8 @@ BLOCK_BYTES = 2 << 20
 NO_NUMBER = np.iinfo(np.int64).max  # stands for a missing line number, which is after all others
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:
@@ -70,7 +70,7 @@ def pack(lines: DataFrame) -> DataFrame:
                         pa.array([len(body)], pa.int64()),
                         pa.array([numbers[lo:hi].tobytes()], pa.binary()),
                         pa.array([np.array(lengths[lo:hi], np.int64).tobytes()], pa.binary()),
-                        pa.array([squeeze(body)], pa.binary()),
+                        pa.array([squeeze(body, 5)], pa.binary()),  # moved several times
                     ],
                     names=["block_id", "n_bytes", "numbers", "sizes", "body"],
                 )

@@ -12,6 +12,7 @@ Only names, texts of shared runs and covered spans move. No step holds more than
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -27,6 +28,7 @@ from tidemark.sources.scratch import materialise
 
 _NAME_BYTES = 8 << 20  # text per bucket of names
 _TEXT_BYTES = 4 << 20  # text per bucket of shared runs
+_RESULT = "line_number long, n_units long, n_removed long, n_spans long, kept binary, line_md5 string"
 _PIECE = "bucket int, block_id long, spans boolean, payload binary"
 
 
@@ -93,16 +95,37 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def _of_name(names: np.ndarray, buckets: int) -> np.ndarray:
-    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _of_name(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each name, and what tells it from others of its bucket: 40 bits, in the order of names.
+
+    Buckets grow in number with the text, so 40 bits more are always enough to keep chance agreements rare; they would
+    cost a look at windows that then differ, nothing else.
+    """
+    scaled = (names >> np.uint64(32)) * np.uint64(buckets)
+    low = names >> np.uint64(24) & np.uint64(255)
+    return (scaled >> np.uint64(32)).astype(np.int64), (scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | low
+
+
+def _planes(values: np.ndarray, width: int | None = None) -> bytes:
+    """Whole numbers byte by byte, all first bytes first: sorted and small numbers compress better so."""
+    size = values.dtype.itemsize
+    data = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), size)
+    return data[:, : width or size].T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type, count: int, at: int, width: int | None = None) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    out = np.zeros((count, size), np.uint8)
+    out[:, : width or size] = np.frombuffer(data, np.uint8, count * (width or size), at).reshape(-1, count).T
+    return out.view(kind)[:, 0] if count else np.zeros(0, kind)
 
 
 def _answer(group: pa.Table, pieces_of: int) -> pa.Table:
     """For each asked name: 0 if one line has it, else into how many pieces its texts are dealt."""
     asked = [expand(p) for p in group["payload"].to_pylist()]
     counts = [int(np.frombuffer(a, np.int64, 1)[0]) for a in asked]
-    names = np.concatenate([np.frombuffer(a, np.uint64, n, 8) for a, n in zip(asked, counts)])
-    twice = np.concatenate([np.frombuffer(a, np.uint8, n, 8 + 8 * n) for a, n in zip(asked, counts)])
+    names = np.concatenate([_from_planes(a, np.uint64, n, 8, 5) for a, n in zip(asked, counts)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, -1, 8 + 5 * n), count=n) for a, n in zip(asked, counts)])
     _, code, times = np.unique(names, return_inverse=True, return_counts=True)
     several = np.bincount(code, weights=twice, minlength=len(times)) > 0
     pieces = np.where((times > 1) | several, np.minimum(-(-times // pieces_of), 65_535), 0).astype(np.uint16)[code]
@@ -156,14 +179,14 @@ def _find(row: dict, scheme: Scheme, name_buckets: int, buckets: int) -> list[tu
         payload = [
             np.array([len(own), uses[own].sum()], np.int64),
             least[own],
-            runs.name[chosen[head[own]]],
+            (runs.name[chosen[head[own]]] >> np.uint64(32)).astype(np.uint32),
             share[own].astype(np.uint16),
             uses[own].astype(np.int32),
             np.array([len(texts[c]) for c in own], np.int32),
-            runs.first[chosen[stays[ranges(starts[own], uses[own])]]].astype(np.int64),
+            runs.first[chosen[stays[ranges(starts[own], uses[own])]]].astype(np.int32),  # Spark's values end at two gigabytes
         ]
-        data = b"".join(p.tobytes() for p in payload) + b"".join(texts[c] for c in own)
-        out.append((b, row["block_id"], False, squeeze(data)))
+        data = payload[0].tobytes() + b"".join(map(_planes, payload[1:])) + b"".join(texts[c] for c in own)
+        out.append((b, row["block_id"], False, squeeze(data, 3)))
     return out
 
 
@@ -175,8 +198,8 @@ def _unpack_texts(data: bytes) -> tuple:
     n, m = np.frombuffer(data, np.int64, 2)
     at = 16
     columns = []
-    for kind, size in ((np.int64, n), (np.uint64, n), (np.uint16, n), (np.int32, n), (np.int32, n), (np.int64, m)):
-        columns.append(np.frombuffer(data, kind, size, at))
+    for kind, size in ((np.int64, n), (np.uint32, n), (np.uint16, n), (np.int32, n), (np.int32, n), (np.int32, m)):
+        columns.append(_from_planes(data, kind, int(size), at))
         at += columns[-1].nbytes
     ends = at + np.cumsum(columns[4].astype(np.int64))
     starts = ends - columns[4]
@@ -207,7 +230,7 @@ def _resolve(group: pa.Table, scheme: Scheme) -> pa.Table:
     code = np.fromiter((classes.setdefault(t, len(classes)) for t in texts), np.int64, len(texts))
     smallest = np.full(len(classes), NO_NUMBER)
     np.minimum.at(smallest, code, least)
-    class_name = np.zeros(len(classes), np.uint64)
+    class_name = np.zeros(len(classes), np.uint32)  # half a name is enough to tell which texts need a look
     class_name[code] = names
     class_share = np.zeros(len(classes), np.int64)
     np.maximum.at(class_share, code, share)
@@ -217,7 +240,7 @@ def _resolve(group: pa.Table, scheme: Scheme) -> pa.Table:
     def covered(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """Cover windows lo..hi of each use of the texts in rows."""
         many = uses[rows].astype(np.int64)
-        at = first[ranges(starts[rows], many)]
+        at = first[ranges(starts[rows], many)].astype(np.int64)
         span_block.append(np.repeat(block[rows], many))
         span_first.append(at + np.repeat(lo, many))
         span_last.append(at + np.repeat(hi, many))
@@ -279,7 +302,7 @@ def _found(blocks: list[int], payloads: list[bytes], edge: list[tuple]) -> pa.Ta
 
 
 def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096) -> DataFrame:
-    """line_number, n_units, n_removed, n_spans and kept (binary) of each line; see the operators for the contract.
+    """line_number, n_units, n_removed, n_spans, kept and line_md5 of each line; see the operators for the contract.
 
     `pieces_of`: a name that more blocks hold is dealt to one more bucket for each such number of blocks.
     """
@@ -292,11 +315,12 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
             _, sizes, body = _block(row)
             names, twice = names_of(scheme.runs(body, sizes)[0])
             if len(names):
-                used, cuts = np.unique(_of_name(names, name_buckets), return_index=True)
-                parts = zip(used.tolist(), np.split(names, cuts[1:]), np.split(twice, cuts[1:]))
+                bucket, short = _of_name(names, name_buckets)
+                used, cuts = np.unique(bucket, return_index=True)
+                parts = zip(used.tolist(), np.split(short, cuts[1:]), np.split(twice, cuts[1:]))
                 yield _batch(
                     [
-                        (b, row["block_id"], False, squeeze(np.int64(len(n)).tobytes() + n.tobytes() + t.astype(np.uint8).tobytes()))
+                        (b, row["block_id"], False, squeeze(len(n).to_bytes(8, "little") + _planes(n, 5) + np.packbits(t).tobytes()))
                         for b, n, t in parts
                     ]
                 )
@@ -360,20 +384,23 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
             first = np.concatenate([p[: len(p) // 2] for p in parts] + [alone])
             last = np.concatenate([p[len(p) // 2 :] for p in parts] + [alone])
             rest = scheme.rest(body, sizes, first, last)
+            ends = np.cumsum(sizes).tolist()
+            digests = [hashlib.md5(body[e - s : e]).hexdigest() for e, s in zip(ends, sizes.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     number_column(numbers),
                     *(pa.array([r[i] for r in rest], pa.int64()) for i in range(3)),
                     pa.array([r[3] for r in rest], pa.binary()),
+                    pa.array(digests, pa.string()),
                 ],
-                names=["line_number", "n_units", "n_removed", "n_spans", "kept"],
+                names=["line_number", "n_units", "n_removed", "n_spans", "kept", "line_md5"],
             )
 
     return (
         blocks.join(spans, "block_id", "left")
         .join(across, "block_id", "left")
         .select("numbers", "sizes", "body", "spans", "alone")
-        .mapInArrow(tidy(finish), "line_number long, n_units long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(tidy(finish), _RESULT)
     )
 
 
