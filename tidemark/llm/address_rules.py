@@ -128,7 +128,8 @@ def judge_addresses(
         address_tokens(F.col("metadata_uri")).alias("tokens"),
     )
     parsed = materialise(parsed.withColumn("listed", listed_rule(rules, F.col("host"), F.col("path"))))
-    known = labels.groupBy("tx_hash").agg(F.max("blocked").alias("blocked"))
+    # Both sides grow with the input, and tokens compress so well that file sizes would pass for small ones.
+    known = labels.groupBy("tx_hash").agg(F.max("blocked").alias("blocked")).hint("merge")
     labelled = parsed.where(F.size("tokens") > 0).join(known, "tx_hash").select("tokens", "blocked")
     mined = mine_rules(
         labelled, min_support=min_support, min_confidence=min_confidence, min_rows=min_rows, max_tokens=max_tokens
