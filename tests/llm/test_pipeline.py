@@ -47,6 +47,17 @@ def test_repeated_passages_are_cut(spark, sf_dir, documents):
         assert found[number]["n_chars"] == len(found[number]["text"])
 
 
+def test_rows_of_one_number_are_cut_each_on_its_own(spark, sf_dir):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, shared, "en", "a", 0), (5, "one " + shared, "en", "a", 0), (5, "two " + shared, "en", "a", 0)]
+    rows += [(5, "one " + shared, "en", "a", 0), (5, "short", "en", "a", 0), (None, "null " + shared, None, None, None)]
+    found = stage("repeated_passages")(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [
+        (0, "null"), (1, shared), (5, "one "), (5, "one "), (5, "short"), (5, "two ")
+    ]
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
 def test_run_decodes_what_it_encodes(spark, sf_dir):
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tool.no_truncation()

@@ -159,8 +159,7 @@ MIX_WEIGHTS = [
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 17
 
 
-def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MIX_WEIGHTS, "level string, name string, weight long")
+Weights = list[tuple[str, str, int]]
 
 
 def document_domain():
@@ -219,20 +218,23 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + more::BIGINT AS n_epochs
 """
 
 
-def mixed_documents(spark: SparkSession, documents: DataFrame, percent: int, epochs: int) -> DataFrame:
+def mixed_documents(
+    spark: SparkSession, documents: DataFrame, node_weights: Weights, percent: int, epochs: int
+) -> DataFrame:
     """Documents mixed to the weights, at four characters a token."""
+    weights = spark.createDataFrame(node_weights, "level string, name string, weight long")
     lines = documents.withColumn("domain", document_domain()).withColumn(
         "n_tokens", F.expr("(length(coalesce(text, '')) + 3) div 4")
     )
     lines = lines.withColumnRenamed("doc_id", "line_number")
-    mixed = mix_lines(lines, mix_weights(spark), total_percent=percent, epochs=epochs, seed=MIX_SEED)
+    mixed = mix_lines(lines, weights, total_percent=percent, epochs=epochs, seed=MIX_SEED)
     return mixed.withColumnRenamed("line_number", "doc_id")
 
 
 @query("op5_source_mix", _mix_sql())
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed_documents(spark, documents, MIX_PERCENT, MIX_EPOCHS).select(
+    return mixed_documents(spark, documents, MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS).select(
         "doc_id", "domain", "lang", "source", "n_tokens", "n_epochs"
     )
 

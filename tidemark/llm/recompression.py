@@ -220,7 +220,8 @@ def remove_repeated_words(lines: DataFrame, *, window: int = 13, pieces_of: int
     `lines` needs line_number (whole number) and line (string); words are runs of bytes other than ASCII white space. A
     word is removed if it lies in `window` consecutive words of its line that also start in a line with a smaller
     number, judged on the input. Returns one row for each row of `lines`: line_number, n_units (words), n_removed,
-    n_spans (maximal removed stretches) and kept (binary: the words left, joined by one space).
+    n_spans (maximal removed stretches), kept (binary: the words left, joined by one space) and line_md5 (of the input
+    line).
 
     A null line has no words. A null line number counts as larger than all others. Rows with one number remove nothing
     from each other. Extra columns are ignored; an empty table gives no rows. Lines are whole whatever their length.

@@ -67,7 +67,9 @@ class ByteScheme:
             for batch in batches:
                 for sizes, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     runs, text = self.runs(expand(body), np.frombuffer(sizes, np.int64))
-                    some = np.argsort(runs.name, kind="stable")[:_SAMPLE_TOKENS]
+                    # Evenly over the block; a token counts once for a block, as its texts are put together there.
+                    each, place = np.unique(runs.name, return_index=True)
+                    some = place[np.linspace(0, len(each) - 1, min(len(each), _SAMPLE_TOKENS)).astype(np.int64)] if len(each) else place
                     yield pa.RecordBatch.from_arrays([pa.array(self._tokens(text, runs, some), pa.binary())], ["token"])
 
         sample = (
@@ -159,7 +161,8 @@ def remove_repeated_bytes(lines: DataFrame, *, window: int = 50, pieces_of: int
     `lines` needs line_number (whole number) and line (string). A byte is removed if it lies in a string of `window`
     bytes of its line that also starts in a line with a smaller number. Strings overlap, never cross lines, and are
     judged on the input, not on what is left. Returns one row for each row of `lines`: line_number, n_units (bytes),
-    n_removed, n_spans (maximal removed stretches) and kept (binary: the bytes left, which may cut a character).
+    n_removed, n_spans (maximal removed stretches), kept (binary: the bytes left, which may cut a character) and line_md5
+    (of the input line, which tells rows of one number apart).
 
     A null line is empty. A null line number counts as larger than all others. Rows with one number remove nothing
     from each other. Extra columns are ignored; an empty table gives no rows. Lines are whole whatever their length.

@@ -25,7 +25,6 @@ from tidemark.llm.settings import release, tidy
 from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 4 << 20
-_WORD_BYTES_PER_BUCKET = 8 << 20
 _FREQUENCIES = -1  # the bucket that stands for a block's own frequencies
 _WORD = regex.compile("[ ▁]+[^ ▁]*")
 _ASKED = "bucket int, block_id long, n_bytes long, payload binary"
