@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.sampling import lowest_ranks
 from tidemark.sources.scratch import materialise
 
 CENTRES = 256  # of the top level; drawn from a hash sample of eight times as many vectors
@@ -148,12 +149,8 @@ def nearest_deployments(
         return plain.where(usable).distinct()
 
     points = materialise(vectors(deployments))
-    drawn = (
-        points.select(F.xxhash64(F.lit(seed), "deployment_id").alias("place"), "deployment_id", "features")
-        .orderBy("place", "deployment_id", "features")
-        .limit(8 * centres)
-        .collect()
-    )
+    ranked = points.withColumn("place", F.xxhash64(F.lit(seed), "deployment_id"))
+    drawn = lowest_ranks(ranked, "place", 8 * centres, ("deployment_id", "features")).collect()
     sample = np.array([r["features"] for r in drawn], float)
     top = covering_centres(sample, centres)
     if not len(top):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import chunks, line_rows, number_column
+from tidemark.llm.sampling import lowest_ranks
 from tidemark.llm.settings import tidy
 from tidemark.sources.scratch import materialise
 
@@ -135,12 +136,8 @@ def grow_forest(features: DataFrame, *, trees: int = 100, tree_rows: int = 256,
     feature (-1 in a leaf), cut, left, right, path (depth plus the expected rest of the path in a leaf).
     """
     columns = [F.col(c).cast("double") for c in RULE_FEATURES]
-    drawn = (
-        features.where(F.col("n_words") > 0)
-        .select(F.xxhash64(F.lit(seed), "line_number").alias("_rank"), *columns)
-        .orderBy("_rank", *RULE_FEATURES)
-        .limit(trees * tree_rows)
-    )
+    ranked = features.where(F.col("n_words") > 0).select(F.xxhash64(F.lit(seed), "line_number").alias("_rank"), *columns)
+    drawn = lowest_ranks(ranked, "_rank", trees * tree_rows, RULE_FEATURES)
     # A small table has fewer rows than the trees want; each row then goes to several trees.
     uses = max(1, min(trees, trees * tree_rows // max(1, drawn.count())))
     sample = drawn.withColumn("_use", F.explode(F.sequence(F.lit(0), F.lit(uses - 1)))).withColumn(

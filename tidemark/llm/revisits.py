@@ -127,15 +127,15 @@ def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataF
         .select("canonical_uri", *order, F.coalesce("found", "carried")["record_id"].alias("refers_to"))
         .distinct()
     )
-    first = Window.partitionBy("record_id").orderBy("warc_date", "payload")
+    first = F.min_by(F.struct("http_headers", "payload"), F.struct("warc_date", "payload"))
     stored = (
         placed.where(is_full)
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") == 1)
+        .groupBy(F.col("record_id").alias("refers_to"))
+        .agg(first.alias("stored"))
         .select(
-            F.col("record_id").alias("refers_to"),
-            F.col("http_headers").alias("stored_headers"),
-            F.col("payload").alias("stored_payload"),
+            "refers_to",
+            F.col("stored.http_headers").alias("stored_headers"),
+            F.col("stored.payload").alias("stored_payload"),
         )
     )
     revisits = known.where(is_revisit).join(matched, ["canonical_uri", *order], "left").join(stored, "refers_to", "left")
