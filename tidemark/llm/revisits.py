@@ -82,7 +82,7 @@ def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataF
     revisits keep their own headers and payload, and refers_to names the response that was looked at, if any.
 
     Rows without canonical address, date or record id never refer and are never referred to. Of several responses with
-    one record id the first by date and payload counts; repeated revisits are each resolved. Extra columns are ignored; an
+    one record id the first by date, then by a hash of its payload, counts; repeated revisits are each resolved. Extra columns are ignored; an
     empty table gives no rows.
     """
     spark = captures.sparkSession
@@ -127,7 +127,7 @@ def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataF
         .select("canonical_uri", *order, F.coalesce("found", "carried")["record_id"].alias("refers_to"))
         .distinct()
     )
-    first = F.min_by(F.struct("http_headers", "payload"), F.struct("warc_date", "payload"))
+    first = F.min_by(F.struct("http_headers", "payload"), F.struct("warc_date", F.xxhash64("payload")))
     stored = (
         placed.where(is_full)
         .groupBy(F.col("record_id").alias("refers_to"))
