@@ -11,13 +11,14 @@ from tidemark.functions.clock import add_utc_clock
 from tidemark.functions.transaction import FEATURE_COLUMNS, transaction_features
 from tidemark.plans.dataset import combine_classes, labelled_features
 from tidemark.plans.experiments import (
+    attribution,
     development_report,
-    permutation_importance,
     score_variants,
     variant_deltas,
     variant_results,
 )
 from tidemark.plans.models import ModelSpec, fit
+from tidemark.operators.joins import in_window
 from tidemark.operators.splits import three_way_split
 from tidemark.sources.scratch import materialise
 from tidemark.sources.tables import systematic_sample
@@ -137,7 +138,7 @@ def logreg_scores(spark, sf_dir):
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, ModelSpec("boosting", rounds=20))
+    return _scores(spark, sf_dir, ModelSpec("boosting"))
 
 
 @query("baseline_report")
@@ -147,24 +148,21 @@ def baseline_report(spark, sf_dir):
 
 @query("boosting_report")
 def boosting_report(spark, sf_dir):
-    spec = ModelSpec("boosting", rounds=10)
-    return development_report(training_table(spark, sf_dir), FEATURES, spec, evaluate_test=False)
+    return development_report(training_table(spark, sf_dir), FEATURES, ModelSpec("boosting"), evaluate_test=False)
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
     table = training_table(spark, sf_dir)
     variants = {"without_history": [f for f in FEATURES if f not in HISTORY], "with_history": FEATURES}
-    scored = materialise(score_variants(table, variants, ModelSpec("logistic")))
+    scored = materialise(score_variants(table, variants, ModelSpec("boosting")))
     return variant_deltas(variant_results(scored, "history"), "without_history")
 
 
 @query("permutation_importance")
 def permutation(spark, sf_dir):
-    split = materialise(three_way_split(training_table(spark, sf_dir), "decision_time"))
-    model = fit(split.where(F.col("split") == "train"), FEATURES, ModelSpec("logistic"))
-    validation = materialise(split.where(F.col("split") == "validation").select("token_address", "label", *FEATURES))
-    return permutation_importance(model, validation, GROUPS, repeats=3)
+    active = in_window(training_table(spark, sf_dir), "decision_time", F.col("label") == 1)
+    return attribution(active, FEATURES, GROUPS, ModelSpec("boosting"))
 
 
 @query(

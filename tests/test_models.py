@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import feature_queries
 from tidemark.plans.experiments import (
+    attribution,
     permutation_importance,
     permute_groups,
     score_variants,
@@ -86,3 +88,28 @@ def test_ablation_shows_the_added_feature(spark):
     rows = variant_deltas(results, "without").collect()
     assert sorted(r.fold for r in rows) == [0, 1, 2, 3]
     assert all(r.delta > 0 for r in rows)
+
+
+def test_attribution_covers_folds_groups_and_single_features(spark):
+    groups = {"both": ["signal", "noise"]}
+    found = attribution(planted(spark), ["signal", "noise"], groups, ModelSpec("boosting", rounds=2, min_rows_per_leaf=5))
+    rows = {(r.fold, r.family, r.name): r for r in found.collect()}
+    names = [("group", "both"), ("feature", "signal"), ("feature", "noise")]
+    assert set(rows) == {(fold, *name) for fold in range(4) for name in names}
+    assert all(r.repeats == (5 if fold == 0 else 3) for (fold, _, _), r in rows.items())
+    assert all(rows[fold, "feature", "signal"].pr_auc_drop_mean > 0 for fold in range(4))
+
+
+@pytest.mark.parametrize("name", ["gbt_scores", "boosting_report", "ablation", "permutation_importance"])
+def test_registered_queries_fit_the_whole_boosting_model(spark, sf_dir, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def stop(train, features, spec, label="label"):
+        raise Fitted(spec)
+
+    monkeypatch.setattr("tidemark.plans.experiments.fit", stop)
+    monkeypatch.setattr(feature_queries, "fit", stop)
+    with pytest.raises(Fitted) as seen:
+        getattr(feature_queries, "permutation" if name == "permutation_importance" else name)(spark, sf_dir)
+    assert seen.value.args[0] == ModelSpec("boosting") and seen.value.args[0].rounds == 300

@@ -36,13 +36,14 @@ from tidemark.sources.scratch import materialise
 
 STANDARD_FOLD = 0
 PERMUTATION_SEED = 20260802
+FOLD_REPEATS = 3
+STANDARD_REPEATS = 5
 
 
-def score_variants(
-    dataset: DataFrame, variants: Mapping[str, Sequence[str]], spec: ModelSpec, *, time: str = "decision_time",
-    key: str = "token_address", label: str = "label",
-) -> DataFrame:
-    """Validation scores of every variant on the expanding folds (1..n) and the standard split (fold 0).
+def development_parts(
+    dataset: DataFrame, *, time: str = "decision_time", label: str = "label"
+) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Training and validation rows of the standard split (fold 0) and the expanding folds (1..n).
 
     Folds are built on training and validation rows only, so the final test part stays sealed.
     """
@@ -70,8 +71,16 @@ def score_variants(
         if cut["validation_end"] is not None:
             later = later.where(at < F.lit(cut["validation_end"]))
         parts[cut["fold"]] = (pretest.where(at < F.lit(cut["train_end"])), later)
+    return parts
+
+
+def score_variants(
+    dataset: DataFrame, variants: Mapping[str, Sequence[str]], spec: ModelSpec, *, time: str = "decision_time",
+    key: str = "token_address", label: str = "label",
+) -> DataFrame:
+    """Validation scores of every variant on the expanding folds (1..n) and the standard split (fold 0)."""
     scored = []
-    for number, (train, validation) in parts.items():
+    for number, (train, validation) in development_parts(dataset, time=time, label=label).items():
         for name, features in variants.items():
             model = fit(train, features, spec, label)
             scored.append(
@@ -209,6 +218,31 @@ def permutation_importance(
     )
 
 
+def attribution(
+    dataset: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]], spec: ModelSpec, *,
+    fold_repeats: int = FOLD_REPEATS, standard_repeats: int = STANDARD_REPEATS, seed: int = PERMUTATION_SEED,
+    time: str = "decision_time", key: str = "token_address", label: str = "label",
+) -> DataFrame:
+    """Permutation importance of feature groups and of single features on every fold and the standard split (fold 0).
+
+    One model per fold serves both families; each fold and family shuffles with a seed of its own.
+    """
+    families = {"group": groups, "feature": {f: [f] for f in features}}
+    measured = []
+    for number, (train, validation) in development_parts(dataset, time=time, label=label).items():
+        model = fit(train, features, spec, label)
+        rows = materialise(validation.select(key, label, *features))
+        repeats = standard_repeats if number == STANDARD_FOLD else fold_repeats
+        for offset, (family, members) in enumerate(families.items()):
+            importance = permutation_importance(
+                model, rows, members, repeats=repeats, seed=seed + 10 * number + offset, key=key, label=label
+            )
+            measured.append(
+                materialise(importance.select(F.lit(number).alias("fold"), F.lit(family).alias("family"), "*"))
+            )
+    return reduce(DataFrame.unionByName, measured)
+
+
 def rank_importance(drops: DataFrame) -> DataFrame:
     """Aggregate per-fold drops (``fold``, ``name``, ``delta``) and rank them, largest mean first."""
     from pyspark.sql import Window
