@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import no_lines, odd_lines, ordered
 from tidemark.llm.recompression import Symbols, WordScheme, compress_pairs, compress_runs, remove_repeated_words
-from tidemark.llm.repeats import multikey_quicksort
-from tidemark.llm.suffix_array import remove_repeated_bytes
+from tidemark.llm.blocks import expand
+from tidemark.llm.repeats import Runs, _answer, _asked, multikey_quicksort, text_sizes, without_repeats
+from tidemark.llm.suffix_array import ByteScheme, remove_repeated_bytes
 
 
 def brute_force(rows, window, words):
@@ -106,3 +108,27 @@ def test_rounds_shorten_lines():
         symbols = compress_pairs(compress_runs(symbols), salt)
     assert len(symbols.name) < 0.65 * 5000
     assert (np.diff(symbols.low) >= 0).all() and (np.diff(symbols.high) >= 0).all()
+
+
+def test_a_name_is_dealt_by_the_bytes_of_its_different_texts():
+    # One name with 500 different texts of 20 bytes and 500 copies of one text, and a name of one text.
+    different = b"".join(b"%020d" % i for i in range(500))
+    text = different + b"x" * 20 * 500 + b"y" * 20
+    at = np.arange(1001) * 20
+    name = np.array([1] * 1000 + [2], np.uint64)
+    runs = Runs(np.arange(1001), at, np.ones(1001, int), name, at, at + 20)
+    sizes = text_sizes(text, runs)
+    assert sizes.tolist() == [14, 5]  # 10,020 and 20 bytes
+    asked = _asked(np.unique(name), sizes, np.array([True, False]))
+    group = pa.table({"block_id": [0, 1], "bucket": pa.array([0, 0], pa.int32()), "payload": [asked, asked]})
+    pieces = [np.frombuffer(expand(a), np.uint16).tolist() for a in _answer(group, 4096, 4096)["answer"].to_pylist()]
+    assert pieces == [[8, 1], [8, 1]]
+
+
+@pytest.mark.parametrize("scheme, words", [(ByteScheme(50), False), (WordScheme(13), True)])
+def test_pieces_by_bytes_give_what_brute_force_gives(spark, scheme, words):
+    rows = repetitive_lines(9)
+    lines = spark.createDataFrame(rows, "line_number long, line string").repartition(5)
+    kept = without_repeats(lines, scheme, piece_bytes=100)
+    columns = ("line_number", "n_units", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert ordered(kept.select(*columns).collect()) == brute_force(rows, scheme.window, words)

@@ -5,7 +5,8 @@
 2. Runs with a shared name send their text to a bucket. Within a block and again within a bucket, equal texts are put
    together first, so that thousands of copies travel as one text with the smallest line number.
 3. A bucket sorts the windows of the remaining different texts; equal windows of a smaller line are the matches.
-4. A name held by very many blocks is dealt to several buckets, whose first windows are then compared across buckets.
+4. A name held by very many blocks, or with more different texts than a bucket should hold, is dealt to several buckets,
+   whose first windows are then compared across buckets.
 
 Only names, texts of shared runs and covered spans move. No step holds more than one block or one bucket.
 """
@@ -79,6 +80,22 @@ def names_of(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     return name[at], np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
 
 
+def text_sizes(text: bytes, runs: Runs) -> np.ndarray:
+    """For each distinct name of a block in order, the bytes of its different texts as a power of two that holds them."""
+    names, code, times = np.unique(runs.name, return_inverse=True, return_counts=True)
+    size = (runs.text_hi - runs.text_lo).astype(np.int64)
+    counts = np.ones(len(size), bool)
+    # Only a name of several runs can have one text twice.
+    several = np.nonzero(times[code] > 1)[0]
+    seen: set[tuple[int, bytes]] = set()
+    for i, c, lo, hi in zip(several.tolist(), code[several].tolist(), runs.text_lo[several].tolist(), runs.text_hi[several].tolist()):
+        one = (c, text[lo:hi])
+        counts[i] = one not in seen
+        seen.add(one)
+    total = np.bincount(code[counts], weights=size[counts], minlength=len(names))
+    return np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"bucket": pa.int32(), "block_id": pa.int64(), "spans": pa.bool_(), "payload": pa.binary()}
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
@@ -120,15 +137,22 @@ def _from_planes(data: bytes, kind: type, count: int, at: int, width: int | None
     return out.view(kind)[:, 0] if count else np.zeros(0, kind)
 
 
-def _answer(group: pa.Table, pieces_of: int) -> pa.Table:
+def _asked(names: np.ndarray, sizes: np.ndarray, twice: np.ndarray) -> bytes:
+    return squeeze(len(names).to_bytes(8, "little") + _planes(names, 5) + sizes.tobytes() + np.packbits(twice).tobytes())
+
+
+def _answer(group: pa.Table, pieces_of: int, piece_bytes: int) -> pa.Table:
     """For each asked name: 0 if one line has it, else into how many pieces its texts are dealt."""
     asked = [expand(p) for p in group["payload"].to_pylist()]
     counts = [int(np.frombuffer(a, np.int64, 1)[0]) for a in asked]
     names = np.concatenate([_from_planes(a, np.uint64, n, 8, 5) for a, n in zip(asked, counts)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, -1, 8 + 5 * n), count=n) for a, n in zip(asked, counts)])
+    sizes = np.concatenate([np.frombuffer(a, np.uint8, n, 8 + 5 * n) for a, n in zip(asked, counts)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, -1, 8 + 6 * n), count=n) for a, n in zip(asked, counts)])
     _, code, times = np.unique(names, return_inverse=True, return_counts=True)
     several = np.bincount(code, weights=twice, minlength=len(times)) > 0
-    pieces = np.where((times > 1) | several, np.minimum(-(-times // pieces_of), 65_535), 0).astype(np.uint16)[code]
+    held = np.bincount(code, weights=np.exp2(sizes), minlength=len(times))
+    wanted = np.maximum(-(-times // pieces_of), np.ceil(held / piece_bytes).astype(np.int64))
+    pieces = np.where((times > 1) | several, np.minimum(wanted, 65_535), 0).astype(np.uint16)[code]
     ends = np.cumsum(counts)
     return pa.table(
         {
@@ -301,10 +325,13 @@ def _found(blocks: list[int], payloads: list[bytes], edge: list[tuple]) -> pa.Ta
     )
 
 
-def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096) -> DataFrame:
+def without_repeats(
+    lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096, piece_bytes: int = _TEXT_BYTES
+) -> DataFrame:
     """line_number, n_units, n_removed, n_spans, kept and line_md5 of each line; see the operators for the contract.
 
-    `pieces_of`: a name that more blocks hold is dealt to one more bucket for each such number of blocks.
+    A name is dealt to one more bucket for each `pieces_of` blocks that hold it, or for each `piece_bytes` bytes of different
+    texts that blocks have for it, whichever gives more buckets.
     """
     blocks = pack(lines)
     name_buckets, buckets = buckets_for(blocks, _NAME_BYTES), buckets_for(blocks, _TEXT_BYTES)
@@ -313,21 +340,23 @@ def without_repeats(lines: DataFrame, scheme: Scheme, *, pieces_of: int = 4096)
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             _, sizes, body = _block(row)
-            names, twice = names_of(scheme.runs(body, sizes)[0])
+            runs, text = scheme.runs(body, sizes)
+            names, twice = names_of(runs)
             if len(names):
                 bucket, short = _of_name(names, name_buckets)
                 used, cuts = np.unique(bucket, return_index=True)
-                parts = zip(used.tolist(), np.split(short, cuts[1:]), np.split(twice, cuts[1:]))
+                held = text_sizes(text, runs)
+                parts = zip(used.tolist(), *(np.split(x, cuts[1:]) for x in (short, held, twice)))
                 yield _batch(
                     [
-                        (b, row["block_id"], False, squeeze(len(n).to_bytes(8, "little") + _planes(n, 5) + np.packbits(t).tobytes()))
-                        for b, n, t in parts
+                        (b, row["block_id"], False, _asked(n, h, t))
+                        for b, n, h, t in parts
                     ]
                 )
 
     def answer(group: pa.Table) -> pa.Table:
         try:
-            return _answer(group, pieces_of)
+            return _answer(group, pieces_of, piece_bytes)
         finally:
             release()
 
