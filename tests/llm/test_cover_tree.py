@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.cover_tree import CoverTree, covering_centres, nearest_deployments
+from tidemark.llm.cover_tree import CoverTree, covering_centres, nearest_deployments, search_pair
 
 SCHEMA = "deployment_id long, features array<double>, score string"
 
@@ -45,3 +45,9 @@ def test_nodes_cover_their_vectors():
     assert sorted(tree.order.tolist()) == list(range(2000))
     centres = covering_centres(data, 50)
     assert len(np.unique(centres, axis=0)) == 50
+
+
+def test_ties_with_a_negative_floor_are_kept():
+    one = np.array([[-1000.0]])
+    found = search_pair(one, np.array([1]), np.array([-1e6]), -one, np.array([5]), 1)
+    assert found.values.tolist() == [[1, 5, -1_000_000]]

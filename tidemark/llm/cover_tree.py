@@ -96,7 +96,7 @@ def search_pair(
             rows = left.order[left.start[a] : left.end[a]]
             q, c, rq, rc = left.centre[a], right.centre[b], left.radius[a], right.radius[b]
             bound = q @ c + np.linalg.norm(q) * rc + np.linalg.norm(c) * rq + rq * rc
-            if bound * (1 + 1e-9) + 1e-6 < worst[rows].min():
+            if bound + abs(bound) * 1e-9 + 1e-6 < worst[rows].min():
                 continue
             if not left.children[a] and not right.children[b]:
                 _score(queries, query_ids, data, ids, rows, right.order[right.start[b] : right.end[b]], worst, best_score, best_id)
@@ -187,7 +187,7 @@ def nearest_deployments(
     q, c = top[groups["cell"]], top[cells["cell"]]
     rq, rc = groups["radius"].to_numpy()[:, None], cells["radius"].to_numpy()[None, :]
     bound = q @ c.T + np.linalg.norm(q, axis=1)[:, None] * rc + np.linalg.norm(c, axis=1)[None, :] * rq + rq * rc
-    bound = bound * (1 + 1e-9) + 1e-6
+    bound = bound + np.abs(bound) * 1e-9 + 1e-6
     # First each group looks into the cells of highest bound that hold enough vectors for k scores.
     best = np.argsort(-(q @ c.T), axis=1)
     enough = np.cumsum(cells["n"].to_numpy()[best], axis=1) > k
