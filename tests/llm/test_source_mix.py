@@ -35,6 +35,13 @@ def test_weights_of_nothing_and_more_epochs(spark):
     assert budgets(spark, leaves, weights, 100, epochs=2) == {("web", "en", "a"): 0, ("web", "en", "b"): 200, ("web", "en", "c"): 100}
 
 
+def test_a_branch_of_weight_nothing_takes_no_budget_from_others(spark):
+    # All of books is a leaf of weight 0; its half of the budget goes to web.
+    leaves = [("web", "en", "a", 1000), ("books", "en", "b", 1000), ("books", "de", "c", 10)]
+    found = budgets(spark, leaves, [("source", "b", 0), ("lang", "de", 3)], 50)
+    assert found == {("web", "en", "a"): 995, ("books", "en", "b"): 0, ("books", "de", "c"): 10}
+
+
 def test_leaves_read_whole_epochs_and_a_prefix(spark):
     rows = [(i, "web", "en", "a", 10, "x", "y") for i in range(40)] + [(100 + i, "web", "en", "b", 10, "x", "y") for i in range(200)]
     lines = spark.createDataFrame(rows, ROWS)

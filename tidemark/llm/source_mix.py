@@ -27,10 +27,17 @@ def leaf_budgets(
 
     `leaves` has one row for each leaf: the level columns and tokens (one epoch). `weights` has level (a level's name),
     name and weight (whole, 0 or more) of nodes against their siblings; nodes without a row weigh 1, nodes of weight 0 get
-    nothing. The root has `total_percent` of all tokens, a leaf can use `epochs` times its own. Returns the level columns,
+    nothing, and neither does what lies below them. The root has `total_percent` of all tokens, a leaf can use `epochs` times its own. Returns the level columns,
     tokens and budget. Budgets are whole and never above what is due; an empty table gives no rows.
     """
     sized = leaves.withColumn("_room", F.col("tokens").cast(_EXACT) * F.lit(epochs).cast(_EXACT))
+    for level in levels:
+        # What may get nothing is no room of the nodes above it, or their budget would be lost to its siblings.
+        named = weights.where(F.col("level") == level).groupBy(F.col("name").alias(level))
+        none = named.agg(F.max("weight").alias("_most")).where(F.col("_most") <= 0).select(level, F.lit(True).alias("_none"))
+        sized = sized.join(none, level, "left").withColumn(
+            "_room", F.when(F.col("_none"), F.lit(0).cast(_EXACT)).otherwise(F.col("_room"))
+        ).drop("_none")
     above = sized.agg(F.expr(f"(coalesce(sum(tokens), 0) * {int(total_percent)}) div 100").cast(_EXACT).alias("_due"))
     for depth in range(1, len(levels) + 1):
         path, parent = list(levels[:depth]), list(levels[: depth - 1])
