@@ -69,6 +69,14 @@ def test_labels_teach_addresses_without_listed_rule(spark):
     assert {r["verdict"] for r in few} == {"allow"}
 
 
+def test_rules_may_need_five_tokens(spark):
+    # Blocked are those with all of five tokens; each other address lacks one of them.
+    baskets = [([f"t{j}" for j in range(5) if i % 6 == 5 or j != i % 6], i % 6 == 5) for i in range(120)]
+    table = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
+    found = mine_rules(table, min_support=0.02, min_confidence=0.8, min_rows=3).collect()
+    assert [r["tokens"] for r in found] == [[f"t{j}" for j in range(5)]]
+
+
 @pytest.mark.parametrize("rows", [0, 3])
 def test_odd_rows(spark, rows):
     table = spark.createDataFrame([(None, "http://a.net/es/", "x", "y"), (1, None, "x", "y"), (1, None, "x", "y")], DEPLOYMENTS)

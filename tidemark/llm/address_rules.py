@@ -8,6 +8,8 @@ are among those of the address.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,13 +63,13 @@ def listed_rule(rules: list[tuple[str, str, str]], host: Column, path: Column) -
 
 
 def mine_rules(
-    labelled: DataFrame, *, min_support: float, min_confidence: float, min_rows: int = 20, max_tokens: int = 4
+    labelled: DataFrame, *, min_support: float, min_confidence: float, min_rows: int = 20
 ) -> DataFrame:
     """Token combinations that go with blocked addresses.
 
     `labelled` has tokens (array of string) and blocked (boolean, null unknown). Returns rule_id, tokens, n_tokens,
     support (share of labelled addresses that hold the tokens and are blocked) and confidence (blocked share of those
-    that hold the tokens), for combinations of at most `max_tokens` tokens that reach both bounds and are held by
+    that hold the tokens), for combinations of any number of tokens that reach both bounds and are held by
     `min_rows` blocked addresses or more, so that few labels can't make a rule. A rule is dropped if a part of its tokens
     is a rule as well.
     """
@@ -76,27 +78,30 @@ def mine_rules(
     support = min(1.0, max(min_support, min_rows / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = (
-        model.associationRules.where(
-            (F.array_contains("consequent", _BLOCK)) & (F.size("antecedent") <= max_tokens)
-        )
+        model.associationRules.where(F.array_contains("consequent", _BLOCK))
         .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
         .withColumn("rule_id", F.xxhash64("tokens"))
         .withColumn("n_tokens", F.size("tokens"))
     )
-    rules = materialise(rules)
-    # A rule that holds another one's tokens says nothing more; parts are found over shared tokens.
-    items = rules.select("rule_id", "n_tokens", F.explode("tokens").alias("token"))
-    smaller = items.select(F.col("rule_id").alias("part_id"), F.col("n_tokens").alias("part_tokens"), "token")
-    needless = (
-        items.join(smaller, "token")
-        .where(F.col("part_tokens") < F.col("n_tokens"))
-        .groupBy("rule_id", "part_id", "part_tokens")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") == F.col("part_tokens"))
-        .select("rule_id")
-        .distinct()
-    )
-    return materialise(rules.join(needless, "rule_id", "left_anti"))
+    # A rule that holds another one's tokens says nothing more. Rules of few tokens come first, so that only rules without
+    # a part are compared with longer ones; parts are found over shared tokens.
+    waiting, kept = materialise(rules), []
+    while (size := waiting.agg(F.min("n_tokens")).first()[0]) is not None:
+        least = waiting.where(F.col("n_tokens") == size)
+        longer = waiting.where(F.col("n_tokens") > size)
+        kept.append(least)
+        parts = least.select(F.col("rule_id").alias("part_id"), F.explode("tokens").alias("token"))
+        needless = (
+            longer.select("rule_id", F.explode("tokens").alias("token"))
+            .join(parts, "token")
+            .groupBy("rule_id", "part_id")
+            .agg(F.count("*").alias("shared"))
+            .where(F.col("shared") == size)
+            .select("rule_id")
+            .distinct()
+        )
+        waiting = materialise(longer.join(needless, "rule_id", "left_anti"))
+    return materialise(reduce(DataFrame.unionByName, kept)) if kept else waiting
 
 
 def judge_addresses(
@@ -107,7 +112,6 @@ def judge_addresses(
     min_support: float = 0.001,
     min_confidence: float = 0.8,
     min_rows: int = 20,
-    max_tokens: int = 4,
 ) -> DataFrame:
     """Verdict on the metadata address of each deployment.
 
@@ -131,9 +135,7 @@ def judge_addresses(
     # Both sides grow with the input, and tokens compress so well that file sizes would pass for small ones.
     known = labels.groupBy("tx_hash").agg(F.max("blocked").alias("blocked")).hint("merge")
     labelled = parsed.where(F.size("tokens") > 0).join(known, "tx_hash").select("tokens", "blocked")
-    mined = mine_rules(
-        labelled, min_support=min_support, min_confidence=min_confidence, min_rows=min_rows, max_tokens=max_tokens
-    )
+    mined = mine_rules(labelled, min_support=min_support, min_confidence=min_confidence, min_rows=min_rows)
     # Addresses with the same tokens are matched once.
     open_sets = (
         parsed.where(F.col("listed").isNull() & (F.size("tokens") > 0))
