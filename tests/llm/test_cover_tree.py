@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tidemark.llm import cover_tree
 from tidemark.llm.cover_tree import CoverTree, covering_centres, nearest_deployments, search_pair
 
 SCHEMA = "deployment_id long, features array<double>, score string"
@@ -51,3 +52,20 @@ def test_ties_with_a_negative_floor_are_kept():
     one = np.array([[-1000.0]])
     found = search_pair(one, np.array([1]), np.array([-1e6]), -one, np.array([5]), 1)
     assert found.values.tolist() == [[1, 5, -1_000_000]]
+
+
+def test_no_task_holds_all_queries_of_a_cell(spark, monkeypatch):
+    whole = cover_tree.search_pair
+
+    def bounded(queries, query_ids, floor, data, ids, k):
+        if len(queries) > 60:
+            raise ValueError(f"{len(queries)} queries in one task")
+        return whole(queries, query_ids, floor, data, ids, k)
+
+    monkeypatch.setattr(cover_tree, "search_pair", bounded)
+    vectors = np.random.default_rng(3).integers(-50, 50, (200, 5))
+    vectors[:150] = vectors[0]
+    table = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in enumerate(vectors)], SCHEMA)
+    found = nearest_deployments(table, table, k=10, centres=2, cell_rows=100, query_rows=20).collect()
+    found = sorted((r["query_id"], r["rank"], r["deployment_id"], r["score"]) for r in found)
+    assert found == brute_force(vectors, range(200), 10)

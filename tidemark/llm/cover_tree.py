@@ -20,6 +20,7 @@ from tidemark.sources.scratch import materialise
 CENTRES = 256  # of the top level; drawn from a hash sample of eight times as many vectors
 _LEAF = 48
 _CELL_ROWS = 4096  # a larger cell is dealt to several tasks
+_QUERY_ROWS = 32_768  # more queries that visit one cell are dealt to several tasks; each reads the cell's piece
 
 
 def covering_centres(sample: np.ndarray, count: int) -> np.ndarray:
@@ -126,7 +127,8 @@ def _score(queries, query_ids, data, ids, rows, columns, worst, best_score, best
 
 
 def nearest_deployments(
-    deployments: DataFrame, queries: DataFrame, *, k: int = 10, centres: int = CENTRES, cell_rows: int = _CELL_ROWS, seed: int = 7
+    deployments: DataFrame, queries: DataFrame, *, k: int = 10, centres: int = CENTRES, cell_rows: int = _CELL_ROWS,
+    query_rows: int = _QUERY_ROWS, seed: int = 7,
 ) -> DataFrame:
     """The k deployments with the largest inner product for each query, exactly.
 
@@ -139,7 +141,7 @@ def nearest_deployments(
     candidates give fewer rows; empty tables give none. Extra columns are ignored.
 
     The sample for the centres has at most 8 * `centres` vectors. A cell with more than `cell_rows` vectors is dealt to
-    several tasks, so copies of one vector don't meet in one.
+    several tasks, so copies of one vector don't meet in one, and so are more than `query_rows` queries that visit a cell.
     """
     bad = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("deployment_id").isNotNull() & F.col("features").isNotNull() & ~bad
@@ -178,7 +180,7 @@ def nearest_deployments(
     data, asked = placed(points), placed(vectors(queries))
     # One row for each top node: at most `centres` of them, whatever the table's size.
     cells = data.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).toPandas().sort_values("cell")
-    groups = asked.groupBy("cell").agg(F.max("gap").alias("radius")).toPandas().sort_values("cell")
+    groups = asked.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).toPandas().sort_values("cell")
     if not len(groups):
         return asked.select(
             F.col("deployment_id").alias("query_id"), F.lit(1).alias("rank"), "deployment_id", F.lit(0).cast("long").alias("score")
@@ -198,10 +200,15 @@ def nearest_deployments(
     names, asking = cells["cell"].tolist(), groups["cell"].tolist()
     piece_of = spark.createDataFrame(list(zip(names, pieces.tolist())), "data_cell int, pieces long")
 
-    def visits(chosen: np.ndarray) -> DataFrame:
-        """Pairs of top nodes to be searched, at most `centres` squared rows, with the pieces of the cells."""
+    def visits(chosen: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """Pairs of top nodes to be searched, at most `centres` squared rows, and the query blocks of the visited cells."""
         pairs = [(asking[i], names[j]) for i, j in zip(*np.nonzero(chosen))]
-        return spark.createDataFrame(pairs, "cell int, data_cell int").join(F.broadcast(piece_of), "data_cell")
+        blocks = -(-(chosen * groups["n"].to_numpy()[:, None]).sum(axis=0) // query_rows)
+        visited = [(name, int(n)) for name, n in zip(names, blocks) if n]
+        return (
+            spark.createDataFrame(pairs, "cell int, data_cell int").join(F.broadcast(piece_of), "data_cell"),
+            spark.createDataFrame(visited, "data_cell int, blocks long"),
+        )
 
     dealt = data.withColumnRenamed("cell", "data_cell").join(F.broadcast(piece_of), "data_cell")  # at most `centres` rows
     dealt = dealt.select(
@@ -222,12 +229,17 @@ def nearest_deployments(
         )
 
     def searched(queries: DataFrame, chosen: np.ndarray) -> DataFrame:
-        sent = queries.join(F.broadcast(visits(chosen)), "cell")
-        sent = sent.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        pairs, blocks = visits(chosen)
+        zero = F.lit(0).cast("long")
+        sent = queries.join(F.broadcast(pairs.join(F.broadcast(blocks), "data_cell")), "cell")
+        sent = sent.withColumn("block", F.pmod(F.xxhash64("deployment_id"), F.col("blocks")))
+        sent = sent.withColumn("piece", F.explode(F.sequence(zero, F.col("pieces") - 1)))
+        # Each block of queries reads the pieces of its cell; at most `centres` rows are broadcast.
+        read = dealt.join(F.broadcast(blocks), "data_cell").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
         return (
-            sent.select("data_cell", "piece", "deployment_id", "features", "floor")
-            .groupBy("data_cell", "piece")
-            .cogroup(dealt.groupBy("data_cell", "piece"))
+            sent.select("data_cell", "piece", "block", "deployment_id", "features", "floor")
+            .groupBy("data_cell", "piece", "block")
+            .cogroup(read.drop("blocks").groupBy("data_cell", "piece", "block"))
             .applyInPandas(search, "query_id long, vec_id long, score long")
         )
 
