@@ -19,6 +19,7 @@ from tidemark.llm.source_mix import mix_lines
 from tidemark.llm.suffix_array import remove_repeated_bytes
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.settings import prepare_text
+from tidemark.llm.whitening import whiten_deployments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,3 +311,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "anomaly",
     )
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deployments = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("token_address"), F.col("embedding").alias("features")
+    )
+    # The exact deviation is a decimal; where it passes 64 bits the query has null.
+    return whiten_deployments(deployments, components=4, scale=256.0).select(
+        F.col("token_address").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
