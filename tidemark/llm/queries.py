@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.address_rules import judge_addresses
 from tidemark.llm.bpe import encode_transaction_lines
+from tidemark.llm.collocations import mine_phrases
 from tidemark.llm.cover_tree import nearest_deployments
 from tidemark.llm.hyper_minhash import link_lines
 from tidemark.llm.quality_forest import judge_lines
@@ -313,6 +314,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_setm_collocations")
+def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mine_phrases(documents.select("lang", F.col("text").alias("line")), group="lang")
+
+
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     deployments = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
