@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import buckets_for, expand, squeeze
 from tidemark.llm.settings import release, tidy
+from tidemark.llm.word_blocks import runs, split_words, word_order
 from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 8 << 20
@@ -165,34 +166,18 @@ def _block(number: int, name: str, data: bytes) -> pa.RecordBatch:
     )
 
 
-def _split_words(payload: bytes) -> list[bytes]:
-    data = expand(payload)
-    return data.split(b" ") if data else []
-
-
-def _word_order(name: str, words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a block in asking order, and the bucket of each in that order."""
-    seed = xxhash.xxh3_64_intdigest(name.encode())
-    bucket = np.array([xxhash.xxh3_64_intdigest(w, seed) % buckets for w in words], np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
-
-
-def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Stretches of equal numbers in an ordered array."""
-    used, starts = np.unique(bucket, return_index=True)
-    for b, lo, hi in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
-        yield b, slice(lo, hi)
+def _seed(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name.encode())
 
 
 def _ask_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = np.array(_split_words(row["words"]), object)
+                words = np.array(split_words(row["words"]), object)
                 counts = np.frombuffer(expand(row["counts"]), np.int64)
-                order, bucket = _word_order(row["phrase_group"], words.tolist(), buckets)
-                out = [(b, b" ".join(words[order[s]]), counts[order[s]]) for b, s in _runs(bucket)]
+                order, bucket = word_order(words.tolist(), buckets, _seed(row["phrase_group"]))
+                out = [(b, b" ".join(words[order[s]]), counts[order[s]]) for b, s in runs(bucket)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _, _ in out], pa.int32()),
@@ -339,8 +324,8 @@ def _put(out: dict[str, list], **values) -> None:
 
 
 def _first_state(row: dict, buckets: int) -> dict:
-    words = _split_words(row["words"])
-    order, bucket = _word_order(row["phrase_group"], words, buckets)
+    words = split_words(row["words"])
+    order, bucket = word_order(words, buckets, _seed(row["phrase_group"]))
     place = np.empty(len(words) + 1, np.int32)
     place[order], place[-1] = np.arange(len(words)), -1
     return {
@@ -348,7 +333,7 @@ def _first_state(row: dict, buckets: int) -> dict:
         "words": [words[i] for i in order.tolist()],
         "levels": [],
         "open": place[np.frombuffer(expand(row["places"]), np.int32)],
-        "starts": {b: s.start for b, s in _runs(bucket)},
+        "starts": {b: s.start for b, s in runs(bucket)},
         "size": len(words),
     }
 
@@ -400,7 +385,7 @@ def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) ->
     place = np.empty(len(pair), np.int32)
     place[order] = np.arange(len(pair))
     starts = {}
-    for b, s in _runs(bucket[order]):
+    for b, s in runs(bucket[order]):
         starts[b] = s.start
         own = order[s]
         asked = squeeze(pickle.dumps((phrase[own], word[own], times[own].astype(np.int64))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.address_rules import judge_addresses
 from tidemark.llm.bpe import encode_transaction_lines
+from tidemark.llm.class_bigrams import score_lines
 from tidemark.llm.collocations import mine_phrases
 from tidemark.llm.cover_tree import nearest_deployments
 from tidemark.llm.hyper_minhash import link_lines
@@ -314,6 +315,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_brown_ngrams")
+def op11_brown_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_lines(document_lines(spark, sf_dir)).withColumnRenamed("line_number", "doc_id")
+
+
 @query("op12_setm_collocations")
 def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
