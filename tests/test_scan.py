@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles, finite_summary
+from tidemark.operators import sizing
 from tidemark.operators.scan import running_totals, select_ranks, with_buckets
 from tidemark.operators.sizing import buckets_for, placed
 
@@ -20,14 +21,34 @@ def test_running_totals_equal_cumulative_sums(spark, buckets):
         assert r.total == sum(x for k, o, x in rows if k == r.k and o <= r.o)
 
 
-def test_buckets_follow_the_order_and_share_equal_values(spark):
-    df = spark.range(0, 2000).select((F.col("id") * 17 % 1999).alias("v"), F.col("id"))
-    out = with_buckets(df, ["v"], buckets=16)
+def spans_of(out):
     spans = out.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    rows = spans.orderBy("_bucket").collect()
-    assert len(rows) == 16
+    return spans.orderBy("_bucket").collect()
+
+
+@pytest.mark.parametrize("rows_per_part", [1_000_000, 300])
+def test_buckets_follow_the_order_and_are_of_one_size(spark, monkeypatch, rows_per_part):
+    monkeypatch.setattr(sizing, "ROWS_PER_PART", rows_per_part)
+    df = spark.range(0, 2000).select((F.col("id") * 17 % 2003).alias("v"), F.col("id"))
+    rows = spans_of(with_buckets(df, ["v"], buckets=16))
+    assert len(rows) >= 16 and max(r.n for r in rows) <= 125
     assert all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
-    assert max(r.n for r in rows) < 2000 / 16 * 4
+
+
+@pytest.mark.parametrize("buckets", [64, 8192, 65536])
+def test_many_buckets_give_the_totals_of_few(spark, buckets):
+    df = spark.range(0, 200_000).select((F.col("id") * 7919 % 200_003).alias("v"), (F.col("id") % 5).alias("x"))
+    out = running_totals(df, order=["v"], sums={"total": "x"}, buckets=buckets)
+    found = out.agg(F.sum("total").alias("s"), F.max("total").alias("m"), F.count("total").alias("n")).first()
+    rows = sorted((i * 7919 % 200_003, i % 5) for i in range(200_000))
+    totals = np.cumsum([x for _, x in rows])
+    assert (found.s, found.m, found.n) == (int(totals.sum()), int(totals[-1]), 200_000)
+
+
+def test_the_bucket_step_carries_no_bounds_and_no_top_rows(spark):
+    df = spark.range(0, 3000).select(F.col("id").alias("v"), F.lit(1).cast("long").alias("x"))
+    plan = running_totals(df, order=["v"], sums={"t": "x"}, buckets=32)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "TakeOrdered" not in plan
 
 
 def test_one_repeated_order_value_does_not_spoil_the_bounds(spark):

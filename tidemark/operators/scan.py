@@ -1,9 +1,9 @@
 """Running totals and rank selection over an order, without ever sorting everything in one task.
 
-An un-partitioned window pulls the whole table into one task. The operators here first cut the order into
-buckets whose bounds come from a small hash sample of the keys. The sample only decides where the cuts lie; any
-cut gives the same answer. Work then happens per bucket, and one row per bucket carries the totals across. The
-number of buckets follows the measured number of rows; there is no other plan for small input.
+An un-partitioned window pulls the whole table into one task. The operators here first write the rows range-partitioned
+and sorted by the order, and cut each partition into buckets of equal length by place. Any cut gives the same answer.
+Work then happens per bucket, and one row per bucket carries the totals across. The number of buckets follows the
+measured number of rows; there is no other plan for small input.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sizing import placed
-
-_SAMPLE_PER_BUCKET = 64
+from tidemark.operators.sizing import parts_for, placed
+from tidemark.sources.scratch import materialise
 
 
 def _order_value(order: Sequence[str]) -> Column:
@@ -23,41 +22,22 @@ def _order_value(order: Sequence[str]) -> Column:
 
 
 def with_buckets(df: DataFrame, order: Sequence[str], *, buckets: int) -> DataFrame:
-    """Add ``_bucket``: equal order values share a bucket and buckets follow the order.
+    """Add ``_bucket``: buckets follow the order and hold the same number of rows, but for the last of a partition.
 
-    Rows should already be distinct by order value within a key, so that no repeated value can fill a bucket.
+    Rows must be unique by order value within a key: rows of different keys with one value may fall into neighbouring
+    buckets. The range partitioner's bounds come from a sample of at most a million rows, however many partitions there
+    are; within a partition, places decide. Rows are stored, so the cut is made once.
     """
     if buckets == 1:
-        return df.withColumn("_bucket", F.lit(0))
-    value = _order_value(order)
-    sample = (
-        df.select(value.alias("_v"), F.xxhash64(*order).alias("_h"))
-        .orderBy("_h")
-        .limit(buckets * _SAMPLE_PER_BUCKET)
-        .agg(F.sort_array(F.collect_list("_v")).alias("_s"))
-    )
-    bounds = sample.select(
-        F.when(
-            F.size("_s") > 0,
-            F.transform(
-                F.sequence(F.lit(1), F.lit(buckets - 1)),
-                lambda i: F.element_at(
-                    "_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / F.lit(buckets)).cast("int"))
-                ),
-            ),
-        ).alias("_bounds")
-    )
-    steps = []
-    step = buckets // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    position = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda acc, s: F.when(F.element_at("_bounds", acc + s) < _order_value(order), acc + s).otherwise(acc),
+        return df.withColumn("_bucket", F.lit(0).cast("long"))
+    rows = df.count()
+    each = max(1, -(-rows // buckets))
+    # The row counter starts each partition at a multiple of 2^33, so no bucket spans two partitions.
+    return materialise(
+        df.repartitionByRange(parts_for(rows), *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_bucket", F.floor(F.monotonically_increasing_id() / F.lit(each)).cast("long"))
     )
-    return df.crossJoin(F.broadcast(bounds)).withColumn("_bucket", position).drop("_bounds")
 
 
 def running_totals(

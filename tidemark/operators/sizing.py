@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tidemark.sources.scratch import materialise
 
 ROWS_PER_BUCKET = 250_000
+ROWS_PER_PART = 1_000_000
 
 
 def buckets_for(rows: int) -> int:
@@ -15,6 +16,11 @@ def buckets_for(rows: int) -> int:
     return 1 << max(0, wanted - 1).bit_length()
 
 
+def parts_for(rows: int) -> int:
+    """Partitions of a sorted table: each is sorted in one task and holds the rows of a few buckets."""
+    return max(1, -(-rows // ROWS_PER_PART))
+
+
 def placed(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Rows that can be read several times, and their number of buckets.
 
