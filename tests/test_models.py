@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import feature_queries
+import __spark_entry__ as entry
+from tidemark.operators.boosting import BoostingSpec
 from tidemark.plans.experiments import (
     attribution,
     permutation_importance,
@@ -25,7 +26,7 @@ def planted(spark, rows=400):
     )
 
 
-@pytest.mark.parametrize("spec", [ModelSpec("logistic"), ModelSpec("boosting", rounds=5, min_rows_per_leaf=5)])
+@pytest.mark.parametrize("spec", [ModelSpec("logistic"), ModelSpec("boosting", BoostingSpec(rounds=5, min_rows_per_leaf=5, learning_rate=0.3))])
 def test_models_learn_the_signal_and_repeat_exactly(spark, spec):
     table = planted(spark)
     first = fit(table, ["signal", "noise", "empty"], spec)
@@ -92,7 +93,7 @@ def test_ablation_shows_the_added_feature(spark):
 
 def test_attribution_covers_folds_groups_and_single_features(spark):
     groups = {"both": ["signal", "noise"]}
-    found = attribution(planted(spark), ["signal", "noise"], groups, ModelSpec("boosting", rounds=2, min_rows_per_leaf=5))
+    found = attribution(planted(spark), ["signal", "noise"], groups, ModelSpec("boosting", BoostingSpec(rounds=2, min_rows_per_leaf=5)))
     rows = {(r.fold, r.family, r.name): r for r in found.collect()}
     names = [("group", "both"), ("feature", "signal"), ("feature", "noise")]
     assert set(rows) == {(fold, *name) for fold in range(4) for name in names}
@@ -105,11 +106,10 @@ def test_registered_queries_fit_the_whole_boosting_model(spark, sf_dir, monkeypa
     class Fitted(Exception):
         pass
 
-    def stop(train, features, spec, label="label"):
+    def stop(parts, spec, label="label"):
         raise Fitted(spec)
 
-    monkeypatch.setattr("tidemark.plans.experiments.fit", stop)
-    monkeypatch.setattr(feature_queries, "fit", stop)
+    monkeypatch.setattr("tidemark.plans.models.fit_boosted", stop)
     with pytest.raises(Fitted) as seen:
-        getattr(feature_queries, "permutation" if name == "permutation_importance" else name)(spark, sf_dir)
-    assert seen.value.args[0] == ModelSpec("boosting") and seen.value.args[0].rounds == 300
+        entry.queries()[name](spark, sf_dir)
+    assert seen.value.args[0] == BoostingSpec() and seen.value.args[0].rounds == 300

@@ -31,7 +31,7 @@ from tidemark.operators.splits import (
     three_way_boundaries,
     three_way_split,
 )
-from tidemark.plans.models import FittedModel, ModelSpec, fit
+from tidemark.plans.models import Model, ModelSpec, fit, fit_all
 from tidemark.sources.scratch import materialise
 
 STANDARD_FOLD = 0
@@ -78,13 +78,21 @@ def score_variants(
     dataset: DataFrame, variants: Mapping[str, Sequence[str]], spec: ModelSpec, *, time: str = "decision_time",
     key: str = "token_address", label: str = "label",
 ) -> DataFrame:
-    """Validation scores of every variant on the expanding folds (1..n) and the standard split (fold 0)."""
+    """Validation scores of every variant on the expanding folds (1..n) and the standard split (fold 0).
+
+    All folds and variants are fitted together; each model then scores its own validation rows.
+    """
     scored = []
-    for number, (train, validation) in development_parts(dataset, time=time, label=label).items():
+    parts = development_parts(dataset, time=time, label=label)
+    models = fit_all(
+        {f"{number}/{name}": (train, features) for number, (train, _) in parts.items() for name, features in variants.items()},
+        spec,
+        label,
+    )
+    for number, (_, validation) in parts.items():
         for name, features in variants.items():
-            model = fit(train, features, spec, label)
             scored.append(
-                model.score(validation.select(key, time, label, *features)).select(
+                models[f"{number}/{name}"].score(validation.select(key, time, label, *features)).select(
                     F.lit(number).alias("fold"),
                     F.lit(name).alias("variant"),
                     key,
@@ -185,7 +193,7 @@ def permute_groups(
 
 
 def permutation_importance(
-    model: FittedModel, validation: DataFrame, groups: Mapping[str, Sequence[str]], *, repeats: int,
+    model: Model, validation: DataFrame, groups: Mapping[str, Sequence[str]], *, repeats: int,
     seed: int = PERMUTATION_SEED, key: str = "token_address", label: str = "label",
 ) -> DataFrame:
     """Loss of average precision when a feature group is shuffled, per group over seeded repeats."""
@@ -229,8 +237,10 @@ def attribution(
     """
     families = {"group": groups, "feature": {f: [f] for f in features}}
     measured = []
-    for number, (train, validation) in development_parts(dataset, time=time, label=label).items():
-        model = fit(train, features, spec, label)
+    parts = development_parts(dataset, time=time, label=label)
+    models = fit_all({str(number): (train, features) for number, (train, _) in parts.items()}, spec, label)
+    for number, (_, validation) in parts.items():
+        model = models[str(number)]
         rows = materialise(validation.select(key, label, *features))
         repeats = standard_repeats if number == STANDARD_FOLD else fold_repeats
         for offset, (family, members) in enumerate(families.items()):
