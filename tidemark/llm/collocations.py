@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import buckets_for, expand, squeeze
 from tidemark.llm.settings import release, tidy
-from tidemark.llm.word_blocks import runs, split_words, word_order
+from tidemark.llm.word_blocks import pack_numbers, runs, split_words, unpack_numbers, word_order
 from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 8 << 20
-_BUCKET_BYTES = 8 << 20
+_BUCKET_BYTES = 16 << 20
 _BREAK = b"\n"
 # Lower case for A-Z; every character that ends a piece becomes a line break.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 9)
@@ -183,7 +183,7 @@ def _ask_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                         pa.array([b for b, _, _ in out], pa.int32()),
                         pa.array([row["block_id"]] * len(out), pa.int64()),
                         pa.array([row["phrase_group"]] * len(out), pa.string()),
-                        pa.array([squeeze(pickle.dumps((w, n))) for _, w, n in out], pa.binary()),
+                        pa.array([squeeze(pickle.dumps((w, pack_numbers(n)))) for _, w, n in out], pa.binary()),
                     ],
                     names=["bucket", "block_id", "phrase_group", "payload"],
                 )
@@ -197,7 +197,8 @@ def _answer_words(min_count: int, buckets: int) -> Callable[[pa.Table], pa.Table
         codes: dict[tuple[str, bytes], int] = defaultdict(counter().__next__)
         asked, counts = [], []
         for row in rows:
-            words, n = pickle.loads(expand(row["payload"]))
+            words, packed = pickle.loads(expand(row["payload"]))
+            n = unpack_numbers(packed)[0]
             asked.append(np.fromiter((codes[row["phrase_group"], w] for w in words.split(b" ")), np.int64, len(n)))
             counts.append(n)
         # Numbers follow the order of the words, so that a task that runs again gives the same.
@@ -211,8 +212,8 @@ def _answer_words(min_count: int, buckets: int) -> Callable[[pa.Table], pa.Table
 def _answer_pairs(min_count: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def answered(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block_id"])
-        asked = [pickle.loads(expand(row["payload"])) for row in rows]
-        both = _pair_codes(np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
+        asked = [unpack_numbers(row["payload"]) for row in rows]
+        both = _pair_codes(np.concatenate([np.cumsum(a[0]) for a in asked]), np.concatenate([a[1] for a in asked]))
         codes = np.unique(both, return_inverse=True)[1].reshape(-1)
         ends = np.cumsum([len(a[0]) for a in asked])[:-1]
         return _answer(rows, np.split(codes, ends), [a[2] for a in asked], min_count, buckets)
@@ -261,7 +262,7 @@ def _answer(
         its = asked[known]
         speaks = speaker[its] == len(rows)
         speaker[its] = np.minimum(speaker[its], i)
-        out.append(squeeze(pickle.dumps((known.astype(np.int32), number[its], total[its], speaks))))
+        out.append(pack_numbers(known, number[its], total[its], speaks))
     return pa.table(
         {
             "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
@@ -275,7 +276,7 @@ def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Ca
     """From the answers on phrases of `length` words to the frequent ones' reports and the questions on longer ones.
 
     A block's state has, for each shorter length, which frequent phrase starts at each place, and the numbers and counts
-    of those phrases; and the question that is open for each place.
+    of those phrases. The open questions follow from it.
     """
 
     def advanced(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -283,10 +284,11 @@ def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Ca
             raise ValueError("answers without a block")
         row = left.to_pylist()[0]
         state = _first_state(row, buckets) if length == 1 else pickle.loads(expand(row["payload"]))
-        name, levels, open_at, starts, size = (state[k] for k in ("name", "levels", "open", "starts", "size"))
+        name, levels = state["name"], state["levels"]
+        open_at, starts, size = state.pop("open") if length == 1 else _open_again(levels, buckets)
         ids, counts, speaks = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
         for answer in right.to_pylist():
-            known, number, total, speaker = pickle.loads(expand(answer["payload"]))
+            known, number, total, speaker = unpack_numbers(answer["payload"])
             known = known + starts[answer["bucket"]]
             ids[known], counts[known], speaks[known] = number, total, speaker
         kept = ids >= 0
@@ -332,9 +334,7 @@ def _first_state(row: dict, buckets: int) -> dict:
         "name": row["phrase_group"],
         "words": [words[i] for i in order.tolist()],
         "levels": [],
-        "open": place[np.frombuffer(expand(row["places"]), np.int32)],
-        "starts": {b: s.start for b, s in runs(bucket)},
-        "size": len(words),
+        "open": (place[np.frombuffer(expand(row["places"]), np.int32)], {b: s.start for b, s in runs(bucket)}, len(words)),
     }
 
 
@@ -368,44 +368,57 @@ def _report(
                     _put(out, kind="drop", length=size, phrase_id=number)
 
 
-def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) -> None:
-    """Merge join with the next word, where both the phrase and the one a word later are frequent."""
-    levels, length = state["levels"], len(state["levels"])
+def _questions(levels: list[tuple], buckets: int) -> tuple[np.ndarray, ...]:
+    """Merge join with the next word, where both the phrase and the one a word later are frequent.
+
+    Returns the places that ask, the question of each, and the questions in asking order: phrase, word, times, bucket.
+    """
     (word_at, word_ids, _), (at, ids, _) = levels[0], levels[-1]
     start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-    if not len(start):
-        return
     pair, which, times = np.unique(
-        at[start].astype(np.int64) * len(word_ids) + word_at[start + length], return_inverse=True, return_counts=True
+        at[start].astype(np.int64) * len(word_ids) + word_at[start + len(levels)], return_inverse=True, return_counts=True
     )
-    phrase, word = ids[pair // len(word_ids)], word_ids[pair % len(word_ids)]
+    phrase, word = ids[pair // max(1, len(word_ids))], word_ids[pair % max(1, len(word_ids))]
     mixed = (phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket * (int(phrase.max(initial=0)) + 1) + phrase, kind="stable")
     place = np.empty(len(pair), np.int32)
     place[order] = np.arange(len(pair))
-    starts = {}
-    for b, s in runs(bucket[order]):
-        starts[b] = s.start
-        own = order[s]
-        asked = squeeze(pickle.dumps((phrase[own], word[own], times[own].astype(np.int64))))
+    return start, place[which.reshape(-1)], phrase[order], word[order], times[order], bucket[order]
+
+
+def _open_again(levels: list[tuple], buckets: int) -> tuple[np.ndarray, dict[int, int], int]:
+    """The open question of each place, where each bucket's questions start, and their number."""
+    start, which, phrase, _, _, bucket = _questions(levels, buckets)
+    open_at = np.full(len(levels[0][0]), -1, np.int32)
+    open_at[start] = which
+    return open_at, {b: s.start for b, s in runs(bucket)}, len(phrase)
+
+
+def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) -> None:
+    """Questions on phrases of one more word, and the state without what no question needs."""
+    levels = state["levels"]
+    start, _, phrase, word, times, bucket = _questions(levels, buckets)
+    if not len(start):
+        return
+    for b, s in runs(bucket):
+        asked = pack_numbers(np.diff(phrase[s], prepend=0), word[s], times[s])
         _put(out, kind="ask", bucket=b, block_id=block, phrase_group=state["name"], payload=asked)
-    # Places that no open question covers are cut out; one -1 keeps what is left apart.
-    covered = np.zeros(len(at) + 1, bool)
-    for i in range(length + 1):
+    # Places that no question covers are cut out; one -1 keeps what is left apart.
+    covered = np.zeros(len(levels[0][0]) + 1, bool)
+    for i in range(len(levels) + 1):
         covered[start + i] = True
     left = covered.copy()
     left[1:] |= covered[:-1]
-    open_at = np.full(len(left), -1, np.int32)
-    open_at[start] = place[which.reshape(-1)]
-
-    def cut(places: np.ndarray) -> np.ndarray:
-        return np.where(covered, np.append(places, np.int32(-1)), np.int32(-1))[left]
-
-    kept = state | {
-        "levels": [(cut(p), i, c) for p, i, c in levels],
-        "open": open_at[left],
-        "starts": starts,
-        "size": len(pair),
-    }
-    _put(out, kind="state", block_id=block, phrase_group=state["name"], payload=squeeze(pickle.dumps(kept)))
+    kept = []
+    for places, ids, counts in levels:
+        places = np.where(covered, np.append(places, np.int32(-1)), np.int32(-1))[left]
+        used = np.zeros(len(ids) + 1, bool)
+        used[places] = True
+        used[-1] = False
+        renamed = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
+        kept.append((renamed[places], ids[used[:-1]], counts[used[:-1]]))
+        if len(kept) == 1:
+            words = [w for w, u in zip(state["words"], used.tolist()) if u]
+    data = {"name": state["name"], "words": words, "levels": kept}
+    _put(out, kind="state", block_id=block, phrase_group=state["name"], payload=squeeze(pickle.dumps(data), 3))

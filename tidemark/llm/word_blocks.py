@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-from tidemark.llm.blocks import expand
+from tidemark.llm.blocks import expand, squeeze
+
+_KINDS = [np.dtype(k) for k in ("u1", "u2", "u4", "i8")]
 
 
 def split_words(payload: bytes) -> list[bytes]:
@@ -28,3 +30,22 @@ def runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     used, starts = np.unique(bucket, return_index=True)
     for b, lo, hi in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
         yield b, slice(lo, hi)
+
+
+def pack_numbers(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, each in the narrowest type that holds it, compressed together."""
+    parts = [np.array([len(arrays)], np.int64).tobytes()]
+    for x in arrays:
+        most = int(x.max()) if len(x) else 0
+        kind = next(i for i, k in enumerate(_KINDS) if most <= np.iinfo(k).max)
+        parts += [np.array([kind, len(x)], np.int64).tobytes(), x.astype(_KINDS[kind]).tobytes()]
+    return squeeze(b"".join(parts), 3)
+
+
+def unpack_numbers(payload: bytes) -> list[np.ndarray]:
+    data, at, out = expand(payload), 8, []
+    for _ in range(int(np.frombuffer(data, np.int64, 1)[0])):
+        kind, size = np.frombuffer(data, np.int64, 2, at).tolist()
+        out.append(np.frombuffer(data, _KINDS[kind], size, at + 16).astype(np.int64))
+        at += 16 + size * _KINDS[kind].itemsize
+    return out
