@@ -5,6 +5,7 @@ from catalog import (  # noqa: F401
     evaluation_queries,
     feature_queries,
     history_queries,
+    learned_queries,
     portfolio_queries,
     quality_queries,
     wallet_queries,

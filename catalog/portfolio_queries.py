@@ -371,7 +371,8 @@ closed AS (SELECT * FROM dated WHERE NOT crosses AND"""
 
 @query(
     "wallet_portfolio",
-    f"""WITH {_wallet_sql()}, summary AS (SELECT {_PORTFOLIO_SELECT} FROM closed)
+    f"""WITH {_wallet_sql()}, summary AS (SELECT {_PORTFOLIO_SELECT}, min(decision_time) AS decision_time_start,
+        max(decision_time) AS decision_time_end FROM closed)
     SELECT *, CASE WHEN net_pnl_usd > 0 AND net_mean_roi > 0 AND net_median_roi > 0
         THEN 'supported_on_development_and_full_descriptive'
         ELSE 'rejected_recorded_fees_remove_development_profitability' END AS decision,
@@ -446,18 +447,26 @@ def _model_backtest(spark, sf_dir, features):
     )
     return backtest.validation_backtest(
         table, features, ModelSpec("logistic"), b.trades(spark, sf_dir), b.FEE_GRID, notional=b.NOTIONAL,
-        hold_seconds=b.HOLD_SECONDS, order=b.ORDER, payload=("price_usd", "price_sol"),
+        hold_seconds=b.HOLD_SECONDS, order=b.ORDER, payload=("price_usd", "price_sol"), incomplete=INCOMPLETE,
     )
 
 
+# A small selection may leave delays without any row; the decision then says so.
+INCOMPLETE = "undecided_incomplete_grid"
+
+
 @query("validation_backtest")
 def validation_backtest(spark, sf_dir):
-    # The decision refuses an incomplete grid, which a small selection may give; it is registered on its own above.
-    return _model_backtest(spark, sf_dir, FEATURES)[1]
+    """The whole grid of the selection, with its size and the decision on every row."""
+    selected, grid, decision = _model_backtest(spark, sf_dir, FEATURES)
+    size = selected.agg(F.count(F.lit(1)).alias("selected_rows"), F.sum("population_weight").alias("selected_weight"))
+    return grid.crossJoin(size).crossJoin(decision)
 
 
 @query("selector_comparison")
 def selector_comparison(spark, sf_dir):
+    """Overlap of the two selections and the decision, with their results side by side."""
     raw = _model_backtest(spark, sf_dir, [f for f in FEATURES if f not in HISTORY])
     proxy = _model_backtest(spark, sf_dir, FEATURES)
-    return backtest.compare_selectors(raw[:2], proxy[:2])[0]
+    overlap, both, decision = backtest.compare_selectors(raw[:2], proxy[:2], incomplete=INCOMPLETE)
+    return overlap.crossJoin(decision).join(both, F.lit(True), "left")

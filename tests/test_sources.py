@@ -127,7 +127,7 @@ def test_publish_checks_before_it_replaces(spark, tmp_path):
     with pytest.raises(ValueError, match="no"):
         sinks.publish(spark.range(3), path, check=refuse)
     assert spark.read.parquet(path).count() == 10
-    assert sinks.publish(spark.range(5), path, check=lambda df: joins.require_unique(df, ["id"]), sort_within=["id"]).count() == 5
+    assert sinks.publish(spark.range(5), path, check=lambda df: joins.unique(df, ["id"]).count(), sort_within=["id"]).count() == 5
     assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
     ledger = str(tmp_path / "ledger")
     for value in (1, 2):

@@ -265,12 +265,21 @@ def position_parameters(latency: DataFrame, cutoff: Column | object) -> DataFram
 
 
 def closed_portfolio(closed: DataFrame) -> DataFrame:
-    """One row about closed positions: totals, returns, quantiles, peak capital and realised drawdown."""
+    """One row about closed positions: totals, returns, quantiles, peak capital and realised drawdown.
+
+    Positions that carry their ``decision_time`` also give the first and last one.
+    """
     net = F.col("net_pnl_usd")
     totals = ["gross_buy_usd", "gross_sell_usd", "gross_pnl_usd", "network_fee_usd", "dex_fee_usd", "total_fee_usd",
               "net_pnl_usd"]
+    decided = [
+        f("decision_time").alias(name)
+        for f, name in ((F.min, "decision_time_start"), (F.max, "decision_time_end"))
+        if "decision_time" in closed.columns
+    ]
     basic = closed.agg(
         F.count(F.lit(1)).alias("token_rows"),
+        *decided,
         F.max("last_sell_time").alias("outcome_time_end"),
         *[_exact_sum(F.col(c)).alias(c) for c in totals],
         F.avg("gross_roi").alias("gross_mean_roi"),

@@ -63,14 +63,18 @@ def selection_overlap(
 
 
 def side_by_side(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], measures: Sequence[str], *, names: tuple[str, str]
+    left: DataFrame, right: DataFrame, keys: Sequence[str], measures: Sequence[str], *, names: tuple[str, str],
+    same_keys: bool = True,
 ) -> DataFrame:
-    """Two result tables on their scenario key with ``<right>_minus_<left>`` deltas; key sets must be equal."""
+    """Two result tables on their scenario key with ``<right>_minus_<left>`` deltas.
+
+    Key sets must be equal, else the plan stops; with ``same_keys`` off, a key of one side has nulls for the other.
+    """
     a, b = names
     one = left.select(*keys, *[F.col(m).alias(f"{a}_{m}") for m in measures], F.lit(True).alias("_in_l"))
     two = right.select(*keys, *[F.col(m).alias(f"{b}_{m}") for m in measures], F.lit(True).alias("_in_r"))
     joined = one.join(two, list(keys), "full")
-    complete = F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()
+    complete = F.lit(not same_keys) | (F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull())
     deltas = [(F.col(f"{b}_{m}") - F.col(f"{a}_{m}")).alias(f"{b}_minus_{a}_{m}") for m in measures]
     guarded = joined.withColumn(
         "_ok", F.when(complete, F.lit(1)).otherwise(F.raise_error(F.lit("result grids differ")))
@@ -136,8 +140,16 @@ def _one_row(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def delay_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Viable delays under median fees and all observed entries must be exactly zero."""
+def _incomplete(text: str | None, message: str) -> Column:
+    """What an incomplete grid gives: an error, or a decision text where the caller wants one."""
+    return F.raise_error(F.lit(message)) if text is None else F.lit(text)
+
+
+def delay_gate(grid: DataFrame, keys: Sequence[str] = (), *, incomplete: str | None = None) -> DataFrame:
+    """Viable delays under median fees and all observed entries must be exactly zero.
+
+    A grid without all three delays stops the plan, or gives ``incomplete`` as decision.
+    """
     primary = grid.where(
         (F.col("execution_policy") == ALL_OBSERVED) & (F.col("fee_scenario") == MEDIAN_FEE)
     )
@@ -157,7 +169,7 @@ def delay_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     complete = F.col("_all") == F.array(F.lit(0), F.lit(1), F.lit(2))
     decision = F.when(
-        ~complete, F.raise_error(F.lit("results must contain exactly the delays 0, 1 and 2"))
+        ~complete, _incomplete(incomplete, "results must contain exactly the delays 0, 1 and 2")
     ).otherwise(
         F.when(F.col("_viable") == F.array(F.lit(0)), ONLY_DELAY_ZERO).otherwise(
             OTHER_DELAYS
@@ -185,7 +197,9 @@ def position_gate(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counted.select(*keys, "all_checks_passed", decision.alias("decision"))
 
 
-def replica_comparison_gate(comparison: DataFrame, keys: Sequence[str] = (), *, names: tuple[str, str]) -> DataFrame:
+def replica_comparison_gate(
+    comparison: DataFrame, keys: Sequence[str] = (), *, names: tuple[str, str], incomplete: str | None = None
+) -> DataFrame:
     """At least two delays improve, delay zero stays solvent, and no delay becomes newly insolvent."""
     a, b = names
     delay = F.col("requested_delay_slots").cast("int")
@@ -209,7 +223,7 @@ def replica_comparison_gate(comparison: DataFrame, keys: Sequence[str] = (), *,
     )
     decision = F.when(
         F.col("_all") != F.array(F.lit(0), F.lit(1), F.lit(2)),
-        F.raise_error(F.lit("comparison must contain exactly the delays 0, 1 and 2")),
+        _incomplete(incomplete, "comparison must contain exactly the delays 0, 1 and 2"),
     ).otherwise(
         F.when(passed, BACKTEST_SUPPORTED).otherwise(
             BACKTEST_REJECTED

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import join_unique
@@ -18,36 +19,39 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> int:
-    """Stop unless the key is unique; returns the number of rows."""
-    counts = key_counts(df, keys).first()
-    if counts["rows"] != counts["unique_keys"]:
-        raise ValueError(f"{name} is not unique by {list(keys)}")
-    return counts["rows"]
+def unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:
+    """The rows as they are; a repeated key stops the plan that reads them.
+
+    The check is a count over the key inside the plan. A join by the same key uses the same partitioning, so it adds no
+    shuffle and no job. Rows with a null in the key match nothing and may repeat.
+    """
+    return _checked(df, keys, F.col("_n") == 1, f"{name} is not unique by {list(keys)}")
+
+
+def _checked(df: DataFrame, keys: Sequence[str], rule: Column, message: str) -> DataFrame:
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(~present | rule, F.lit(True)).otherwise(F.raise_error(F.lit(message)))).drop("_n")
 
 
 def one_to_one(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, keep_all_left: bool = False
 ) -> DataFrame:
-    """Join after checking that both sides are unique by the keys; optionally require every left row to match."""
-    rows = require_unique(left, keys, "left side")
-    require_unique(right, keys, "right side")
-    joined = left.join(right, list(keys), how)
-    if keep_all_left and how == "inner":
-        kept = left.join(right.select(*keys), list(keys), "left_semi").count()
-        if kept != rows:
-            raise ValueError(f"join lost rows: {kept} of {rows} remain")
-    return joined
+    """Join in which a repeated key on either side stops the plan; optionally every left row must meet a right one."""
+    if how not in ("inner", "left"):
+        raise ValueError("one_to_one supports inner and left joins")
+    left, right = unique(left, keys, "left side"), unique(right, keys, "right side")
+    if not keep_all_left:
+        return left.join(right, list(keys), how)
+    joined = left.join(right.withColumn("_found", F.lit(True)), list(keys), "left")
+    found = F.when(F.col("_found").isNotNull(), F.lit(True))
+    return joined.where(found.otherwise(F.raise_error(F.lit(f"join lost rows: no partner by {list(keys)}")))).drop("_found")
 
 
 def one_to_many(left: DataFrame, right: DataFrame, keys: Sequence[str], fan_out: int) -> DataFrame:
-    """Left join where every left key must meet exactly ``fan_out`` right rows."""
-    rows = require_unique(left, keys, "left side")
-    joined = left.join(right, list(keys), "left")
-    actual = joined.count()
-    if actual != rows * fan_out:
-        raise ValueError(f"expected {rows * fan_out} joined rows, got {actual}")
-    return joined
+    """Left join in which every left key must be unique and meet exactly ``fan_out`` right rows; else the plan stops."""
+    joined = unique(left, keys, "left side").join(right, list(keys), "left")
+    return _checked(joined, keys, F.col("_n") == fan_out, f"a key does not have {fan_out} joined rows")
 
 
 def matching(big: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:

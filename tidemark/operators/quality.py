@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,17 @@ def count_where(rule: Column) -> Column:
     return F.count_if(F.coalesce(rule, F.lit(False)))
 
 
+def guarded(df: DataFrame, violations: DataFrame, name: str) -> DataFrame:
+    """The rows as they are, as long as every count in the one row of ``violations`` is zero; else the plan stops.
+
+    The counts are part of the same plan and arrive as one broadcast row; the error names them.
+    """
+    broken = reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(0)) != 0 for c in violations.columns])
+    report = F.concat(F.lit(f"{name} breaks its rules: "), F.to_json(F.struct(*violations.columns)))
+    sound = violations.select(F.when(broken, F.raise_error(report).cast("boolean")).otherwise(F.lit(True)).alias("_sound"))
+    return df.crossJoin(F.broadcast(sound)).where("_sound").drop("_sound")
+
+
 def null_counts(df: DataFrame, suffix: str = "") -> list[Column]:
     return [(F.count(F.lit(1)) - F.count(F.col(c))).alias(f"{c}{suffix}") for c in df.columns]
 
@@ -30,6 +42,11 @@ def row_contract(df: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def expected_rows(df: DataFrame, expected: int) -> DataFrame:
+    """One violation count: how far the number of rows is from the announced one."""
+    return df.agg(F.abs(F.count(F.lit(1)) - F.lit(expected)).alias("row_count_difference"))
+
+
 def column_ranges(df: DataFrame) -> DataFrame:
     """Minimum, maximum and non-null rows of every orderable column as text, from one scan; zero has no sign."""
     kinds = dict(df.dtypes)

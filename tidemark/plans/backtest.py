@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.derived import population_weight
 from tidemark.operators.asof import first_at_or_after, first_in_slot_from, last_within_hold
-from tidemark.operators.compare import delay_gate, replica_comparison_gate, selection_overlap, side_by_side
+from tidemark.operators.compare import (
+    delay_gate,
+    fee_robust_gate,
+    replica_comparison_gate,
+    selection_overlap,
+    side_by_side,
+)
 from tidemark.operators.joins import in_window
 from tidemark.operators.metrics import best_f1, pr_curve
 from tidemark.operators.portfolio import by_policy, portfolio_grid
+from tidemark.operators.quality import backtest_row_integrity, guarded, position_entry_integrity
 from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
 from tidemark.operators.splits import require_both_classes, require_sealed, three_way_split
 from tidemark.plans.models import ModelSpec, fit
@@ -66,6 +74,11 @@ def replica_backtest(
             entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload
         )
     )
+    marked = guarded(
+        marked,
+        backtest_row_integrity(marked, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, position=order),
+        "backtest rows",
+    )
     keys = ["requested_delay_slots", "execution_policy"]
     rows = by_policy(marked)
     attempts = entries.groupBy("requested_delay_slots").agg(
@@ -114,6 +127,14 @@ def position_backtest(
             entries, facts, hold_seconds=hold_seconds, outcome_cutoff=outcome_cutoff, order=order, payload=payload
         )
     )
+    marked = guarded(
+        guarded(marked, position_entry_integrity(entries, position_lag), "position entries"),
+        backtest_row_integrity(
+            marked.withColumn("requested_delay_slots", F.lit(0)), hold_seconds=hold_seconds,
+            outcome_cutoff=outcome_cutoff, position=order,
+        ),
+        "backtest rows",
+    )
     return entries, marked, portfolio_grid(marked, fees, notional=notional)
 
 
@@ -127,6 +148,56 @@ def fee_scenarios(behavior: DataFrame) -> dict[str, float]:
     }
 
 
+@dataclass(frozen=True)
+class LearnedSetting:
+    """What a backtest takes from the wallet's training events: fees, holding time, amount and position lag."""
+
+    fees: dict[str, float]
+    hold_seconds: int
+    notional: float
+    position_lag: int
+
+
+def learned_setting(behavior: DataFrame, position: DataFrame) -> LearnedSetting:
+    """Whole seconds and positions of the training medians; both tables have one row."""
+    row, lag = behavior.first(), position.first()["median"]
+    if row["hold_median"] is None or row["first_buy_notional_median"] is None or lag is None:
+        raise ValueError("training events hold no closed position or no gap to learn from")
+    return LearnedSetting(
+        fee_scenarios(behavior), int(row["hold_median"]), float(row["first_buy_notional_median"]), int(lag)
+    )
+
+
+def paired_position_backtest(
+    selected: DataFrame, facts: DataFrame, fees: Mapping[str, float], *, selectors: str = "selectors", position_lag: int,
+    notional: float, hold_seconds: int, outcome_cutoff: int | Column, order: Sequence[str], payload: Sequence[str],
+) -> tuple[DataFrame, DataFrame]:
+    """Marked rows and the fee grid of several selections, keyed by ``selector``.
+
+    ``selected`` has each decision once, with the array of the selectors that chose it. Entries and exit marks are found
+    once; only the marked rows are repeated for each selector.
+    """
+    entries, marked, _ = position_backtest(
+        selected.drop(selectors), facts, fees, position_lag=position_lag, notional=notional, hold_seconds=hold_seconds,
+        outcome_cutoff=outcome_cutoff, order=order, payload=payload,
+    )
+    chosen = selected.select("token_address", F.explode(selectors).alias("selector"))
+    rows = materialise(marked.join(chosen, "token_address"))
+    return rows, portfolio_grid(rows, fees, notional=notional, keys=["selector"])
+
+
+def compare_positions(grid: DataFrame, *, names: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The fee grids of two selectors side by side, and the decision of the six checks on them."""
+    measures = ["net_mean_return", "net_median_return_unweighted", "net_hit_rate", "max_drawdown_fraction"]
+    flag = "insolvent_under_capital_model"
+    grid = materialise(grid.select("selector", "fee_scenario", *measures, flag))  # three rows for each selector
+    left, right = (grid.where(F.col("selector") == n) for n in names)
+    both = side_by_side(left, right, ["fee_scenario"], measures, names=names)
+    for side, name in ((left, names[0]), (right, names[1])):
+        both = both.join(side.select("fee_scenario", F.col(flag).alias(f"{name}_{flag}")), "fee_scenario")
+    return both, fee_robust_gate(both, names=names)
+
+
 def first_trade_gap(entries: DataFrame, position_lag: int) -> DataFrame:
     """Position gap between decision and first trade for entries in the decision slot, and the share beyond the lag."""
     gaps = entries.where(
@@ -169,13 +240,13 @@ def position_coverage(entries: DataFrame) -> DataFrame:
 def validation_backtest(
     dataset: DataFrame, features: Sequence[str], spec: ModelSpec, facts: DataFrame, fees: Mapping[str, float], *,
     notional: float, hold_seconds: int, order: Sequence[str], payload: Sequence[str], start: object = None,
-    time: str = "decision_time",
+    time: str = "decision_time", incomplete: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on the training part, select on validation at its best F1, trade the selection, and decide.
 
     ``dataset`` carries the decision position (``deploy_*``) next to features, label and ``decision_time`` in epoch
     seconds. The test part is never scored; its first time is the outcome cutoff. Returns the selection, the
-    scenario grid and the decision.
+    scenario grid and the decision; a grid without all delays stops the decision, or gives the text ``incomplete``.
     """
     split = materialise(three_way_split(in_window(dataset, time, F.col("label") == 1), time))
     require_both_classes(split, "split")
@@ -196,23 +267,26 @@ def validation_backtest(
         payload=payload,
     )
     grid = materialise(grid)
-    return selected, grid, delay_gate(grid)
+    return selected, grid, delay_gate(grid, incomplete=incomplete)
 
 
 def compare_selectors(
-    raw: tuple[DataFrame, DataFrame], proxy: tuple[DataFrame, DataFrame], *, names: tuple[str, str] = ("raw", "proxy")
+    raw: tuple[DataFrame, DataFrame], proxy: tuple[DataFrame, DataFrame], *, names: tuple[str, str] = ("raw", "proxy"),
+    incomplete: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Overlap of two selections, their median-fee results side by side, and the comparison decision."""
     keys = ["requested_delay_slots", "execution_policy", "fee_scenario"]
     measures = ["net_mean_return", "net_median_return_unweighted", "net_hit_rate", "max_drawdown_fraction"]
     flag = "insolvent_under_capital_model"
-    both = side_by_side(raw[1], proxy[1], keys, measures, names=names)
+    both = side_by_side(raw[1], proxy[1], keys, measures, names=names, same_keys=incomplete is None)
     for side, name in ((raw[1], names[0]), (proxy[1], names[1])):
-        both = both.join(side.select(*keys, F.col(flag).alias(f"{name}_{flag}")), keys)
+        both = both.join(side.select(*keys, F.col(flag).alias(f"{name}_{flag}")), keys, "left")
     primary = both.where(
         (F.col("execution_policy") == "all_observed_proxy") & (F.col("fee_scenario") == "training_median_fee")
     )
-    return selection_overlap(raw[0], proxy[0]), both, replica_comparison_gate(primary, names=names)
+    return selection_overlap(raw[0], proxy[0]), both, replica_comparison_gate(
+        primary, names=names, incomplete=incomplete
+    )
 
 
 def staleness(marked: DataFrame) -> DataFrame:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.clock import add_utc_clock, epoch_to_time
 from tidemark.functions.transaction import transaction_features
 from tidemark.operators.history import attach_history, prior_history
+from tidemark.operators.joins import one_to_one
 from tidemark.sources.tables import systematic_sample
 
 
 def labelled_features(lines: DataFrame, index: DataFrame, label: int, *, stride: int = 1) -> DataFrame:
-    """Features of (sampled) raw lines joined to their index rows by line number, with label and clock columns."""
+    """Features of (sampled) raw lines joined to their index rows by line number, with label and clock columns.
+
+    A repeated line number on either side stops the plan.
+    """
     raw = transaction_features(systematic_sample(lines, stride))
-    joined = index.drop("block_slot").join(raw, "line_number")
+    joined = one_to_one(index.drop("block_slot"), raw, ["line_number"])
     timed = joined.withColumn("decision_time", epoch_to_time("decision_epoch")).withColumn("label", F.lit(label))
     return add_utc_clock(timed)
 

@@ -74,6 +74,26 @@ def development_parts(
     return parts
 
 
+def fold_contents(dataset: DataFrame, *, time: str = "decision_time", label: str = "label") -> DataFrame:
+    """Rows, times and weighted prevalence of each development fold, one row per fold."""
+    weight = population_weight(label)
+    parts = []
+    for number, (train, validation) in development_parts(dataset, time=time, label=label).items():
+        fitted = train.agg(
+            F.count(F.lit(1)).alias("train_rows"),
+            F.count_if(F.col(label) == 1).alias("train_positives"),
+            F.max(time).alias("last_train_time"),
+        )
+        checked = validation.agg(
+            F.count(F.lit(1)).alias("validation_rows"),
+            F.min(time).alias("first_validation_time"),
+            F.max(time).alias("last_validation_time"),
+            (F.sum(F.when(F.col(label) == 1, weight).otherwise(F.lit(0.0))) / F.sum(weight)).alias("prevalence"),
+        )
+        parts.append(fitted.crossJoin(checked).select(F.lit(number).alias("fold"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score_variants(
     dataset: DataFrame, variants: Mapping[str, Sequence[str]], spec: ModelSpec, *, time: str = "decision_time",
     key: str = "token_address", label: str = "label",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.cashflow import first_event
+from tidemark.operators.joins import one_to_one
 from tidemark.operators.quantiles import finite_summary
 
 MEASURES = ("latency_slots", "latency_seconds", "same_slot_position_delta", "entry_cost_usd")
@@ -16,7 +17,7 @@ def entry_latency(deployments: DataFrame, wallet: DataFrame, positions: DataFram
 
     ``deployments``: token_address, tx_hash, decision_time, decision_epoch, block_slot, tx_index.
     ``wallet``: token_address, tx_hash, timestamp, event_type, cost_usd.
-    ``positions``: buy_tx_hash, buy_block_time, buy_slot, buy_tx_index, unique by hash.
+    ``positions``: buy_tx_hash, buy_block_time, buy_slot, buy_tx_index. Repeated tokens or hashes stop the plan.
     """
     buys = wallet.where(F.col("event_type") == "buy").withColumn(
         "entry_cost_usd", F.col("cost_usd").try_cast("double")
@@ -24,9 +25,11 @@ def entry_latency(deployments: DataFrame, wallet: DataFrame, positions: DataFram
     first = first_event(buys, ["entry_cost_usd"]).withColumnsRenamed(
         {"timestamp": "wallet_buy_timestamp", "tx_hash": "buy_tx_hash"}
     )
-    joined = deployments.withColumnsRenamed(
+    decided = deployments.withColumnsRenamed(
         {"tx_hash": "deploy_tx_hash", "block_slot": "deploy_slot", "tx_index": "deploy_tx_index"}
-    ).join(first.join(positions, "buy_tx_hash", "left"), "token_address", "left")
+    )
+    placed = one_to_one(first, positions, ["buy_tx_hash"], "left")
+    joined = one_to_one(decided, placed, ["token_address"], "left")
     slots = F.col("buy_slot") - F.col("deploy_slot")
     return joined.withColumns(
         {

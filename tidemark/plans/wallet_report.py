@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.cashflow import (
+    cashflow_integrity,
+    cashflow_violations,
     closed_portfolio,
     closed_positions,
     outcome_crosses,
     token_cashflow,
 )
 from tidemark.operators.compare import profitability_gate
+from tidemark.operators.joins import one_to_one
+from tidemark.operators.quality import guarded
 from tidemark.sources.scratch import materialise
 
 
@@ -20,11 +24,14 @@ def wallet_portfolio(
 ) -> tuple[DataFrame, DataFrame]:
     """Censoring counts and the closed-position summary of tokens decided in ``start <= time < holdout_start``.
 
-    Tokens whose outcome reaches the boundary are counted and left out.
+    Tokens whose outcome reaches the boundary are counted and left out. Repeated transactions, missing or negative cash,
+    reversed times and tokens decided twice stop the plan.
     """
-    flows = materialise(
-        token_cashflow(wallet).join(decisions.select("token_address", "decision_time"), "token_address", "left")
+    sound = guarded(wallet, cashflow_violations(wallet), "wallet activity")
+    built = materialise(
+        one_to_one(token_cashflow(sound), decisions.select("token_address", "decision_time"), ["token_address"], "left")
     )
+    flows = guarded(built, cashflow_integrity(built), "cash-flow table")
     known = flows.where((F.col("decision_time") >= start) & (F.col("decision_time") < holdout_start))
     flagged = outcome_crosses(known, holdout_start)
     counts = flagged.agg(

@@ -74,6 +74,35 @@ def manifest(df: DataFrame, key: str, violations: Mapping[str, "F.Column"] | Non
     )
 
 
+def range_fingerprints(df: DataFrame, key: str, digits: int = 1) -> DataFrame:
+    """Rows, keys and an order-free fingerprint for each range of the hashed key.
+
+    A row's fingerprint is the md5 of its columns' text, folded to 60 bits and added up exactly, so other engines can
+    compute it as well. Null columns are left out of the text. The range is named by the first hex digits of the
+    md5 of the key.
+    """
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    name = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, digits)
+    per_key = df.groupBy(name.alias("key_range"), F.col(key).alias("_k")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(part).alias("_f")
+    )
+    return per_key.groupBy("key_range").agg(
+        F.sum("_n").alias("rows"), F.count("_k").alias("unique_keys"), F.sum("_f").cast("string").alias("fingerprint")
+    )
+
+
+def compare_ranges(first: DataFrame, second: DataFrame, *, key: str, digits: int = 1) -> DataFrame:
+    """The first run's key ranges, and whether the second run repeats each of them."""
+    names = ["rows", "unique_keys", "fingerprint"]
+    other = range_fingerprints(second, key, digits).withColumnsRenamed({n: f"_{n}" for n in names})
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    joined = range_fingerprints(first, key, digits).join(other, "key_range", "full")
+    return joined.select("key_range", *names, same.alias("repeated"))
+
+
 def verify_manifest(df: DataFrame, expected: DataFrame, key: str) -> None:
     """Stop when a dataset is not the one its manifest describes."""
     names = ["rows", "unique_keys", "fingerprint_xor", "fingerprint_sum"]
