@@ -8,7 +8,10 @@ from tidemark.operators.asof import first_at_or_after, first_in_slot_from
 from tidemark.operators.cashflow import cashflow_violations, token_cashflow
 from tidemark.operators.joins import compare_on_key, unmatched
 from tidemark.operators.portfolio import portfolio_grid, worst_drawdown
+from tidemark.operators.quality import expected_rows, guarded
 from tidemark.operators.quantiles import finite_summary
+from tidemark.plans import backtest
+from tidemark.plans.wallet_report import wallet_portfolio
 
 WALLET = (
     "token_address string, tx_hash string, timestamp long, event_type string, token_symbol string, cost_usd string, "
@@ -92,3 +95,59 @@ def test_unmatched_rows_keep_nulls_and_hot_keys(spark, monkeypatch):
     left = spark.range(200).select(F.when(F.col("id") < 150, F.lit(1)).when(F.col("id") < 199, F.col("id")).alias("k"))
     right = spark.createDataFrame([(1,), (1,), (160,), (None,)], "k long")
     assert unmatched(left, right, ["k"]).count() == 200 - 150 - 1
+
+
+DECIDED = "token_address string, decision_time long"
+
+
+@pytest.mark.parametrize(
+    "events, rule",
+    [
+        ([event("x", "buy", "5"), event("x", "sell", "6")], "duplicate_transaction_rows.:1"),
+        ([event("x", "buy", "5"), event("y", "sell", "-6")], "rows_with_negative_cash.:1"),
+        ([event("x", "buy", "5"), event("y", "sell", None)], "rows_with_missing_cash.:1"),
+    ],
+)
+def test_unsound_wallets_stop_the_portfolio(spark, events, rule):
+    wallet = spark.createDataFrame(events, WALLET)
+    decisions = spark.createDataFrame([("a", 1)], DECIDED)
+    with pytest.raises(PySparkException, match=rule):
+        wallet_portfolio(wallet, decisions, start=0, holdout_start=9)[1].collect()
+
+
+def test_sound_wallets_give_decision_times_and_repeated_decisions_stop(spark):
+    wallet = spark.createDataFrame([event("x", "buy", "5"), event("y", "sell", "6")], WALLET)
+    counts, summary = wallet_portfolio(wallet, spark.createDataFrame([("a", 1), ("b", 7)], DECIDED), start=0, holdout_start=9)
+    assert counts.first().development_candidate_tokens == 1
+    assert (summary.first().decision_time_start, summary.first().decision_time_end) == (1, 1)
+    with pytest.raises(PySparkException, match="right side is not unique"):
+        wallet_portfolio(wallet, spark.createDataFrame([("a", 1), ("a", 2)], DECIDED), start=0, holdout_start=9)
+
+
+def test_guards_name_the_broken_rule_and_add_no_job(spark):
+    rows = spark.range(5)
+    assert guarded(rows, expected_rows(rows, 5), "table").count() == 5
+    with pytest.raises(PySparkException, match="table breaks its rules: .*row_count_difference.:2"):
+        guarded(rows, expected_rows(rows, 3), "table").collect()
+
+
+def test_wrong_exit_marks_stop_a_backtest(spark, monkeypatch):
+    names = ("block_slot", "block_time", "tx_index")
+    selected = spark.createDataFrame(
+        [("a", 10, 100, 0, 1.0)],
+        "token_address string, deploy_block_slot long, deploy_block_time long, deploy_tx_index int, population_weight double",
+    )
+    facts = spark.createDataFrame(
+        [("a", 10, 100, 3, 2.0, 1.0), ("a", 11, 102, 0, 3.0, 1.0)],
+        "token_address string, block_slot long, block_time long, tx_index int, price_usd double, price_sol double",
+    )
+    run = lambda: backtest.position_backtest(
+        selected, facts, {"gross": 0.0}, position_lag=2, notional=1.0, hold_seconds=5, outcome_cutoff=200, order=names,
+        payload=("price_usd", "price_sol"),
+    )[2]
+    assert run().first().gross_mean_return == 0.5
+    found = backtest.mark_returns
+    late = lambda *a, **k: found(*a, **k).withColumn("exit_block_time", F.col("exit_target_time") + 1)
+    monkeypatch.setattr(backtest, "mark_returns", late)
+    with pytest.raises(PySparkException, match="backtest rows breaks its rules.*exits_after_target.:1"):
+        run().collect()

@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,24 +117,55 @@ def test_gzip_lines_are_numbered_and_sampled(spark, tmp_path):
     assert {r.token_address: r.creator_prior_deploy_count for r in full.collect()}["t25"] == 24
 
 
-def test_publish_checks_before_it_replaces(spark, tmp_path):
+def test_readers_see_the_old_or_the_new_version(spark, tmp_path):
     path = str(tmp_path / "out")
-    first = spark.range(10)
-    assert sinks.publish(first, path).count() == 10
+    assert sinks.publish(spark.range(10), path).count() == 10
+    pinned = sinks.read_published(spark, path)
 
     def refuse(_):
+        # While the new version is written and checked, a reader finds the old one.
+        assert sinks.read_published(spark, path).count() == 10
         raise ValueError("no")
 
     with pytest.raises(ValueError, match="no"):
         sinks.publish(spark.range(3), path, check=refuse)
-    assert spark.read.parquet(path).count() == 10
-    assert sinks.publish(spark.range(5), path, check=lambda df: joins.unique(df, ["id"]).count(), sort_within=["id"]).count() == 5
-    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+    assert sinks.read_published(spark, path).count() == 10
+    checked = sinks.publish(spark.range(5), path, check=lambda df: joins.unique(df, ["id"]).count(), sort_within=["id"])
+    assert checked.count() == sinks.read_published(spark, path).count() == 5 and pinned.count() == 10
+    assert len([p for p in tmp_path.joinpath("out").iterdir() if p.name.startswith("CURRENT")]) == 1
+    sinks.drop_versions(spark, path)
+    assert sinks.read_published(spark, path).count() == 5
+    assert len([p for p in tmp_path.joinpath("out").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_a_repeated_run_adds_no_ledger_row(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
-    for value in (1, 2):
-        sinks.append_ledger(spark.createDataFrame([("e", value)], "experiment string, value int"), ledger)
-    rows = spark.read.json(ledger)
-    assert rows.count() == 2 and "recorded_at_utc" in rows.columns
+    for run, value in (("a", 1), ("b", 2), ("b", 2)):
+        sinks.append_ledger(spark.createDataFrame([("e", value)], "experiment string, value int"), ledger, run)
+    rows = spark.read.json(ledger).collect()
+    assert sorted((r.run_id, r.value) for r in rows) == [("a", 1), ("b", 2)] and rows[0].recorded_at_utc
+
+
+def test_lines_of_split_files_have_the_numbers_of_whole_ones(spark, tmp_path):
+    texts = {"one.jsonl": [f"line {i} {'x' * (i % 50)}" for i in range(500)], "two.jsonl": ["", "only", ""], "none.jsonl": []}
+    for name, rows in texts.items():
+        (tmp_path / name).write_text("".join(r + "\n" for r in rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-(tmp_path / "one.jsonl").stat().st_size // 7)))
+    try:
+        found = tables.number_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    wanted = sorted((name, i + 1, r) for name, rows in texts.items() for i, r in enumerate(rows))
+    assert sorted((r.file_path.rsplit("/", 1)[1], r.line_number, r.value) for r in found) == wanted
+
+
+def test_footers_answer_ranges_without_reading_rows(spark, sf_dir):
+    out = tables.footer_ranges(spark, f"{sf_dir}/lineitem.parquet")
+    assert "PushedAggregation: [MIN" in out._jdf.queryExecution().executedPlan().toString()
+    row = out.where("column_name = 'l_quantity'").first()
+    given = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.min("l_quantity"), F.max("l_quantity"), F.count("l_quantity")).first()
+    assert (row.minimum, row.maximum, row.non_null_rows) == tuple(given)
 
 
 def test_manifest_ignores_order_and_sees_changes(spark):
@@ -144,23 +176,31 @@ def test_manifest_ignores_order_and_sees_changes(spark):
     assert not sinks.same_content(df, df.unionAll(df.where("k = 1")).unionAll(df.where("k = 1")), "k")
     expected = sinks.manifest(df, "k", {"odd": F.col("v") % 2 != 0})
     assert expected.first().odd == 0 and expected.first().unique_keys == 100
-    sinks.verify_manifest(shuffled, expected, "k")
-    with pytest.raises(ValueError, match="manifest"):
-        sinks.verify_manifest(df.where("k > 0"), expected, "k")
+    assert sinks.verified(shuffled, expected, "k").count() == 100
+    with pytest.raises(PySparkException, match="dataset manifest breaks its rules.*rows_differs"):
+        sinks.verified(df.where("k > 0"), expected, "k").collect()
+    ranges = {r.key_range: r.repeated for r in sinks.compare_ranges(df, shuffled, key="k").collect()}
+    assert len(ranges) == 16 and all(ranges.values())
+    other = df.withColumn("v", F.when(F.col("k") == 3, 0).otherwise(F.col("v")))
+    assert [r.key_range for r in sinks.compare_ranges(df, other, key="k").collect() if not r.repeated] == ["e"]  # md5 of 3
 
 
 def test_validated_joins(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
     b = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "k int, b string")
     assert joins.one_to_one(a, b, ["k"], keep_all_left=True).count() == 2
-    with pytest.raises(ValueError, match="lost"):
-        joins.one_to_one(b, a, ["k"], keep_all_left=True)
-    with pytest.raises(ValueError, match="not unique"):
-        joins.one_to_one(a.unionAll(a), b, ["k"])
+    with pytest.raises(PySparkException, match="lost"):
+        joins.one_to_one(b, a, ["k"], keep_all_left=True).collect()
+    with pytest.raises(PySparkException, match="left side is not unique"):
+        joins.one_to_one(a.unionAll(a), b, ["k"]).collect()
+    with pytest.raises(PySparkException, match="right side is not unique"):
+        joins.one_to_one(a, b.unionAll(b), ["k"], "left").collect()
+    holes = a.unionByName(spark.createDataFrame([(None, "n"), (None, "n")], "k int, a string"))
+    assert joins.one_to_one(holes, b, ["k"], "left").count() == 4
     grid = b.where("k < 3").crossJoin(spark.range(3).withColumnRenamed("id", "d"))
     assert joins.one_to_many(a, grid, ["k"], 3).count() == 6
-    with pytest.raises(ValueError, match="expected 6"):
-        joins.one_to_many(a, grid.where("d < 2"), ["k"], 3)
+    with pytest.raises(PySparkException, match="3 joined rows"):
+        joins.one_to_many(a, grid.where("d < 2"), ["k"], 3).collect()
     changed = b.withColumn("b", F.when(F.col("k") == 2, None).otherwise(F.col("b")))
     row = joins.compare_on_key(b, changed.where("k < 3"), ["k"], ["b"]).first()
     assert (row.matched_rows, row.unmatched_rows, row.b_mismatches) == (2, 1, 1)

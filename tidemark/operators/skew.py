@@ -53,15 +53,17 @@ def join_unique(
     """Join ``big`` with a table that has one row per key (or a few, fixed in number), cutting hot keys into pieces.
 
     Only the rows of ``small`` for hot keys are repeated (once per piece), so the extra volume is bounded by
-    the number of pieces. ``spread`` chooses the piece of a row. The default row counter also spreads exact copies; it
-    gives the same piece on a retry when ``big`` is a scan with projections and filters. Pass a hash of identifying
-    columns when ``big`` comes out of a shuffle.
+    the number of pieces. ``spread`` chooses the piece of a row, such as a hash of identifying columns. The default is a
+    row counter, which also spreads exact copies; ``big`` is then written first if it has a hot key, so that a task that
+    runs again after a lost executor counts the same rows in the same order.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_unique supports inner and left joins")
     hot = hot_keys(big, keys, rows_per_task=rows_per_task)
     if hot is None:
         return big.join(small, list(keys), how)
+    if spread is None:
+        big = materialise(big)
     hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
     pieces = F.coalesce(F.col("_splits"), F.lit(1))
     left = (

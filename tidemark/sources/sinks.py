@@ -1,4 +1,4 @@
-"""Writers that publish only what passed its checks, and the dataset manifest."""
+"""Versioned publishing of what passed its checks, the result ledger, and the dataset manifest."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.quality import guarded
+
+
+_POINTER = "CURRENT"  # a name that readers of text files don't skip
+
 
 def publish(
     df: DataFrame,
@@ -17,43 +22,70 @@ def publish(
     sort_within: Sequence[str] = (),
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Write to a staging folder, check what was written, then rename it into place.
+    """Write a new version of a dataset, check what was written, then point to it.
 
-    A failed check leaves the published path as it was and keeps the staged files for inspection.
+    Versions are folders below ``path`` that are never changed; one small pointer file, replaced by an atomic rename,
+    names the current one, so a reader sees the old or the new version and never none. Nothing is copied. A failed
+    check leaves the pointer as it was and keeps the written version for inspection.
     """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    version = f"version-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{version}"
     rows = df.sortWithinPartitions(*sort_within) if sort_within else df
     writer = rows.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(staging)
+    writer.parquet(folder)
     if check is not None:
-        check(spark.read.parquet(staging))
-    _replace(spark, staging, path)
-    return spark.read.parquet(path)
+        check(spark.read.parquet(folder))
+    _point_to(spark, path, version)
+    return spark.read.parquet(folder)
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """Name of the version that the pointer names."""
+    return spark.read.text(f"{path.rstrip('/')}/{_POINTER}").first()[0]
+
 
+def read_published(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The current version of a published dataset, or a named one. The rows stay those of that version."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{version or current_version(spark, path)}")
 
-def _replace(spark: SparkSession, staging: str, path: str) -> None:
-    """Rename through the Hadoop file system of the path; the old output is set aside and dropped last."""
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete versions other than the current one and the latest ``keep - 1`` others; readers pinned to them must be done."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    current = current_version(spark, path)
+    others = [s for s in fs.listStatus(root) if s.getPath().getName().startswith("version-") and s.getPath().getName() != current]
+    for status in sorted(others, key=lambda s: -s.getModificationTime())[max(0, keep - 1) :]:
+        fs.delete(status.getPath(), True)
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Replace the pointer file in one rename of the file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{_POINTER}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{_POINTER}-{version}")
     fs = target.getFileSystem(conf)
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, old):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(source, target):
-        if had_old:
-            fs.rename(old, target)
-        raise OSError(f"cannot publish {path}")
-    if had_old:
-        fs.delete(old, True)
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(context.makeQualified(fresh), context.makeQualified(target), options)
+
 
+def append_ledger(rows: DataFrame, path: str, run_id: str) -> None:
+    """Put the result rows of one run into a JSON ledger, with the time they were recorded.
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append result rows to a JSON ledger with the time they were recorded."""
-    rows.withColumn("recorded_at_utc", F.current_timestamp()).write.mode("append").json(path)
+    A run has a folder of its own, so recording the same run again replaces its rows and adds none.
+    """
+    stamped = rows.withColumn("recorded_at_utc", F.current_timestamp())
+    stamped.write.mode("overwrite").json(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def manifest(df: DataFrame, key: str, violations: Mapping[str, "F.Column"] | None = None) -> DataFrame:
@@ -103,12 +135,12 @@ def compare_ranges(first: DataFrame, second: DataFrame, *, key: str, digits: int
     return joined.select("key_range", *names, same.alias("repeated"))
 
 
-def verify_manifest(df: DataFrame, expected: DataFrame, key: str) -> None:
-    """Stop when a dataset is not the one its manifest describes."""
+def verified(df: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """The rows as they are; the plan that reads them stops when they are not those of the one-row manifest."""
     names = ["rows", "unique_keys", "fingerprint_xor", "fingerprint_sum"]
-    actual, wanted = manifest(df, key).select(*names).first(), expected.select(*names).first()
-    if actual != wanted:
-        raise ValueError(f"dataset does not match its manifest: {actual} instead of {wanted}")
+    wanted = expected.select(*[F.col(n).alias(f"_{n}") for n in names])
+    differs = [(~F.col(n).eqNullSafe(F.col(f"_{n}"))).cast("int").alias(f"{n}_differs") for n in names]
+    return guarded(df, manifest(df, key).crossJoin(wanted).select(*differs), "dataset manifest")
 
 
 def same_content(left: DataFrame, right: DataFrame, key: str) -> bool:

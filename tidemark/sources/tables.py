@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.guards import require_columns, require_schema
+from tidemark.sources.scratch import materialise
 
 
 def read_table(
@@ -41,6 +42,55 @@ def read_lines(spark: SparkSession, path: str, *, partitions: int | None = None)
     return lines.repartition(partitions, "line_number") if partitions else lines
 
 
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of splittable text files with their 1-based ``line_number`` in their file, and ``file_path``.
+
+    Every split of a file is read by its own task, as far as the file can be split. The rows are written once with their
+    place in the split; the number of a line is that place plus the lines of the splits before it in the file, so only
+    one row per split is put in order.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_place"),
+        "value",
+    )
+    stored = materialise(lines)
+    split = ["file_path", "_split"]
+    counted = stored.groupBy(*split).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(*split, (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    number = (F.col("_place") + F.col("_shift") + 1).alias("line_number")
+    return stored.join(offsets, split).select("file_path", number, "value")
+
+
+def footer_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Minimum, maximum and non-null rows of the numeric columns of a Parquet table, from its file footers.
+
+    The reader that answers aggregates from row-group statistics is switched on in a session of its own; no row is read.
+    Columns of other types have no exact statistics there: see ``operators.quality.column_ranges``.
+    """
+    session = spark.newSession()
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true")):
+        session.conf.set(name, value)
+    df = session.read.parquet(path)
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.FractionalType)) and not isinstance(f.dataType, T.DecimalType)]
+    parts = [(F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"), F.count(c).alias(f"_n_{c}")) for c in numbers]
+    wide = df.agg(*[p for part in parts for p in part])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col(f"_lo_{c}").cast("double").alias("minimum"),
+                F.col(f"_hi_{c}").cast("double").alias("maximum"),
+                F.col(f"_n_{c}").alias("non_null_rows"),
+            )
+            for c in numbers
+        ]
+    )
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Give every core work when the files offer fewer splits than there are cores.
 
