@@ -4,7 +4,9 @@ The relation of length 1 holds each word of each piece of text with its place, i
 relation of length k + 1 is the merge join of the relation of length k with the words at the next position of the same
 piece, after phrases below the wanted count have left both. A relation is kept in blocks of text, written once for each
 length; inside a block the merge join is a shift of sorted arrays, since no piece leaves its block. Counting groups is a
-shuffle: blocks send their different phrases with counts to hash buckets, and a bucket answers which are frequent.
+shuffle: blocks send their different phrases with counts to hash buckets, and a bucket answers which are frequent. Most
+pairs of frequent words are rare, so pairs are first counted by hash slot; a pair whose slot stays below the wanted count
+cannot be frequent, and the relation is cut between its words.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 8 << 20
 _BUCKET_BYTES = 16 << 20
+_KNOWN = -1  # the bucket that stands for a block's frequent words
+_SLOTS = 1 << 20  # hash slots of a bucket, about half as many as its text has words
 _BREAK = b"\n"
 # Lower case for A-Z; every character that ends a piece becomes a line break.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 9)
@@ -75,17 +79,18 @@ def mine_phrases(
     blocks = materialise(rows.mapInArrow(tidy(_write_blocks), _BLOCKS))
     buckets = buckets_for(blocks, _BUCKET_BYTES)
     asked = blocks.select("block_id", "phrase_group", "words", "counts").mapInArrow(tidy(_ask_words(buckets)), _ASKED)
-    state = blocks.select("block_id", "phrase_group", "words", "places")
-    answer = _answer_words(min_count, buckets)
+    relation = blocks.select("block_id", "phrase_group", "words", "places").groupBy("block_id")
+    known = asked.groupBy("bucket").applyInArrow(_answer_words(min_count, buckets), _ANSWERED)
+    step = materialise(relation.cogroup(known.groupBy("block_id")).applyInArrow(_ask_slots(buckets), _STEP))
+    hot = _asked_of(step).groupBy("bucket").applyInArrow(_answer_slots(min_count), _ANSWERED)
+    known = step.where(F.col("kind") == "state").select(F.lit(_KNOWN).alias("bucket"), "block_id", "payload")
+    step = materialise(relation.cogroup(hot.unionByName(known).groupBy("block_id")).applyInArrow(_sift(buckets), _STEP))
     steps = []
-    for length in range(1, max_words + 1):
-        answers = asked.groupBy("bucket").applyInArrow(answer, _ANSWERED)
+    for length in range(2, max_words + 1):
+        answers = _asked_of(step).groupBy("bucket").applyInArrow(_answer_pairs(min_count, buckets), _ANSWERED)
         advance = _advance(length, max_words, drop_percent, buckets)
-        step = materialise(state.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(advance, _STEP))
+        step = materialise(_state_of(step).groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(advance, _STEP))
         steps.append(step)
-        state = step.where(F.col("kind") == "state").select("block_id", "payload")
-        asked = step.where(F.col("kind") == "ask").select("bucket", "block_id", "phrase_group", "payload")
-        answer = _answer_pairs(min_count, buckets)
     result = reduce(DataFrame.unionByName, steps)
     # Each phrase comes from one block; longer ones name the phrases inside them that must go.
     dropped = result.where(F.col("kind") == "drop").select("length", "phrase_id").distinct()
@@ -96,6 +101,14 @@ def mine_phrases(
     )
 
 
+def _state_of(step: DataFrame) -> DataFrame:
+    return step.where(F.col("kind") == "state").select("block_id", "payload")
+
+
+def _asked_of(step: DataFrame) -> DataFrame:
+    return step.where(F.col("kind") == "ask").select("bucket", "block_id", "phrase_group", "payload")
+
+
 def _best(found: DataFrame, top: int) -> DataFrame:
     """Scores of all cuts, the lowest of each phrase, and the first phrases of each group."""
     score = "cast(2000000 as decimal(20,0)) * a div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
@@ -272,7 +285,7 @@ def _answer(
     )
 
 
-def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Callable[..., pa.Table]:
+def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """From the answers on phrases of `length` words to the frequent ones' reports and the questions on longer ones.
 
     A block's state has, for each shorter length, which frequent phrase starts at each place, and the numbers and counts
@@ -282,31 +295,33 @@ def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Ca
     def advanced(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             raise ValueError("answers without a block")
-        row = left.to_pylist()[0]
-        state = _first_state(row, buckets) if length == 1 else pickle.loads(expand(row["payload"]))
-        name, levels = state["name"], state["levels"]
-        open_at, starts, size = state.pop("open") if length == 1 else _open_again(levels, buckets)
-        ids, counts, speaks = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
-        for answer in right.to_pylist():
-            known, number, total, speaker = unpack_numbers(answer["payload"])
-            known = known + starts[answer["bucket"]]
-            ids[known], counts[known], speaks[known] = number, total, speaker
-        kept = ids >= 0
-        renamed = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
-        at = renamed[open_at]  # the open question -1 stays -1
-        levels.append((at, ids[kept], counts[kept]))
-        if length == 1:
-            state["words"] = [w for w, k in zip(state["words"], kept.tolist()) if k]
+        block, state = left["block_id"][0].as_py(), pickle.loads(expand(left["payload"][0].as_py()))
+        levels = state["levels"]
+        start, which, phrase, _, _, bucket = _questions(levels, buckets)
+        known, ids, counts, speaks = _known(right, {b: s.start for b, s in runs(bucket)})
+        renamed = np.full(len(phrase) + 1, -1, np.int32)
+        renamed[known] = np.arange(len(known))
+        at = np.full(len(levels[0][0]), -1, np.int32)
+        at[start] = renamed[which]
+        levels.append((at, ids, counts))
         out = _rows_out()
-        if length > 1:
-            _report(out, name, state["words"], levels, speaks[kept], drop_percent)
+        _report(out, state["name"], state["words"], levels, speaks.astype(bool), drop_percent)
         if length < max_words:
-            _ask_longer(out, row["block_id"], state, buckets)
+            _ask_longer(out, block, state, buckets)
         return pa.table(out, schema=_STEP_SCHEMA)
 
     return advanced
 
 
+def _known(answers: pa.Table, starts: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """Frequent phrases among a block's questions: place in asking order, number, count, and whether it speaks."""
+    rows = sorted((r for r in answers.to_pylist() if r["bucket"] != _KNOWN), key=lambda r: r["bucket"])
+    parts = [unpack_numbers(r["payload"]) for r in rows]
+    for row, part in zip(rows, parts):
+        part[0] = part[0] + starts[row["bucket"]]
+    return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+
+
 _STEP_SCHEMA = pa.schema(
     [
         ("kind", pa.string()), ("bucket", pa.int32()), ("block_id", pa.int64()), ("phrase_group", pa.string()),
@@ -325,17 +340,23 @@ def _put(out: dict[str, list], **values) -> None:
         column.append(values.get(name))
 
 
-def _first_state(row: dict, buckets: int) -> dict:
+def _first_state(left: pa.Table, buckets: int) -> tuple[dict, np.ndarray, dict[int, int]]:
+    """State of a block without any length, which of its words stands at each place, and where each bucket's words start."""
+    row = left.to_pylist()[0]
     words = split_words(row["words"])
     order, bucket = word_order(words, buckets, _seed(row["phrase_group"]))
     place = np.empty(len(words) + 1, np.int32)
     place[order], place[-1] = np.arange(len(words)), -1
-    return {
-        "name": row["phrase_group"],
-        "words": [words[i] for i in order.tolist()],
-        "levels": [],
-        "open": (place[np.frombuffer(expand(row["places"]), np.int32)], {b: s.start for b, s in runs(bucket)}, len(words)),
-    }
+    state = {"name": row["phrase_group"], "words": [words[i] for i in order.tolist()], "levels": []}
+    return state, place[np.frombuffer(expand(row["places"]), np.int32)], {b: s.start for b, s in runs(bucket)}
+
+
+def _with_words(state: dict, at: np.ndarray, known: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    """Put in the relation of length 1, without infrequent words."""
+    renamed = np.full(len(state["words"]) + 1, -1, np.int32)
+    renamed[known] = np.arange(len(known))
+    state["words"] = [state["words"][i] for i in known.tolist()]
+    state["levels"] = [(renamed[at], ids, counts)]
 
 
 def _report(
@@ -368,6 +389,11 @@ def _report(
                     _put(out, kind="drop", length=size, phrase_id=number)
 
 
+def _mixed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    mixed = (phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def _questions(levels: list[tuple], buckets: int) -> tuple[np.ndarray, ...]:
     """Merge join with the next word, where both the phrase and the one a word later are frequent.
 
@@ -379,20 +405,83 @@ def _questions(levels: list[tuple], buckets: int) -> tuple[np.ndarray, ...]:
         at[start].astype(np.int64) * len(word_ids) + word_at[start + len(levels)], return_inverse=True, return_counts=True
     )
     phrase, word = ids[pair // max(1, len(word_ids))], word_ids[pair % max(1, len(word_ids))]
-    mixed = (phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((_mixed(phrase, word) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket * (int(phrase.max(initial=0)) + 1) + phrase, kind="stable")
     place = np.empty(len(pair), np.int32)
     place[order] = np.arange(len(pair))
     return start, place[which.reshape(-1)], phrase[order], word[order], times[order], bucket[order]
 
 
-def _open_again(levels: list[tuple], buckets: int) -> tuple[np.ndarray, dict[int, int], int]:
-    """The open question of each place, where each bucket's questions start, and their number."""
-    start, which, phrase, _, _, bucket = _questions(levels, buckets)
-    open_at = np.full(len(levels[0][0]), -1, np.int32)
-    open_at[start] = which
-    return open_at, {b: s.start for b, s in runs(bucket)}, len(phrase)
+def _slots_of(phrase: np.ndarray, word: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Different hash slots of the pairs of one bucket, and the place of each pair's slot among them."""
+    slot = (_mixed(phrase[part], word[part]) & np.uint64(_SLOTS - 1)).astype(np.int64)
+    used, place = np.unique(slot, return_inverse=True)
+    return used, place.reshape(-1)
+
+
+def _ask_slots(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Counts of a block's pairs of frequent words by hash slot, and its frequent words."""
+
+    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, out = left["block_id"][0].as_py(), _rows_out()
+        state, at, starts = _first_state(left, buckets)
+        known, ids, counts, _ = _known(right, starts)
+        _with_words(state, at, known, ids, counts)
+        _, _, phrase, word, times, bucket = _questions(state["levels"], buckets)
+        for b, s in runs(bucket):
+            used, place = _slots_of(phrase, word, s)
+            total = np.zeros(len(used), np.int64)
+            np.add.at(total, place, times[s])
+            _put(out, kind="ask", bucket=b, block_id=block, payload=pack_numbers(np.diff(used, prepend=0), total))
+        _put(out, kind="state", block_id=block, payload=pack_numbers(known, ids, counts))
+        return pa.table(out, schema=_STEP_SCHEMA)
+
+    return asked
+
+
+def _answer_slots(min_count: int) -> Callable[[pa.Table], pa.Table]:
+    """Which of the asked slots of a bucket reach the wanted count."""
+
+    def answered(group: pa.Table) -> pa.Table:
+        total, asked = np.zeros(_SLOTS, np.int64), []
+        for payload in group["payload"].to_pylist():
+            gaps, counts = unpack_numbers(payload)
+            asked.append(np.cumsum(gaps))
+            np.add.at(total, asked[-1], counts)
+        bits = [squeeze(np.packbits(total[a] >= min_count).tobytes()) for a in asked]
+        return pa.table({"bucket": group["bucket"], "block_id": group["block_id"], "payload": pa.array(bits, pa.binary())})
+
+    return _released(answered)
+
+
+def _sift(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Cut the relation between words whose pair cannot be frequent, and ask about the pairs that are left."""
+
+    def sifted(left: pa.Table, right: pa.Table) -> pa.Table:
+        state, at, _ = _first_state(left, buckets)
+        answers = {r["bucket"]: r["payload"] for r in right.to_pylist()}
+        _with_words(state, at, *unpack_numbers(answers.pop(_KNOWN)))
+        start, which, phrase, word, _, bucket = _questions(state["levels"], buckets)
+        bits = {b: np.frombuffer(expand(payload), np.uint8) for b, payload in answers.items()}
+        hot = np.zeros(len(phrase), bool)
+        for b, s in runs(bucket):
+            used, place = _slots_of(phrase, word, s)
+            hot[s] = np.unpackbits(bits[b], count=len(used)).astype(bool)[place]
+        (at, ids, counts) = state["levels"][0]
+        joined = np.zeros(len(at), bool)
+        joined[start[hot[which]]] = True
+        # A word keeps its place if it is joined to the next or the one before; -1 follows the last of each chain.
+        kept = joined.copy()
+        kept[1:] |= joined[:-1]
+        times = np.where(joined[kept], 1, 2)
+        places = np.repeat(at[kept], times)
+        places[np.cumsum(times)[times == 2] - 1] = -1
+        out = _rows_out()
+        state["levels"] = [(places, ids, counts)]
+        _ask_longer(out, left["block_id"][0].as_py(), state, buckets)
+        return pa.table(out, schema=_STEP_SCHEMA)
+
+    return sifted
 
 
 def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) -> None:
