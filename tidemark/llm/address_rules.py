@@ -157,9 +157,13 @@ def judge_addresses(
         .select("set_id", "mined_rule")
     )
     asked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.md5(F.to_json(F.array_sort("tokens"))))
+    parsed = parsed.withColumn("set_id", asked)
+    # Addresses without a question have no set; they would all meet in one task of the join.
+    unasked = parsed.where(F.col("set_id").isNull()).withColumn("mined_rule", F.lit(None).cast("string"))
     return (
-        parsed.withColumn("set_id", asked)
+        parsed.where(F.col("set_id").isNotNull())
         .join(matched, "set_id", "left")
+        .unionByName(unasked)
         .select(
             "tx_hash",
             "host",
