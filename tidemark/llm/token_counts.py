@@ -25,6 +25,7 @@ from tidemark.llm.settings import release, tidy
 from tidemark.sources.scratch import materialise
 
 _BLOCK_BYTES = 4 << 20
+_BUCKET_BYTES = 8 << 20  # text whose distinct words share a bucket, whatever the size of the table
 _FREQUENCIES = -1  # the bucket that stands for a block's own frequencies
 _WORD = regex.compile("[ ▁]+[^ ▁]*")
 _ASKED = "bucket int, block_id long, n_bytes long, payload binary"
@@ -70,7 +71,8 @@ def count_tokens(lines: DataFrame, model: str, *, limit: int = 4096, word_bucket
                 block += 1
 
     rows = lines.select(F.col("line_number").cast("long"), F.col("line").cast("string"))
-    buckets = word_buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    size = rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    buckets = word_buckets or max(32, -(-size // _BUCKET_BYTES))
     questions = materialise(rows.mapInArrow(tidy(asked), _ASKED))
 
     def answered(group: pa.Table) -> pa.Table:
