@@ -154,7 +154,7 @@ def _blocks_of(gathered: dict[str, list[bytes]], numbers: Iterator[int]) -> Iter
 
 
 def _block(number: int, name: str, data: bytes) -> pa.RecordBatch:
-    """Words of a block, their counts, and which word stands at each place; -1 lies between pieces."""
+    """Words of a block by falling count, their counts, and which word stands at each place; -1 lies between pieces."""
     codes: dict[bytes, int] = defaultdict(counter().__next__)
     words = data.split()
     flat = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
@@ -165,15 +165,19 @@ def _block(number: int, name: str, data: bytes) -> pa.RecordBatch:
     places = np.full(len(flat) + np.count_nonzero(np.diff(piece)), -1, np.int32)
     places[np.arange(len(flat)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)] = flat
     counts = np.bincount(flat, minlength=len(codes)).astype(np.int64)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(order)), -1
+    names = list(codes)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([number], pa.int64()),
             pa.array([name], pa.string()),
             pa.array([len(data)], pa.int64()),
             pa.array([len(flat)], pa.int64()),
-            pa.array([squeeze(b" ".join(codes))], pa.binary()),
-            pa.array([squeeze(counts.tobytes())], pa.binary()),
-            pa.array([squeeze(places.tobytes())], pa.binary()),
+            pa.array([squeeze(b" ".join([names[i] for i in order.tolist()]))], pa.binary()),
+            pa.array([pack_numbers(counts[order])], pa.binary()),
+            pa.array([pack_numbers(rank[places] + 1)], pa.binary()),
         ],
         names=["block_id", "phrase_group", "n_bytes", "n_words", "words", "counts", "places"],
     )
@@ -188,7 +192,7 @@ def _ask_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for batch in batches:
             for row in batch.to_pylist():
                 words = np.array(split_words(row["words"]), object)
-                counts = np.frombuffer(expand(row["counts"]), np.int64)
+                counts = unpack_numbers(row["counts"])[0]
                 order, bucket = word_order(words.tolist(), buckets, _seed(row["phrase_group"]))
                 out = [(b, b" ".join(words[order[s]]), counts[order[s]]) for b, s in runs(bucket)]
                 yield pa.RecordBatch.from_arrays(
@@ -295,7 +299,7 @@ def _advance(length: int, max_words: int, drop_percent: int, buckets: int) -> Ca
     def advanced(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             raise ValueError("answers without a block")
-        block, state = left["block_id"][0].as_py(), pickle.loads(expand(left["payload"][0].as_py()))
+        block, state = left["block_id"][0].as_py(), _loaded(left["payload"][0].as_py())
         levels = state["levels"]
         start, which, phrase, _, _, bucket = _questions(levels, buckets)
         known, ids, counts, speaks = _known(right, {b: s.start for b, s in runs(bucket)})
@@ -340,23 +344,57 @@ def _put(out: dict[str, list], **values) -> None:
         column.append(values.get(name))
 
 
-def _first_state(left: pa.Table, buckets: int) -> tuple[dict, np.ndarray, dict[int, int]]:
-    """State of a block without any length, which of its words stands at each place, and where each bucket's words start."""
+def _first_state(left: pa.Table, buckets: int) -> tuple[dict, np.ndarray, np.ndarray, dict[int, int]]:
+    """State of a block without any length, which word stands at each place, the words in asking order, and where each
+    bucket's words start in it."""
     row = left.to_pylist()[0]
     words = split_words(row["words"])
     order, bucket = word_order(words, buckets, _seed(row["phrase_group"]))
-    place = np.empty(len(words) + 1, np.int32)
-    place[order], place[-1] = np.arange(len(words)), -1
-    state = {"name": row["phrase_group"], "words": [words[i] for i in order.tolist()], "levels": []}
-    return state, place[np.frombuffer(expand(row["places"]), np.int32)], {b: s.start for b, s in runs(bucket)}
+    state = {"name": row["phrase_group"], "words": words, "levels": []}
+    return state, unpack_numbers(row["places"])[0] - 1, order, {b: s.start for b, s in runs(bucket)}
 
 
-def _with_words(state: dict, at: np.ndarray, known: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-    """Put in the relation of length 1, without infrequent words."""
+def _with_words(state: dict, at: np.ndarray, order: np.ndarray, known: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    """Put in the relation of length 1, without infrequent words; frequent ones keep their order by count."""
+    words = order[known]
+    by_count = np.argsort(words)
     renamed = np.full(len(state["words"]) + 1, -1, np.int32)
-    renamed[known] = np.arange(len(known))
-    state["words"] = [state["words"][i] for i in known.tolist()]
-    state["levels"] = [(renamed[at], ids, counts)]
+    renamed[words[by_count]] = np.arange(len(words))
+    state["words"] = [state["words"][i] for i in words[by_count].tolist()]
+    state["levels"] = [(renamed[at], ids[by_count], counts[by_count])]
+
+
+def _packed(name: str, words: list[bytes], levels: list[tuple]) -> bytes:
+    """A state: the words at each place, and for longer phrases which phrase and word they consist of."""
+    at = levels[0][0]
+    parts = [pack_numbers(at.astype(np.int64) + 1, *levels[0][1:])]
+    for shorter, (places, ids, counts) in zip(levels, levels[1:]):
+        first = np.zeros(len(ids), np.int64)
+        where = np.flatnonzero(places >= 0)[::-1]
+        first[places[where]] = where
+        parts.append(pack_numbers(shorter[0][first], at[first + len(parts)], ids, counts))
+    return squeeze(pickle.dumps((name, b" ".join(words), parts)), 3)
+
+
+def _loaded(payload: bytes) -> dict:
+    """A state with the phrases at each place, found again from the phrase and word they consist of."""
+    name, words, parts = pickle.loads(expand(payload))
+    at, ids, counts = unpack_numbers(parts[0])
+    levels = [((at - 1).astype(np.int32), ids, counts)]
+    for part in parts[1:]:
+        shorter, word, ids, counts = unpack_numbers(part)
+        known = shorter * len(levels[0][1]) + word
+        order = np.argsort(known)
+        places = np.full(len(at), -1, np.int32)
+        before, after = levels[-1][0][: len(at) - len(levels)], levels[0][0][len(levels) :]
+        start = np.flatnonzero((before >= 0) & (after >= 0))
+        code = before[start].astype(np.int64) * len(levels[0][1]) + after[start]
+        if len(known):
+            near = np.minimum(np.searchsorted(known[order], code), len(known) - 1)
+            hit = known[order][near] == code
+            places[start[hit]] = order[near[hit]]
+        levels.append((places, ids, counts))
+    return {"name": name, "words": words.split(b" ") if words else [], "levels": levels}
 
 
 def _report(
@@ -424,9 +462,9 @@ def _ask_slots(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def asked(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = left["block_id"][0].as_py(), _rows_out()
-        state, at, starts = _first_state(left, buckets)
+        state, at, order, starts = _first_state(left, buckets)
         known, ids, counts, _ = _known(right, starts)
-        _with_words(state, at, known, ids, counts)
+        _with_words(state, at, order, known, ids, counts)
         _, _, phrase, word, times, bucket = _questions(state["levels"], buckets)
         for b, s in runs(bucket):
             used, place = _slots_of(phrase, word, s)
@@ -458,9 +496,9 @@ def _sift(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Cut the relation between words whose pair cannot be frequent, and ask about the pairs that are left."""
 
     def sifted(left: pa.Table, right: pa.Table) -> pa.Table:
-        state, at, _ = _first_state(left, buckets)
+        state, at, order, _ = _first_state(left, buckets)
         answers = {r["bucket"]: r["payload"] for r in right.to_pylist()}
-        _with_words(state, at, *unpack_numbers(answers.pop(_KNOWN)))
+        _with_words(state, at, order, *unpack_numbers(answers.pop(_KNOWN)))
         start, which, phrase, word, _, bucket = _questions(state["levels"], buckets)
         bits = {b: np.frombuffer(expand(payload), np.uint8) for b, payload in answers.items()}
         hot = np.zeros(len(phrase), bool)
@@ -500,8 +538,12 @@ def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) ->
     left = covered.copy()
     left[1:] |= covered[:-1]
     kept = []
-    for places, ids, counts in levels:
-        places = np.where(covered, np.append(places, np.int32(-1)), np.int32(-1))[left]
+    inside = covered.copy()
+    for size, (places, ids, counts) in enumerate(levels, start=1):
+        if size > 1:  # a phrase stays where all its words do
+            inside[: 1 - size] &= covered[size - 1 :]
+            inside[1 - size :] = False
+        places = np.where(inside, np.append(places, np.int32(-1)), np.int32(-1))[left]
         used = np.zeros(len(ids) + 1, bool)
         used[places] = True
         used[-1] = False
@@ -509,5 +551,4 @@ def _ask_longer(out: dict[str, list], block: int, state: dict, buckets: int) ->
         kept.append((renamed[places], ids[used[:-1]], counts[used[:-1]]))
         if len(kept) == 1:
             words = [w for w, u in zip(state["words"], used.tolist()) if u]
-    data = {"name": state["name"], "words": words, "levels": kept}
-    _put(out, kind="state", block_id=block, phrase_group=state["name"], payload=squeeze(pickle.dumps(data), 3))
+    _put(out, kind="state", block_id=block, phrase_group=state["name"], payload=_packed(state["name"], words, kept))

@@ -33,12 +33,13 @@ def runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def pack_numbers(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0, each in the narrowest type that holds it, compressed together."""
+    """Arrays of whole numbers from 0, each in the narrowest type that holds it, byte plane by byte plane, compressed."""
     parts = [np.array([len(arrays)], np.int64).tobytes()]
     for x in arrays:
         most = int(x.max()) if len(x) else 0
         kind = next(i for i, k in enumerate(_KINDS) if most <= np.iinfo(k).max)
-        parts += [np.array([kind, len(x)], np.int64).tobytes(), x.astype(_KINDS[kind]).tobytes()]
+        planes = np.ascontiguousarray(x.astype(_KINDS[kind])).view(np.uint8).reshape(len(x), _KINDS[kind].itemsize).T
+        parts += [np.array([kind, len(x)], np.int64).tobytes(), planes.tobytes()]
     return squeeze(b"".join(parts), 3)
 
 
@@ -46,6 +47,8 @@ def unpack_numbers(payload: bytes) -> list[np.ndarray]:
     data, at, out = expand(payload), 8, []
     for _ in range(int(np.frombuffer(data, np.int64, 1)[0])):
         kind, size = np.frombuffer(data, np.int64, 2, at).tolist()
-        out.append(np.frombuffer(data, _KINDS[kind], size, at + 16).astype(np.int64))
-        at += 16 + size * _KINDS[kind].itemsize
+        wide = _KINDS[kind].itemsize
+        planes = np.frombuffer(data, np.uint8, size * wide, at + 16).reshape(wide, size)
+        out.append(np.ascontiguousarray(planes.T).view(_KINDS[kind]).reshape(-1).astype(np.int64))
+        at += 16 + size * wide
     return out
