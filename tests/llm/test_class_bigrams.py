@@ -6,11 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import no_lines, odd_lines, ordered
 from tidemark.llm import class_bigrams
 from tidemark.llm.class_bigrams import Totals, exchange, score_lines
+from tidemark.llm.collocations import mine_phrases
 from tidemark.llm.queries import QUERIES
+from tidemark.sources.tables import read_lines
 
 LINES = "line_number long, line string, score double"
 
@@ -164,3 +167,16 @@ def test_query_is_that_of_brute_force(spark, sf_dir):
     assert ordered(found_of(found)) == ordered(base_of(rows))
     held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lines_of_the_gzip_reader_are_scored_and_mined(spark, tmp_path):
+    import gzip
+
+    texts = [f'{{"slot": {i}, "logMessages": ["Program log: Instruction: Buy"]}}' for i in range(40)]
+    with gzip.open(tmp_path / "raw.jsonl.gz", "wt", encoding="utf-8") as handle:
+        handle.write("\n".join(texts) + "\n")
+    lines = read_lines(spark, str(tmp_path / "raw.jsonl.gz")).withColumnRenamed("value", "line")
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    assert ordered(found_of(score_lines(lines, classes=5).collect())) == ordered(base_of(rows))
+    mined = mine_phrases(lines.withColumn("label", F.lit(1)), min_count=40)
+    assert {(r.label, r.phrase, r.a) for r in mined.collect()} == {("1", '["program log', 40)}

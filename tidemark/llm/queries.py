@@ -14,6 +14,7 @@ from tidemark.llm.class_bigrams import score_lines
 from tidemark.llm.collocations import mine_phrases
 from tidemark.llm.cover_tree import nearest_deployments
 from tidemark.llm.hyper_minhash import link_lines
+from tidemark.llm.oracles import NEAREST_SQL, REPEATED_BYTES_SQL, REPEATED_WORDS_SQL, linked_sql, phrases_sql
 from tidemark.llm.quality_forest import judge_lines
 from tidemark.llm.recompression import remove_repeated_words
 from tidemark.llm.revisits import resolve_revisits
@@ -131,13 +132,13 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_hyper_minhash")
+@query("op3_hyper_minhash", linked_sql())
 def op3_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_lines(document_lines(spark, sf_dir), shingle_words=3, similarity_percent=85)
     return linked.withColumnRenamed("line_number", "doc_id")
 
 
-@query("op4_suffix_array")
+@query("op4_suffix_array", REPEATED_BYTES_SQL)
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(document_lines(spark, sf_dir), window=50).select(
         F.col("line_number").alias("doc_id"),
@@ -242,7 +243,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_recompression")
+@query("op6_recompression", REPEATED_WORDS_SQL)
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(document_lines(spark, sf_dir), window=13).select(
         F.col("line_number").alias("doc_id"),
@@ -252,7 +253,7 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_cover_tree")
+@query("op7_cover_tree", NEAREST_SQL)
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     value = F.transform("embedding", lambda x: x.cast("double"))
@@ -320,7 +321,7 @@ def op11_brown_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_lines(document_lines(spark, sf_dir)).withColumnRenamed("line_number", "doc_id")
 
 
-@query("op12_setm_collocations")
+@query("op12_setm_collocations", phrases_sql())
 def op12_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mine_phrases(documents.select("lang", F.col("text").alias("line")), group="lang")
