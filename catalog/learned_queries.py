@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as b
 from catalog.asof_queries import first_entries
-from catalog.feature_queries import training_table
+from catalog.feature_queries import HISTORY, training_table
 from catalog.history_queries import LABELLED_SQL, labelled
 from catalog.portfolio_queries import (
     _COMPARED,
@@ -26,7 +26,13 @@ from tidemark.functions.guards import add_feature, numeric_features, replace_fea
 from tidemark.operators import compare, joins
 from tidemark.operators.quantiles import unpivot_measures
 from tidemark.plans import backtest
-from tidemark.plans.experiments import score_variants, variant_deltas, variant_results
+from tidemark.plans.experiments import (
+    PERMUTATION_SEED,
+    permute_groups,
+    score_variants,
+    variant_deltas,
+    variant_results,
+)
 from tidemark.plans.models import ModelSpec
 from tidemark.sources import sinks
 from tidemark.sources.scratch import materialise
@@ -271,3 +277,30 @@ def development_folds(spark, sf_dir):
     from tidemark.plans.experiments import fold_contents
 
     return rounded(fold_contents(training_table(spark, sf_dir)), ["prevalence"], 9)
+
+
+# Shuffled groups must hold the values they had: each repeat moves the rows of a group by a bijection.
+_MOVED = {"creator_history": HISTORY, "value": ["o_totalprice"], "structure": ["tx_index"]}
+_MOVED_COLUMNS = [c for members in _MOVED.values() for c in members]
+
+
+@query(
+    "permutation_proof",
+    f"""WITH {LABELLED_SQL} SELECT name, repeat, count(*) AS rows, count(DISTINCT token_address) AS receivers, """
+    + ", ".join(
+        f"count({c}) AS {c}_present, round(sum({c})::DOUBLE, 2) AS {c}_sum, round(sum({c}::DOUBLE * {c}::DOUBLE), 0) AS {c}_squares"
+        for c in _MOVED_COLUMNS
+    )
+    + """ FROM labelled CROSS JOIN (VALUES ('creator_history'), ('value'), ('structure')) n(name)
+    CROSS JOIN (VALUES (1), (2)) r(repeat) GROUP BY ALL""",
+)
+def permutation_proof(spark, sf_dir):
+    rows = training_table(spark, sf_dir).select("token_address", *_MOVED_COLUMNS)
+    exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
+    return permute_groups(rows, _MOVED, repeats=2, seed=PERMUTATION_SEED).groupBy("name", "repeat").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("token_address").alias("receivers"),
+        *[F.count(c).alias(f"{c}_present") for c in _MOVED_COLUMNS],
+        *[F.round(exact(F.col(c)), 2).alias(f"{c}_sum") for c in _MOVED_COLUMNS],
+        *[F.round(exact(F.col(c).cast("double") * F.col(c)), 0).alias(f"{c}_squares") for c in _MOVED_COLUMNS],
+    )
