@@ -73,7 +73,7 @@ if __name__ == "__main__":
         from tidemark.operators import sizing, skew
 
         wanted.remove("--pieces")
-        sizing.ROWS_PER_BUCKET, skew.ROWS_PER_TASK = 40, 40
+        sizing.ROWS_PER_BUCKET, sizing.ROWS_PER_PART, skew.ROWS_PER_TASK = 40, 160, 40
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
