@@ -8,6 +8,7 @@ from catalog import (  # noqa: F401
     learned_queries,
     portfolio_queries,
     quality_queries,
+    storage_queries,
     wallet_queries,
 )
 from catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import first_at_or_after, first_in_slot_from
-from tidemark.operators.cashflow import cashflow_violations, token_cashflow
+from tidemark.operators.cashflow import cashflow_violations, strict_numbers, token_cashflow
 from tidemark.operators.joins import compare_on_key, unmatched
 from tidemark.operators.portfolio import portfolio_grid, worst_drawdown
 from tidemark.operators.quality import expected_rows, guarded
@@ -151,3 +151,19 @@ def test_wrong_exit_marks_stop_a_backtest(spark, monkeypatch):
     monkeypatch.setattr(backtest, "mark_returns", late)
     with pytest.raises(PySparkException, match="backtest rows breaks its rules.*exits_after_target.:1"):
         run().collect()
+
+
+def test_strict_numbers_stop_on_text_that_is_no_number(spark):
+    rows = spark.createDataFrame([("1.5", "x"), (None, "y"), ("1e3", "z")], "amount string, note string")
+    assert [r.amount for r in strict_numbers(rows, ["amount"]).collect()] == [1.5, None, 1000.0]
+    with pytest.raises(PySparkException, match="amount is no number: 1,5"):
+        strict_numbers(rows.unionAll(spark.createDataFrame([("1,5", "w")], rows.schema)), ["amount"]).collect()
+
+
+def test_sums_beyond_the_decimal_are_doubles(spark):
+    rows = spark.createDataFrame([("a", 1e23), ("a", 1.0), ("b", 0.1), ("b", 0.2), ("c", None)], "k string, value double")
+    found = {r.k: r for r in finite_summary(rows, ["value"], keys=["k"]).collect()}
+    assert found["a"]["mean"] == 5e22 and found["b"]["mean"] == pytest.approx(0.15, abs=1e-17)
+    assert found["c"]["mean"] is None and found["c"]["count"] == 0
+    many = spark.range(1000).select(F.lit("k").alias("k"), F.lit(9e20).alias("value"))
+    assert finite_summary(many, ["value"], keys=["k"]).first()["mean"] == pytest.approx(9e20)

@@ -160,6 +160,19 @@ def test_lines_of_split_files_have_the_numbers_of_whole_ones(spark, tmp_path):
     assert sorted((r.file_path.rsplit("/", 1)[1], r.line_number, r.value) for r in found) == wanted
 
 
+def test_files_in_order_of_names_are_one_text(spark, tmp_path):
+    rows = [f"{i}" * (i % 90 + 1) for i in range(500)]
+    for file, (lo, hi) in enumerate(((0, 120), (120, 120), (120, 500))):
+        (tmp_path / f"part-{file}.txt").write_text("".join(f"{r}\n" for r in rows[lo:hi]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = tables.number_lines(spark, str(tmp_path), across_files=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_number, r.value) for r in found) == [(i + 1, r) for i, r in enumerate(rows)]
+
+
 def test_footers_answer_ranges_without_reading_rows(spark, sf_dir):
     out = tables.footer_ranges(spark, f"{sf_dir}/lineitem.parquet")
     assert "PushedAggregation: [MIN" in out._jdf.queryExecution().executedPlan().toString()

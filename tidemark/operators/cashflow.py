@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.derived import fee_rate_bps
 from tidemark.operators.portfolio import equity_curve, peak_level, worst_drawdown
 from tidemark.operators.quality import count_where
-from tidemark.operators.quantiles import exact_quantiles, unpivot_measures
+from tidemark.operators.quantiles import exact_quantiles, finite_sum, unpivot_measures
 
 MONEY = "decimal(38,16)"
 CASH_COLUMNS = ("cost_usd", "gas_usd", "dex_usd", "gas_native", "priority_fee", "tip_fee", "token_amount")
@@ -24,7 +24,18 @@ def money(value: Column) -> Column:
 def _exact_sum(value: Column) -> Column:
     """Sum of the present amounts; an amount that is no finite number stops the plan instead of vanishing."""
     unreadable = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.sum(money(F.when(unreadable, F.raise_error(F.lit("a cash amount is not finite"))).otherwise(value))).cast("double")
+    return finite_sum(F.when(unreadable, F.raise_error(F.lit("a cash amount is not finite"))).otherwise(value))
+
+
+def strict_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text or mixed numbers to double; what is no number stops the plan, and null stays null."""
+
+    def strict(name: str) -> Column:
+        number = F.col(name).try_cast("double")
+        message = F.concat(F.lit(f"{name} is no number: "), F.col(name).cast("string"))
+        return F.when(F.col(name).isNotNull() & number.isNull(), F.raise_error(message)).otherwise(number)
+
+    return df.withColumns({c: strict(c) for c in columns})
 
 
 def lenient_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import select_ranks
@@ -50,6 +50,16 @@ def unpivot_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str]
     return wide.unpivot(list(keys), list(measures), "measure", "value")
 
 
+def finite_sum(value: Column) -> Column:
+    """Sum of finite numbers: exact as a decimal where that has room for it, else the plain sum of doubles.
+
+    The exact sum does not depend on how rows were partitioned; above 1e22 the last bits of the plain one may.
+    """
+    exact = F.try_sum(value.try_cast("decimal(38,16)")).cast("double")
+    fits = F.coalesce(F.max(F.abs(value.cast("double"))) < F.lit(1e22), F.lit(True))
+    return F.when(fits & exact.isNotNull(), exact).otherwise(F.sum(value.cast("double")))
+
+
 def finite_summary(
     df: DataFrame, measures: Sequence[str], *, keys: Sequence[str] = (), probs: Mapping[str, float] | None = None
 ) -> DataFrame:
@@ -62,9 +72,7 @@ def finite_summary(
     )
     basic = tall.groupBy(*keys, "measure").agg(
         F.count("value").alias("count"),
-        (F.sum(F.col("value").cast("decimal(38,16)")).cast("double") / F.nullif(F.count("value"), F.lit(0))).alias(
-            "mean"
-        ),
+        (finite_sum(F.col("value")) / F.nullif(F.count("value"), F.lit(0))).alias("mean"),
     )
     quantiles = exact_quantiles(tall, value="value", probs=probs, keys=[*keys, "measure"]).drop("value_rows")
     return basic.join(quantiles, [*keys, "measure"], "left")

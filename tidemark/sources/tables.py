@@ -42,12 +42,12 @@ def read_lines(spark: SparkSession, path: str, *, partitions: int | None = None)
     return lines.repartition(partitions, "line_number") if partitions else lines
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
+def number_lines(spark: SparkSession, path: str, *, across_files: bool = False) -> DataFrame:
     """Lines of splittable text files with their 1-based ``line_number`` in their file, and ``file_path``.
 
     Every split of a file is read by its own task, as far as the file can be split. The rows are written once with their
     place in the split; the number of a line is that place plus the lines of the splits before it in the file, so only
-    one row per split is put in order.
+    one row per split is put in order. With ``across_files`` the files count as one text cut up in the order of their names.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
@@ -58,7 +58,8 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     stored = materialise(lines)
     split = ["file_path", "_split"]
     counted = stored.groupBy(*split).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
-    before = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(*split) if across_files else Window.partitionBy("file_path").orderBy("_split")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(*split, (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     number = (F.col("_place") + F.col("_shift") + 1).alias("line_number")
     return stored.join(offsets, split).select("file_path", number, "value")
