@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import no_lines, odd_lines, ordered
 from tidemark.llm.recompression import Symbols, WordScheme, compress_pairs, compress_runs, remove_repeated_words
-from tidemark.llm.blocks import expand
+from tidemark.llm.blocks import expand, squeeze
 from tidemark.llm.repeats import Runs, _answer, _asked, multikey_quicksort, text_sizes, without_repeats
+from tidemark.llm import suffix_array
 from tidemark.llm.suffix_array import ByteScheme, remove_repeated_bytes
 
 
@@ -132,3 +133,31 @@ def test_pieces_by_bytes_give_what_brute_force_gives(spark, scheme, words):
     kept = without_repeats(lines, scheme, piece_bytes=100)
     columns = ("line_number", "n_units", "n_removed", "n_spans", F.sha2("kept", 256))
     assert ordered(kept.select(*columns).collect()) == brute_force(rows, scheme.window, words)
+
+
+@pytest.mark.parametrize("ranges, buckets", [(4, 37), (4096, 37), (1, 5)])
+def test_ranges_of_tokens_share_out_the_buckets(spark, monkeypatch, ranges, buckets):
+    monkeypatch.setattr(suffix_array, "_RANGES", ranges)
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 60_000, dtype=np.uint8).tobytes()
+    sizes = np.full(60, 1000)
+    blocks = spark.createDataFrame(
+        [(i, sizes.tobytes(), squeeze(text)) for i in range(3)], "block_id long, sizes binary, body binary"
+    )
+    scheme = ByteScheme(50)
+    scheme.prepare(blocks, buckets)
+    assert len(scheme.splitters) == min(ranges, buckets) - 1
+    runs, body = scheme.runs(text, sizes)
+    bucket = scheme.bucket(body, runs, np.arange(len(runs.name)), buckets)
+    counts = np.bincount(bucket, minlength=buckets)
+    assert len(counts) == buckets and counts.min() > 0 and counts.max() < 4 * counts.mean()
+    for name in np.unique(runs.name)[:200]:
+        assert len(set(bucket[runs.name == name].tolist())) == 1
+
+
+def test_few_ranges_and_many_buckets_give_what_brute_force_gives(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "_RANGES", 3)
+    monkeypatch.setattr("tidemark.llm.repeats.buckets_for", lambda blocks, size: 29)
+    rows = repetitive_lines(12)
+    lines = spark.createDataFrame(rows, "line_number long, line string").repartition(5)
+    assert found(lines, remove_repeated_bytes, 50) == brute_force(rows, 50, False)

@@ -1,8 +1,8 @@
 """Removal of long byte strings that an earlier line holds, by a partitioned suffix array.
 
 Two equal strings of 50 bytes hold the same 16-byte token with the smallest hash, so suffixes are looked at by such
-leading tokens. Splitters sampled from the tokens cut their order into ranges; each range sorts its suffixes by multikey
-quicksort over eight bytes at a time. Suffixes whose token is so frequent that several buckets share it are compared
+leading tokens. Splitters sampled from the tokens cut their order into a bounded number of ranges, and a range with many
+tokens deals whole tokens to several buckets; each bucket sorts its suffixes by multikey quicksort over eight bytes at a time. Suffixes whose token is so frequent that several buckets share it are compared
 across these buckets afterwards.
 """
 
@@ -23,7 +23,8 @@ from tidemark.llm.settings import tidy
 TOKEN = 16  # bytes of a leading token; two key parts of the sort
 _LONGEST_RUN = 64
 _SLICE = 1 << 18
-_SAMPLE_BLOCKS, _SAMPLE_TOKENS = 32, 512  # the sample for splitters: at least 25 tokens for each bucket
+_RANGES = 4096  # ranges of leading tokens; more buckets than that share them out
+_SAMPLE_BLOCKS, _SAMPLE_TOKENS = 32, 3072  # the sample for splitters, about 24 tokens a range whatever the input's size
 
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(16).integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,9 +60,9 @@ class ByteScheme:
         self.splitters = np.zeros(0, f"S{TOKEN}")
 
     def prepare(self, blocks: DataFrame, buckets: int) -> None:
-        """Sample leading tokens and cut their order into as many ranges as there are buckets."""
-        wanted = max(_SAMPLE_BLOCKS, buckets // 20)
-        stride = max(1, blocks.count() // wanted)
+        """Sample leading tokens and cut their order into ranges, one a bucket up to `_RANGES`."""
+        stride = max(1, blocks.count() // _SAMPLE_BLOCKS)
+        cut = min(buckets, _RANGES)
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -79,7 +80,7 @@ class ByteScheme:
             .collect()
         )
         ordered = sorted(bytes(r["token"]) for r in sample)
-        cuts = [ordered[len(ordered) * i // buckets] for i in range(1, buckets)] if ordered else []
+        cuts = [ordered[len(ordered) * i // cut] for i in range(1, cut)] if ordered else []
         self.splitters = np.array(cuts, f"S{TOKEN}")
 
     def runs(self, body: bytes, sizes: np.ndarray) -> tuple[Runs, bytes]:
@@ -120,8 +121,11 @@ class ByteScheme:
         return out
 
     def bucket(self, text: bytes, runs: Runs, chosen: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each chosen run: the range of its token, and among the range's buckets one by the token's hash."""
         tokens = np.array(self._tokens(text, runs, chosen), f"S{TOKEN}")
-        return np.searchsorted(self.splitters, tokens, side="right")
+        place, cut = np.searchsorted(self.splitters, tokens, side="right"), len(self.splitters) + 1
+        low, high = place * buckets // cut, (place + 1) * buckets // cut
+        return low + (runs.name[chosen] % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         return np.array([len(t) for t in texts], np.int64) - self.window + 1
