@@ -83,6 +83,18 @@ def test_one_address_may_fill_many_ranges(spark, ranges):
     assert all((r["payload"] == str(r["refers_to"])) for r in found.values() if r["outcome"] == "resolved")
 
 
+def test_one_response_may_have_very_many_revisits(spark):
+    rows = [capture(0, "response", "http://hot.org/", 0, {"ETag": "1"}, "x" * 5_000_000)]
+    rows += [capture(i, "revisit", "http://hot.org/", i, {"ETag": "1"}) for i in range(1, 40)]
+    rows += [capture(i, "revisit", f"http://alone{i}.org/", i, {"ETag": "1"}, "own") for i in range(40, 60)]
+    rows += [capture(7, "revisit", "http://hot.org/", 7, {"ETag": "1"})]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = resolve_revisits(table, rows_per_task=5).select("record_id", "outcome", "refers_to", F.length("payload").alias("n")).collect()
+    wanted = [(0, "full", None, 5_000_000)] + [(i, "resolved", 0, 5_000_000) for i in [*range(1, 40), 7]]
+    wanted += [(i, "no_response", None, 3) for i in range(40, 60)]
+    assert sorted(tuple(r) for r in found) == sorted(wanted)
+
+
 def test_odd_captures(spark):
     page = "http://a.org/x"
     rows = [

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import join_unique
 from tidemark.sources.scratch import materialise
 
 # Fields of a stored response that a not-modified answer may not replace.
@@ -67,7 +68,9 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataFrame:
+def resolve_revisits(
+    captures: DataFrame, *, ranges: int | None = None, rows_per_task: int | None = None
+) -> DataFrame:
     """Full responses and resolved not-modified revisits.
 
     The project keeps no web captures, so the operator is general. `captures` needs record_id (long), warc_type
@@ -83,7 +86,8 @@ def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataF
 
     Rows without canonical address, date or record id never refer and are never referred to. Of several responses with
     one record id the first by date, then by a hash of its payload, counts; repeated revisits are each resolved. Extra columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows. A response to which more than `rows_per_task` revisits refer (2,000,000 by default) is joined in
+    pieces.
     """
     spark = captures.sparkSession
     known = materialise(
@@ -138,29 +142,30 @@ def resolve_revisits(captures: DataFrame, *, ranges: int | None = None) -> DataF
             F.col("stored.payload").alias("stored_payload"),
         )
     )
-    revisits = known.where(is_revisit).join(matched, ["canonical_uri", *order], "left").join(stored, "refers_to", "left")
+    revisits = materialise(known.where(is_revisit).join(matched, ["canonical_uri", *order], "left"))
+    # Revisits without an earlier response have nothing to join; they would all meet in one task.
+    alone = revisits.where(F.col("refers_to").isNull())
+    looked = join_unique(revisits.where(F.col("refers_to").isNotNull()), stored, ["refers_to"], "left", rows_per_task=rows_per_task)
     tag, stored_tag = F.col("http_headers")["etag"], F.col("stored_headers")["etag"]
     date, stored_date = F.col("http_headers")["last-modified"], F.col("stored_headers")["last-modified"]
     same = F.when(tag.isNotNull(), F.coalesce(_weak(tag) == _weak(stored_tag), F.lit(False))).otherwise(
         F.coalesce(date == stored_date, F.lit(False))
     )
-    outcome = (
-        F.when(F.col("refers_to").isNull(), "no_response")
-        .when(tag.isNull() & date.isNull(), "no_validator")
-        .when(same, "resolved")
-        .otherwise("changed")
-    )
+    outcome = F.when(tag.isNull() & date.isNull(), "no_validator").when(same, "resolved").otherwise("changed")
     fresh = F.map_filter("http_headers", lambda name, _: ~name.isin(*KEPT_FIELDS))
     merged = F.map_concat(
         F.map_filter("stored_headers", lambda name, _: ~F.array_contains(F.map_keys(fresh), name)), fresh
     )
     columns = ("record_id", "canonical_uri", "warc_type", "warc_date", "refers_to", "outcome")
-    resolved = revisits.withColumn("outcome", outcome).withColumn("_ok", F.col("outcome") == "resolved")
+    resolved = looked.withColumn("outcome", outcome).withColumn("_ok", F.col("outcome") == "resolved")
     return (
         known.where(~is_revisit | F.col("warc_type").isNull() | F.col("http_status").isNull())
         .withColumn("refers_to", F.lit(None).cast("long"))
         .withColumn("outcome", F.when(is_full, "full").otherwise("other"))
         .select(*columns, "http_status", "http_headers", "payload")
+        .unionByName(
+            alone.withColumn("outcome", F.lit("no_response")).select(*columns, "http_status", "http_headers", "payload")
+        )
         .unionByName(
             resolved.select(
                 *columns,
